@@ -7,6 +7,7 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType
 
 
 def _beta_fraction(a: float, b: float, x: float) -> float:
@@ -74,17 +75,17 @@ def exact_u_two_sided(u: float, n1: int, n2: int) -> float:
     return float(min(1.0, 2.0 * pmf[int(math.ceil(hi)):].sum()))
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def correlation_p_udf(r: pd.Series, n: pd.Series) -> pd.Series:
     return pd.Series([correlation_p(a, b) for a, b in zip(r.astype(float), n.astype(float))])
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def normal_p_udf(z: pd.Series) -> pd.Series:
     return pd.Series([math.nan if math.isnan(v) else normal_two_sided(v) for v in z.astype(float)])
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def rank_sum_p_udf(u: pd.Series, n1: pd.Series, n2: pd.Series, tie: pd.Series) -> pd.Series:
     """Two-sided Mann-Whitney p from U, arm sizes and the tie term sum(t^3 - t)."""
     out = []

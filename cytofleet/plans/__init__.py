@@ -1,0 +1 @@
+"""Registered queries: each binds an operator to the driver tables, with a SQL twin where one exists."""
