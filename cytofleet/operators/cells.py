@@ -142,7 +142,7 @@ def moments(mask: DataFrame, keys: Sequence[str] = CELL) -> DataFrame:
     })
     half = (F.col("_r") + F.col("_c")) / 2
     root = F.sqrt(((F.col("_r") - F.col("_c")) / 2) ** 2 + F.col("_rc") ** 2)
-    g = g.withColumns({"_l1": half + root, "_l2": F.greatest(F.lit(0.0), F.round(half - root, 12))})
+    g = g.withColumns({"_l1": half + root, "_l2": F.when(half - root > 1e-11, half - root).otherwise(0.0)})
     g = g.withColumns({"major_axis": 4 * F.sqrt("_l1"), "minor_axis": 4 * F.sqrt("_l2")})
     quarter = F.lit(math.pi / 4)
     tilt = F.when(F.abs(F.col("_r") - F.col("_c")) < 1e-12, F.when(F.col("_rc") > 0, quarter).otherwise(-quarter)).otherwise(
@@ -150,7 +150,7 @@ def moments(mask: DataFrame, keys: Sequence[str] = CELL) -> DataFrame:
     return g.select(
         *keys, "area", "cy", "cx", "major_axis", "minor_axis",
         F.when(F.col("minor_axis") > 0, F.try_divide(F.col("major_axis"), F.col("minor_axis"))).alias("aspect_ratio"),
-        F.when(F.col("_l1") > 0, F.sqrt(1 - F.try_divide(F.col("_l2"), F.col("_l1")))).otherwise(0.0).alias("eccentricity"),
+        F.when(F.col("_l1") > 0, F.sqrt(F.greatest(F.lit(0.0), 1 - F.try_divide(F.col("_l2"), F.col("_l1"))))).otherwise(0.0).alias("eccentricity"),
         tilt.alias("orientation"),
         F.sqrt(F.lit(4.0) * n / F.lit(math.pi)).alias("equivalent_diameter"))
 

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cytofleet.functions.scalar import half_even
@@ -247,44 +249,81 @@ def size_filter(comp: DataFrame, keys: Sequence[str], lo: Column, hi: Column | N
 
 # --- C8 -------------------------------------------------------------------
 
-
-def seeded_growth(signal: DataFrame, seeds: DataFrame, levels: int = 16, hops: int = 4, max_rounds: int = 200) -> DataFrame:
+_STEP = 1 << 20
+_NEVER = np.iinfo(np.int64).max
+
+
+def _flood_tile(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Flood one tile (plus the halo rows of its neighbours) to its local fixed point."""
+    y0, x0 = pdf["y"].min(), pdf["x"].min()
+    shape = (pdf["y"].max() - y0 + 3, pdf["x"].max() - x0 + 3)
+    at = (pdf["y"].to_numpy() - y0 + 1, pdf["x"].to_numpy() - x0 + 1)
+    grid = lambda name, fill: np.full(shape, fill, dtype=np.int64)
+    time, label, lvl, free = grid("t", _NEVER), grid("l", _NEVER), grid("v", 0), np.zeros(shape, bool)
+    time[at], label[at], lvl[at] = pdf["t"], pdf["label"], pdf["lvl"]
+    free[at] = (pdf["own"] & ~pdf["seed"]).to_numpy()
+    label[free] = _NEVER
+    shifts = ((0, 1), (0, -1), (1, 1), (1, -1))
+
+    def arrivals() -> list[np.ndarray]:
+        out = []
+        for axis, by in shifts:
+            t = np.roll(time, by, axis)
+            step = np.where(t // _STEP >= lvl, t + 1, lvl * _STEP + 1)
+            out.append(np.where(t == _NEVER, _NEVER, step))
+        return out
+
+    while True:
+        best = np.where(free, np.minimum(time, np.minimum.reduce(arrivals())), time)
+        if (best == time).all():
+            break
+        time = best
+    reach = arrivals()
+    while True:
+        offers = [np.where(r == time, np.roll(label, by, axis), _NEVER) for r, (axis, by) in zip(reach, shifts)]
+        best = np.where(free & (time < _NEVER), np.minimum.reduce(offers), label)
+        if (best == label).all():
+            break
+        label = best
+    out = pdf.assign(t=time[at], label=label[at])
+    return out[out["own"]]
+
+
+def seeded_growth(signal: DataFrame, seeds: DataFrame, levels: int = 16, tile: int = TILE, max_rounds: int = 200) -> DataFrame:
     """Level-ordered flooding from seeds over pixels with signal > 0, bright levels first.
 
     ``signal(field_id, y, x, value)`` with value in [0, 1], ``seeds(field_id, y, x, label)``.
     A pixel's flood time is (darkest level on the way, steps since that level was entered); it
     takes the label of the neighbour that floods it, the lowest label on ties. Approximates a
-    watershed of the negated signal at ``levels`` grey levels. Rounds end when nothing changes.
+    watershed of the negated signal at ``levels`` grey levels.
+
+    Each round floods fixed-size tiles to their local fixed point, then neighbouring tiles swap
+    one-pixel halos; rounds follow the number of tiles a flood crosses, not its pixel length.
     """
-    lvl = (F.lit(levels) - F.ceil(F.least(F.lit(1.0), F.col("value")) * levels)).cast("int")
+    lvl = (F.lit(levels) - F.ceil(F.least(F.lit(1.0), F.col("value")) * levels)).cast("long")
     base = signal.filter(F.col("value") > 0).select("field_id", "y", "x", lvl.alias("lvl")).join(
-        seeds.select("field_id", "y", "x", F.col("label").alias("seed")), ["field_id", "y", "x"], "left")
-    state = pin(base.withColumn("best", F.when(F.col("seed").isNotNull(), F.struct(
-        F.lit(-1).alias("l"), F.lit(0).alias("h"), F.col("seed").cast("bigint").alias("lab")))))
-    steps = ((1, 0), (-1, 0), (0, 1), (0, -1))
+        seeds.select("field_id", "y", "x", F.col("label").cast("long").alias("_s")), ["field_id", "y", "x"], "left")
+    fresh = F.lit(_NEVER)
+    state = base.select(
+        "field_id", F.floor(F.col("y") / tile).cast("int").alias("ty"), F.floor(F.col("x") / tile).cast("int").alias("tx"),
+        "y", "x", "lvl", F.col("_s").isNotNull().alias("seed"), F.lit(True).alias("own"),
+        F.when(F.col("_s").isNotNull(), F.lit(-_STEP)).otherwise(fresh).alias("t"), F.coalesce("_s", fresh).alias("label"))
+    state = pin(state)
     mark = None
     for _ in range(max_rounds):
-        for _ in range(hops):
-            # own row (offer NULL) plus one offer per neighbour, met at the target position
-            own = state.select("field_id", "y", "x", "lvl", "seed", "best", F.lit(None).cast(state.schema["best"].dataType).alias("offer"))
-            sent = state.filter(F.col("best").isNotNull()).select(
-                "field_id",
-                F.inline(F.array(*[F.struct((F.col("y") + dy).alias("y"), (F.col("x") + dx).alias("x")) for dy, dx in steps])),
-                F.lit(None).cast("int").alias("lvl"), F.lit(None).cast(state.schema["seed"].dataType).alias("seed"),
-                F.lit(None).cast(state.schema["best"].dataType).alias("best"), F.col("best").alias("offer"))
-            met = own.unionByName(sent.select(*own.columns)).groupBy("field_id", "y", "x").agg(
-                F.max("lvl").alias("lvl"), F.max("seed").alias("seed"), F.max("best").alias("best"),
-                F.collect_list("offer").alias("offers")).filter(F.col("lvl").isNotNull())
-            flooded = F.transform("offers", lambda o: F.when(
-                F.col("lvl") > o["l"], F.struct(F.col("lvl").alias("l"), F.lit(1).alias("h"), o["lab"].alias("lab"))
-            ).otherwise(F.struct(o["l"].alias("l"), (o["h"] + 1).alias("h"), o["lab"].alias("lab"))))
-            state = met.select("field_id", "y", "x", "lvl", "seed", F.when(
-                F.col("seed").isNotNull(), F.col("best")).otherwise(F.array_min(flooded)).alias("best"))
-        state = pin(state)
-        row = state.agg(F.sum(F.xxhash64("field_id", "y", "x", "best").cast("decimal(38,0)")).alias("h")).first()
+        py, px = F.pmod("y", F.lit(tile)), F.pmod("x", F.lit(tile))
+        to = F.array_compact(F.array(
+            F.when(py == 0, F.struct((F.col("ty") - 1).alias("ty"), F.col("tx").alias("tx"))),
+            F.when(py == tile - 1, F.struct((F.col("ty") + 1).alias("ty"), F.col("tx").alias("tx"))),
+            F.when(px == 0, F.struct(F.col("ty").alias("ty"), (F.col("tx") - 1).alias("tx"))),
+            F.when(px == tile - 1, F.struct(F.col("ty").alias("ty"), (F.col("tx") + 1).alias("tx")))))
+        halo = state.filter(F.col("t") < fresh).select(
+            "field_id", F.inline(to), "y", "x", "lvl", "seed", F.lit(False).alias("own"), "t", "label")
+        grown = state.unionByName(halo).groupBy("field_id", "ty", "tx").applyInPandas(_flood_tile, state.schema)
+        state = pin(grown)
+        row = state.agg(F.sum(F.xxhash64("field_id", "y", "x", "t", "label").cast("decimal(38,0)")).alias("h")).first()
         if mark == row["h"]:
-            return state.filter(F.col("best").isNotNull()).select(
-                "field_id", "y", "x", F.col("best.lab").cast("int").alias("label"))
+            return state.filter(F.col("label") < fresh).select("field_id", "y", "x", F.col("label").cast("int").alias("label"))
         mark = row["h"]
     raise RuntimeError("seeded growth did not converge")
 

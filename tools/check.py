@@ -31,7 +31,7 @@ def main() -> int:
     pat = re.compile(sys.argv[1] if len(sys.argv) > 1 else ".")
     sf = sys.argv[2] if len(sys.argv) > 2 else "sf0.01"
     d = f"/root/testdata/{sf}"
-    spark = build_session("check", "local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.driver.memory": "12g"})
+    spark = build_session("check", "local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.driver.memory": "12g", "spark.ui.showConsoleProgress": "false"})
     spark.sparkContext.setLogLevel("ERROR")
     con = duckdb.connect()
     for t in TABLES:
