@@ -93,6 +93,11 @@ def unit31(seed: int, *keys: Column | str) -> Column:
     return mix31(seed, *keys) / F.lit(float(P31))
 
 
+def hash31(seed: int, *keys: Column | str) -> Column:
+    """31-bit hash of keys of any type, for draws nobody has to reproduce outside Spark."""
+    return F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(P31))
+
+
 def mix31_sql(seed: int, *keys: str) -> str:
     """The same hash as ANSI SQL text, for checks against another engine."""
     h = f"CAST({(seed * 48271 + 11) % P31} AS BIGINT)"

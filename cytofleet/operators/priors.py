@@ -91,11 +91,13 @@ def shortest_paths(graph: DataFrame, sources: DataFrame, max_rounds: int = 200)
 
 def path_evidence(paths: DataFrame, edges: DataFrame) -> DataFrame:
     """Adds ``path_edges``: the attributes of each edge along the path, in order (NULL for a single node)."""
-    e = both_directions(edges)
-    at = paths.select("source", "node", F.posexplode("path").alias("i", "from"), "path").withColumn("to", F.get("path", F.col("i") + 1)).filter("to is not null")
     attrs = [c for c in edges.columns if c not in PAIR]
-    hit = at.join(e, (at["from"] == e["src"]) & (at["to"] == e["dst"]), "left")
-    per = hit.groupBy("source", "node").agg(F.array_sort(F.collect_list(F.struct("i", "from", "to", *attrs))).alias("path_edges"))
+    e = both_directions(edges).select(F.col("src").alias("_a"), F.col("dst").alias("_b"), F.struct(*attrs).alias("_e"))
+    at = paths.select("source", "node", F.posexplode("path").alias("i", "from"), "path").withColumn("to", F.get("path", F.col("i") + 1)).filter("to is not null")
+    hit = at.join(e, (at["from"] == e["_a"]) & (at["to"] == e["_b"]), "left")
+    edge = F.struct("i", "from", "to", *[F.col(f"_e.{c}").alias(c) for c in attrs])
+    # one path per (source, node): at most as many edges as the path is long
+    per = hit.groupBy("source", "node").agg(F.array_sort(F.collect_list(edge)).alias("path_edges"))
     return paths.join(per, ["source", "node"], "left")
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cytofleet.plans import q_cells, q_population, q_raster  # noqa: F401
+from cytofleet.plans import q_cells, q_population, q_priors, q_raster, q_rules, q_sources, q_spatial  # noqa: F401
 from cytofleet.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES", "flagship"]
