@@ -151,7 +151,7 @@ SELECT c.field_id, c.cell_id, coalesce(n, 0) * 1e0 AS fa_count, round(coalesce(n
 FROM cl c LEFT JOIN g ON g.field_id = c.field_id AND g.cell_id = c.cell_id""")
 def d7(spark, d):
     f = _adhesions(spark, d)[0].select(*CELL, *_FA)
-    return rounded(f).withColumn("fa_mean_elongation", r6("fa_mean_elongation", 5))
+    return rounded(f.drop("fa_mean_elongation")).join(f.select(*CELL, r6("fa_mean_elongation", 5).alias("fa_mean_elongation")), CELL)
 
 
 @query("D8_adhesion_maturity", ADH_SQL + """

@@ -308,11 +308,11 @@ def g20(spark, d):
 cut AS (SELECT gene, target, max(distance) AS distance, max(len(path) - 1) AS l FROM ev WHERE distance < 1.5e0 GROUP BY ALL),
 ag AS (SELECT gene, target, sum(-ln(least(1e0, greatest(1e-6, confidence)))) AS cost, bool_or(source_tag = 'curated') AS curated FROM pa GROUP BY ALL)
 SELECT s.source AS gene, t.target, distance IS NOT NULL AS reachable, round(distance, 6) AS distance, CAST(l AS INT) AS path_length, CASE WHEN distance IS NOT NULL THEN round(cost, 6) END AS cost,
-  CASE WHEN distance IS NOT NULL THEN curated END AS curated
+  distance IS NOT NULL AND curated AS curated
 FROM src0 s CROSS JOIN tgt0 t LEFT JOIN cut c ON c.gene = s.source AND c.target = t.target LEFT JOIN ag a ON a.gene = s.source AND a.target = t.target""")
 def g21(spark, d):
     e, s, t = evidence(spark, d)
-    return rnd(G.complete_drilldown(e.filter("distance < 1.5"), s.withColumnRenamed("source", "gene"), t))
+    return rnd(G.complete_drilldown(e.filter("distance < 1.5"), s.withColumnRenamed("source", "gene"), t)).withColumn("curated", F.coalesce("curated", F.lit(False)))
 
 
 @query("G22_signature_matrix", "WITH " + PRIOR_SQL + " SELECT CAST(max(rank) AS INT) AS rank, gene, " + ", ".join(

@@ -61,6 +61,10 @@ def main() -> int:
             bad += 1
             print(f"FAIL  {name}: sql {str(e)[:600]}", flush=True)
             continue
+        kinds = {n: t for n, t in zip(con.sql(sql).columns, map(str, con.sql(sql).types))}
+        group = lambda t: ("int" if t in ("int", "bigint", "INTEGER", "BIGINT") else "num" if t in ("double", "DOUBLE") else
+                           "str" if t in ("string", "VARCHAR") else "bool" if t in ("boolean", "BOOLEAN") else t)
+        odd = [f"{n}: {t}/{kinds[n]}" for n, t in sdf.dtypes if n in kinds and group(t) != group(kinds[n])]
         t2 = time.time()
         state = "ok   "
         note = ""
@@ -85,6 +89,8 @@ def main() -> int:
             bad += 1
         elif len(got) == 0:
             note = "EMPTY"
+        if odd:
+            note += " TYPES " + ", ".join(odd)
         print(f"{state} {name}: {len(got)} rows spark {t1 - t0:.1f}s duckdb {t2 - t1:.1f}s {note}", flush=True)
         if state != "ok   " and "-v" in sys.argv:
             print(got.head(8).to_string())
