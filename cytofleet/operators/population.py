@@ -137,9 +137,11 @@ def _pc1(anchor: int):
     def solve(flat: pd.Series, size: pd.Series) -> pd.DataFrame:
         rows = []
         for values, p in zip(flat, size):
-            m = np.zeros((p, p))
-            m[np.triu_indices(p)] = values
-            m = m + np.triu(m, 1).T
+            g = np.zeros((p + 1, p + 1))
+            g[np.triu_indices(p + 1)] = values
+            g = g + np.triu(g, 1).T
+            # sums of products of z-scores, re-centred on the complete rows
+            m = (g[1:, 1:] - np.outer(g[0, 1:], g[0, 1:]) / g[0, 0]) / (g[0, 0] - 1)
             val, vec = np.linalg.eigh(m)
             v = vec[:, -1]
             pivot = v[anchor] if anchor >= 0 else next((e for e in v if e != 0), 1.0)
@@ -165,8 +167,10 @@ def composite_score(cells: DataFrame, panel: Sequence[str] = tuple(SCORE_PANEL),
     for c in z:
         complete = complete & F.col(c).isNotNull()
     d = d.withColumn("_full", complete)
-    flat = [F.covar_samp(F.when(F.col("_full"), F.col(z[i])), F.when(F.col("_full"), F.col(z[j]))) for i in range(p) for j in range(i, p)]
-    stats = d.groupBy(*keys).agg(F.count_if("_full").alias("n_complete"), F.array(*flat).alias("_cov"))
+    cols = [F.lit(1.0), *[F.col(c) for c in z]]
+    flat = [F.sum(F.when(F.col("_full"), cols[i] * cols[j])).alias(f"_{i}_{j}") for i in range(p + 1) for j in range(i, p + 1)]
+    stats = d.groupBy(*keys).agg(F.count_if("_full").alias("n_complete"), *flat)
+    stats = stats.select(*keys, "n_complete", F.array(*[F.col(f"_{i}_{j}") for i in range(p + 1) for j in range(i, p + 1)]).alias("_cov"))
     floor = max(30, 5 * p)
     use = (F.col("n_complete") >= floor) if mode == "pca" else F.lit(False)
     stats = stats.withColumn("_use", use)

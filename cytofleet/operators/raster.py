@@ -567,7 +567,8 @@ def contrast_stretch(pixels: DataFrame, lo: float = 0.01, hi: float = 0.995, min
     q = quantiles(pixels, IMAGE, "value", {"_lo": lo, "_hi": hi})
     span = F.greatest(F.col("_hi") - F.col("_lo"), F.lit(float(min_span)))
     v = F.when(span > 0, (F.col("value") - F.col("_lo")) / span).otherwise(0.0)
-    return pixels.join(q, IMAGE).select(*IMAGE, "y", "x", F.greatest(F.lit(0.0), F.least(F.lit(1.0), v)).alias("value"))
+    return pixels.join(q, IMAGE).select(
+        *IMAGE, "y", "x", F.when(F.col("value").isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), v))).alias("value"))
 
 
 # --- C18 ------------------------------------------------------------------

@@ -220,7 +220,7 @@ def overlay_values(cells: DataFrame, feature: str, diverging: bool = False, stop
     lo, span = (-reach, 2 * reach) if diverging else (F.col("_lo"), F.col("_hi") - F.col("_lo"))
     t = F.when(span > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.try_divide(F.col(feature) - lo, span))))
     return d.withColumn("position", t).withColumn(
-        "stop", F.least(F.floor(F.col("position") * (stops - 1)), F.lit(stops - 2)).cast("int")).drop("_lo", "_hi")
+        "stop", F.when(F.col("position").isNotNull(), F.least(F.floor(F.col("position") * (stops - 1)), F.lit(stops - 2))).cast("int")).drop("_lo", "_hi")
 
 
 # Pixel-size presets in matching order.

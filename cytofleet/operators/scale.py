@@ -53,6 +53,8 @@ def prefix_sums(
     task and only the per-range totals (at most ``BUCKETS`` per group) are scanned together.
     """
     keys = list(keys)
+    if not keys:
+        return prefix_sums(df.withColumn("_all", F.lit(1)), ["_all"], order, sums, limit).drop("_all")
     limit = GROUP_LIMIT if limit is None else limit
     if largest_group(df, keys) <= limit:
         w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)

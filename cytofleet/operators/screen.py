@@ -9,8 +9,12 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from cytofleet.functions.scalar import mix31
 from cytofleet.functions.tails import correlation_p_udf, rank_sum_p_udf
 from cytofleet.operators.population import summarise
-from cytofleet.operators.scale import prefix_sums, top_k, value_ranks
+from cytofleet.operators.scale import attach_stats, prefix_sums, top_k, value_ranks
 from cytofleet.schema import present
+from cytofleet.session import pin
+
+# Largest rank table (rows) that is broadcast; about 10 MB.
+BROADCAST_ROWS = 300_000
 
 # The two blocks of the screen and the compared features.
 BLOCK_A = ["glycocalyx_" + s for s in (
@@ -28,46 +32,73 @@ COMPARED = [
 
 
 def pair_correlations(df: DataFrame, columns_a: dict[str, Column | dict[str, Column]], columns_b: dict[str, Column | dict[str, Column]],
-                      keys: Sequence[str] = (), min_n: int = 2) -> DataFrame:
+                      keys: Sequence[str] = (), min_n: int = 2, chunk: int = 7) -> DataFrame:
     """Pearson r over pairwise complete rows for every (a, b): (keys, a, b, n, r).
 
-    Rows are fanned out over the a-side only and reduced before the shuffle. A column may be a dict
-    ``partner -> Column`` when its values depend on the partner. Constant sides give NULL.
+    Rows are fanned out by a and by runs of ``chunk`` partners (which keeps the aggregation within
+    code generation) and reduced to sums before the shuffle. A column may be a dict
+    ``partner -> Column`` when its values depend on the partner. Columns should be roughly centred.
+    Constant sides give NULL.
     """
     pick = lambda c, other: c[other] if isinstance(c, dict) else c
+    runs = [list(columns_b)[i:i + chunk] for i in range(0, len(columns_b), chunk)]
+    width = max(len(r) for r in runs)
+    none = F.lit(None).cast("double")
     fan = F.array(*[
-        F.struct(F.lit(a).alias("a"), *[pick(ca, b).alias(f"x{j}") for j, b in enumerate(columns_b)],
-                 *[pick(cb, a).alias(f"y{j}") for j, cb in enumerate(columns_b.values())])
-        for a, ca in columns_a.items()])
+        F.struct(F.lit(a).alias("a"), F.lit(g).alias("g"), *[
+            (pick(ca, run[j]) if j < len(run) else none).alias(f"x{j}") for j in range(width)], *[
+            (pick(columns_b[run[j]], a) if j < len(run) else none).alias(f"y{j}") for j in range(width)])
+        for a, ca in columns_a.items() for g, run in enumerate(runs)])
     rows = df.select(*keys, F.inline(fan))
     aggs = []
-    for j in range(len(columns_b)):
+    for j in range(width):
         both = F.col(f"x{j}").isNotNull() & F.col(f"y{j}").isNotNull()
         x, y = F.when(both, F.col(f"x{j}")), F.when(both, F.col(f"y{j}"))
-        aggs += [F.count(x).alias(f"n{j}"), F.when((F.min(x) < F.max(x)) & (F.min(y) < F.max(y)), F.corr(x, y)).alias(f"r{j}")]
-    g = rows.groupBy(*keys, "a").agg(*aggs)
-    out = F.array(*[F.struct(F.lit(b).alias("b"), F.col(f"n{j}").alias("n"), F.col(f"r{j}").alias("r")) for j, b in enumerate(columns_b)])
-    g = g.select(*keys, "a", F.inline(out))
-    return g.withColumn("r", F.when(F.col("n") >= min_n, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("r")))))
+        aggs += [F.count(x).alias(f"n{j}"), F.sum(x).alias(f"sx{j}"), F.sum(y).alias(f"sy{j}"), F.sum(x * x).alias(f"sxx{j}"), F.sum(y * y).alias(f"syy{j}"),
+                 F.sum(x * y).alias(f"sxy{j}"), F.min(x).alias(f"x0{j}"), F.max(x).alias(f"x1{j}"), F.min(y).alias(f"y0{j}"), F.max(y).alias(f"y1{j}")]
+    g = rows.groupBy(*keys, "a", "g").agg(*aggs)
+    names = F.array(*[F.array(*[F.lit(run[j] if j < len(run) else None).cast("string") for j in range(width)]) for run in runs])
+    parts = ("n", "sx", "sy", "sxx", "syy", "sxy", "x0", "x1", "y0", "y1")
+    out = F.array(*[F.struct(F.get(F.get(names, F.col("g")), F.lit(j)).alias("b"), *[F.col(f"{s}{j}").alias(s) for s in parts]) for j in range(width)])
+    g = g.select(*keys, "a", F.inline(out)).filter("b is not null")
+    n = F.col("n")
+    cov = F.col("sxy") - F.try_divide(F.col("sx") * F.col("sy"), n)
+    vx, vy = F.col("sxx") - F.try_divide(F.col("sx") * F.col("sx"), n), F.col("syy") - F.try_divide(F.col("sy") * F.col("sy"), n)
+    ok = (n >= min_n) & (F.col("x0") < F.col("x1")) & (F.col("y0") < F.col("y1")) & (vx > 0) & (vy > 0)
+    r = F.when(ok, F.try_divide(cov, F.sqrt(vx) * F.sqrt(vy)))
+    return g.select(*keys, "a", "b", "n", r.alias("r")).withColumn(
+        "r", F.when(F.col("r").isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("r")))))
+
+
+def centred(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
+    """Subtract group means (keeps later product sums exact enough)."""
+    d = attach_stats(df.select(*keys, *[F.col(c).cast("double").alias(c) for c in columns]), list(keys), *[F.avg(c).alias(f"{c}@m") for c in columns])
+    return d.select(*keys, *[(F.col(c) - F.col(f"{c}@m")).alias(c) for c in columns])
 
 
 def correlation_matrix(cells: DataFrame, features: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
     """Pairwise complete Pearson of all features (both triangles and the diagonal)."""
-    c = {f: F.col(f).cast("double") for f in features}
-    return pair_correlations(cells, c, c, keys)
+    c = {f: F.col(f) for f in features}
+    return pair_correlations(centred(cells, features, keys), c, c, keys)
 
 
 def validity_classes(df: DataFrame, features: Sequence[str]) -> dict[str, str]:
     """feature -> representative with exactly the same NULL rows (features of one family share NULLs).
 
-    One aggregation over all feature pairs; the driver receives a single row of counts.
+    Per row the NULLs form a bit mask; OR-ing, for each feature, the masks of the rows that disagree
+    with it leaves one small row for the driver.
     """
-    pairs = [(a, b) for i, a in enumerate(features) for b in features[i + 1:]]
-    row = df.agg(*[F.count_if(F.col(a).isNull() != F.col(b).isNull()).alias(f"{i}") for i, (a, b) in enumerate(pairs)]).first()
+    bits = F.lit(0).cast("long")
+    for i, f in enumerate(features):
+        bits = bits.bitwiseOR(F.when(F.col(f).isNull(), F.lit(1 << i)).otherwise(F.lit(0)).cast("long"))
+    d = df.select(bits.alias("_m"))
+    row = d.agg(*[F.bit_or(F.when(F.col("_m").bitwiseAND(F.lit(1 << i)) != 0, F.bitwise_not("_m")).otherwise(F.col("_m"))).alias(f"m{i}") for i in range(len(features))]).first()
     rep = {f: f for f in features}
-    for i, (a, b) in enumerate(pairs):
-        if row[str(i)] == 0 and rep[b] == b:
-            rep[b] = rep[a]
+    for i, a in enumerate(features):
+        for j in range(i + 1, len(features)):
+            b = features[j]
+            if not ((row[f"m{i}"] or 0) >> j) & 1 and rep[b] == b:
+                rep[b] = rep[a]
     return rep
 
 
@@ -81,16 +112,31 @@ def correlation_screen(cells: DataFrame, block_a: Sequence[str] = tuple(BLOCK_A)
     """
     a_cols, b_cols = present(cells, list(block_a)), present(cells, list(block_b))
     if method == "pearson":
-        return pair_correlations(cells, {c: F.col(c) for c in a_cols}, {c: F.col(c) for c in b_cols}, keys, 5)
+        mid = centred(cells, [*a_cols, *b_cols], keys)
+        return pair_correlations(mid, {c: F.col(c) for c in a_cols}, {c: F.col(c) for c in b_cols}, keys, 5)
     rep = validity_classes(cells, a_cols + b_cols)
     tasks = sorted({(a, rep[b]) for a in a_cols for b in b_cols} | {(b, rep[a]) for a in a_cols for b in b_cols})
     name = {t: f"t{i}" for i, t in enumerate(tasks)}
     fan = F.array(*[F.struct(F.lit(name[t]).alias("task"), F.when(F.col(t[1]).isNotNull(), F.col(t[0]).cast("double")).alias("value")) for t in tasks])
     ids = [c for c in row_id if c not in keys]
+    cells = cells.select(*keys, *ids, *a_cols, *b_cols)
     long = cells.select(*keys, *ids, F.inline(fan)).filter(F.col("value").isNotNull())
-    ranks = value_ranks(long, [*keys, "task"], "value", limit).select(*keys, "task", "value", "rank")
-    ranked = long.join(ranks, [*keys, "task", "value"])
-    wide = ranked.groupBy(*keys, *ids).agg(*[F.max(F.when(F.col("task") == n, F.col("rank"))).alias(n) for n in name.values()])
+    ranks = pin(value_ranks(long, [*keys, "task"], "value", limit).select(*keys, "task", "value", "rank"))
+    # Rank tables measured to be small are broadcast onto the wide rows, one lookup per column; the
+    # others are joined by value in long form and gathered per row.
+    size = {r["task"]: r["n"] for r in ranks.groupBy("task").agg(F.count(F.lit(1)).alias("n")).collect()}
+    small = [t for t in tasks if size.get(name[t], 0) <= BROADCAST_ROWS]
+    wide = cells
+    for t in small:
+        look = F.broadcast(ranks.filter(F.col("task") == name[t]).select(*keys, F.col("value").alias("_v"), F.col("rank").alias(name[t])))
+        value = F.when(F.col(t[1]).isNotNull(), F.col(t[0]).cast("double"))
+        wide = wide.withColumn("_v", value).join(look, [*keys, "_v"], "left").drop("_v")
+    big = [t for t in tasks if t not in small]
+    if big:
+        part = long.filter(F.col("task").isin([name[t] for t in big])).join(ranks, [*keys, "task", "value"])
+        part = part.groupBy(*keys, *ids).agg(*[F.max(F.when(F.col("task") == name[t], F.col("rank"))).alias(name[t]) for t in big])
+        wide = wide.join(part, [*keys, *ids], "left")
+    # a group whose features are all NULL still reports its pairs
     ca = {a: {b: F.col(name[(a, rep[b])]) for b in b_cols} for a in a_cols}
     cb = {b: {a: F.col(name[(b, rep[a])]) for a in a_cols} for b in b_cols}
     return pair_correlations(wide, ca, cb, keys, 5)

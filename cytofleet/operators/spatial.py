@@ -7,7 +7,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from cytofleet.functions.scalar import mix31
 from cytofleet.operators.linear import fold_models, predict
@@ -26,49 +26,57 @@ NODE_FEATURES = [
 # --- F1, F2 ---------------------------------------------------------------
 
 
-def knn_edges(points: DataFrame, k: int = 6, keys: Sequence[str] = FIELD, node: str = "cell_id", max_rounds: int = 40) -> DataFrame:
+def knn_edges(points: DataFrame, k: int = 6, keys: Sequence[str] = FIELD, node: str = "cell_id", crowd: int = 48, max_rounds: int = 60) -> DataFrame:
     """Directed edges to the k nearest other points: (keys, src, dst, d2, rank), ties by id. Exact.
 
     ``points(keys, cell_id, x, y)``. Of points at one location only the first k+1 ids can be
-    anybody's neighbour, so only those are candidates. Each point looks at the 3x3 block of a grid
-    whose cells are as fine as its own surroundings allow (so dense spots use small cells), and
-    is settled once its k-th distance is below the cell side; the rest retry on cells twice as big.
+    anybody's neighbour, so only those are candidates. Each field gets a square grid with a few
+    candidates per cell on average; points in crowded cells move to grids of half the size until
+    no cell is crowded. A point looks at the 3x3 block around it and is settled once its k-th
+    distance is below the cell side; the rest retry on cells twice as big.
     """
     keys = list(keys)
     p = points.filter(F.col("x").isNotNull() & F.col("y").isNotNull()).select(*keys, F.col(node).alias("id"), "x", "y")
     box = p.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min("x").alias("_x0"), F.min("y").alias("_y0"),
                                F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y"), F.lit(1e-9)).alias("_ext"))
-    box = box.withColumn("_lv", F.greatest(F.lit(0), F.floor(F.log2(F.sqrt(F.col("_n") / float(k)))).cast("int")))
-    p = p.join(box, keys)
-    cell = lambda c, c0: F.floor((F.col(c) - F.col(c0)) / F.col("_ext") * F.pow(F.lit(2.0), F.col("level"))).cast("long")
-    levels = F.array(*[F.col("_lv") + 2 * i for i in range(6)])
-    cand = top_k(p, [*keys, "x", "y"], [F.asc("id")], k + 1, "_r").drop("_r")
-    # finest level at which a point's own cell already holds k+1 candidates
-    grid = cand.withColumn("level", F.explode(levels)).withColumns({"gx": cell("x", "_x0"), "gy": cell("y", "_y0")})
-    dense = grid.groupBy(*keys, "level", "gx", "gy").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > k).select(*keys, "level", "gx", "gy")
-    mine = p.withColumn("level", F.explode(levels)).withColumns({"gx": cell("x", "_x0"), "gy": cell("y", "_y0")})
-    start = mine.join(dense, [*keys, "level", "gx", "gy"], "left_semi").groupBy(*keys, "id").agg(F.max("level").alias("_s"))
-    todo = pin(p.join(start, [*keys, "id"], "left").withColumn("level", F.coalesce("_s", "_lv")).drop("_s"))
-    cand = pin(cand)
+    box = box.select(*keys, "_x0", "_y0", "_ext", F.greatest(F.lit(1), F.floor(F.sqrt(F.col("_n") / (0.7 * k)))).cast("int").alias("_g"))
+    p = pin(p.join(box, keys))
+    side = F.col("_ext") / F.col("_g") / F.pow(F.lit(2.0), F.col("level"))
+    cell = lambda c, c0: F.floor((F.col(c) - F.col(c0)) / side).cast("long")
+    placed = lambda d: d.withColumns({"gx": cell("x", "_x0"), "gy": cell("y", "_y0")})
+    cand = pin(top_k(p, [*keys, "x", "y"], [F.asc("id")], k + 1, "_r").drop("_r"))
+    # refine crowded cells; distinct locations end in different cells, a location holds k+1 at most
+    todo, pool = p.withColumn("level", F.lit(0)), cand.withColumn("level", F.lit(0))
+    settled_level = None
+    for _ in range(max_rounds):
+        full = pin(placed(pool).groupBy(*keys, "level", "gx", "gy").agg(F.count(F.lit(1)).alias("_c")).filter(F.col("_c") > max(crowd, 4 * k)).select(*keys, "level", "gx", "gy"))
+        if full.isEmpty():
+            break
+        at = placed(todo)
+        calm = at.join(full, [*keys, "level", "gx", "gy"], "left_anti").drop("gx", "gy")
+        settled_level = calm if settled_level is None else settled_level.unionByName(calm)
+        todo = at.join(full, [*keys, "level", "gx", "gy"], "left_semi").drop("gx", "gy").withColumn("level", F.col("level") + 1)
+        pool = placed(pool).join(full, [*keys, "level", "gx", "gy"], "left_semi").drop("gx", "gy").withColumn("level", F.col("level") + 1)
+    if settled_level is not None:
+        todo = pin(settled_level.unionByName(todo))
     out = None
     for _ in range(max_rounds):
         used = todo.select(*keys, "level").distinct()
-        c = cand.join(used, keys).withColumns({"gx": cell("x", "_x0"), "gy": cell("y", "_y0")}).select(
-            *keys, "level", "gx", "gy", F.col("id").alias("dst"), F.col("x").alias("qx"), F.col("y").alias("qy"))
-        q = todo.withColumns({"gx": cell("x", "_x0"), "gy": cell("y", "_y0")})
+        c = placed(cand.join(used, keys)).select(*keys, "level", "gx", "gy", F.col("id").alias("dst"), F.col("x").alias("qx"), F.col("y").alias("qy"))
         around = F.array(*[F.struct((F.col("gx") + i).alias("gx"), (F.col("gy") + j).alias("gy")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-        q = q.select(*keys, "level", F.col("id").alias("src"), "x", "y", (F.col("_ext") / F.pow(F.lit(2.0), F.col("level"))).alias("side"), F.inline(around))
+        whole = side >= F.col("_ext")
+        q = placed(todo).select(*keys, "level", F.col("id").alias("src"), "x", "y", side.alias("side"), whole.alias("whole"), F.inline(around))
         dx, dy = F.col("qx") - F.col("x"), F.col("qy") - F.col("y")
-        near = q.join(c, [*keys, "level", "gx", "gy"]).filter(F.col("src") != F.col("dst")).select(*keys, "level", "side", "src", "dst", (dx * dx + dy * dy).alias("d2"))
+        near = q.join(c, [*keys, "level", "gx", "gy"]).filter(F.col("src") != F.col("dst")).select(*keys, "side", "whole", "src", "dst", (dx * dx + dy * dy).alias("d2"))
+        # kept with a flag, so one checkpoint serves the settled rows and the retry list
         near = top_k(near, [*keys, "src"], [F.asc("d2"), F.asc("dst")], k)
-        done = near.groupBy(*keys, "src").agg(F.count(F.lit(1)).alias("_m"), F.max("d2").alias("_far"), F.first("side").alias("_side"), F.first("level").alias("_l"))
-        # below level 2 the block may span the field: level 0 always does
-        done = done.filter((F.col("_l") <= 0) | ((F.col("_m") == k) & (F.col("_far") < F.col("_side") * F.col("_side")))).select(*keys, "src")
-        settled = pin(near.join(done, [*keys, "src"], "left_semi").select(*keys, "src", "dst", "d2", "rank"))
+        per = Window.partitionBy(*keys, "src")  # k rows at most
+        final = F.col("whole") | ((F.max("rank").over(per) == k) & (F.max("d2").over(per) < F.col("side") * F.col("side")))
+        settled = pin(near.withColumn("_ok", final).filter("_ok").select(*keys, "src", "dst", "d2", "rank"))
         out = settled if out is None else out.unionByName(settled)
-        left = todo.join(settled.select(*keys, F.col("src").alias("id")).distinct(), [*keys, "id"], "left_anti")
-        # a lone point at level 0 has no neighbours at all
-        todo = pin(left.filter("level > 0").withColumn("level", F.col("level") - 1))
+        left = todo.join(settled.filter("rank = 1").select(*keys, F.col("src").alias("id")), [*keys, "id"], "left_anti")
+        # a point alone in its field has no neighbours at all
+        todo = pin(left.filter(~whole).withColumn("level", F.col("level") - 1))
         if todo.isEmpty():
             return out
     raise RuntimeError("nearest-neighbour search did not finish")

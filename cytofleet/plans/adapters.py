@@ -29,6 +29,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A fact table with at least one partition per core.
+
+    A small file holding a single row group is read by one task, which would then do all the
+    map-side work of an operator alone. Only such inputs are redistributed; a table with enough
+    splits (any large one) is returned as read.
+    """
+    df = table(spark, sf_dir, name)
+    cores = spark.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def _raw(v: Column) -> Column:
     """Squash a real value into (0, 1) with rational arithmetic only."""
     return (v / (F.lit(0.1) + F.abs(v)) + 1) / 2
@@ -38,7 +50,7 @@ _RAW_SQL = "(({v}) / (0.1e0 + abs({v})) + 1) / 2"
 
 
 def _tile_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    e = spread_table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     e = e.withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(63))))
     y = F.expr("cast((vec_id % 64) div 8 * 8 + p div 8 as int)")
     x = F.expr("cast(vec_id % 8 * 8 + p % 8 as int)")
@@ -188,7 +200,7 @@ _CELL_ID = "concat_ws('-', l_orderkey, l_linenumber, l_partkey)"
 
 def cells(spark: SparkSession, sf_dir: str, features: list[str] | None = None) -> DataFrame:
     """Cell table: one row per line item; field = supplier, batch = return flag."""
-    t = table(spark, sf_dir, "lineitem")
+    t = spread_table(spark, sf_dir, "lineitem")
     return t.select(
         F.col("l_suppkey").alias("field_id"),
         F.expr(_CELL_ID).alias("cell_id"),

@@ -8,7 +8,7 @@ from cytofleet.functions.scalar import mix31_sql
 from cytofleet.operators import population as P
 from cytofleet.operators import rules as B
 from cytofleet.operators import screen as Q
-from cytofleet.plans.adapters import cells, cells_sql, table
+from cytofleet.plans.adapters import cells, cells_sql, spread_table, table
 from cytofleet.plans.q_raster import RADIAL_SQL, r6, regions_sql, ring_values
 from cytofleet.plans.registry import query
 
@@ -43,7 +43,7 @@ _HASH_KEYS = ["l_orderkey", "l_partkey", "l_linenumber"]
 
 def _keyed_cells(spark, d, features):
     """Cell table that also carries its integer keys (for hash draws)."""
-    t = table(spark, d, "lineitem")
+    t = spread_table(spark, d, "lineitem")
     from cytofleet.plans.adapters import _CELL_ID, _FEATURES
     return t.select(
         F.col("l_suppkey").alias("field_id"), F.expr(_CELL_ID).alias("cell_id"), F.col("l_returnflag").alias("condition"), *_HASH_KEYS,
