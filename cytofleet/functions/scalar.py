@@ -72,19 +72,22 @@ def edge_cost(confidence: Column | str) -> Column:
 
 
 P31 = 2147483647
+_COMBINE = [1103515245, 1566083941, 1812433253, 1234567891, 1664525013]
+_ROUNDS = [(15, 1103515245), (13, 1566083941)]
 
 
 def mix31(seed: int, *keys: Column | str) -> Column:
-    """Deterministic 31-bit hash of integer keys.
+    """Deterministic 31-bit hash of up to five non-negative integer keys.
 
-    Multiply, xor-shift and modulo by a Mersenne prime only, so another SQL engine can
-    reproduce every draw digit by digit. Keys may be any non-negative integers.
+    Keys are combined linearly modulo a Mersenne prime, then two xor-shift and multiply rounds
+    scatter the result. Only integer arithmetic is used, so another SQL engine can reproduce every
+    draw digit by digit.
     """
     h = F.lit((seed * 48271 + 11) % P31).cast("bigint")
-    for k in keys:
-        h = F.pmod((h + F.pmod(col(k).cast("bigint"), F.lit(P31))) * F.lit(1103515245), F.lit(P31))
-        h = F.pmod(h.bitwiseXOR(F.shiftright(h, 15)) * F.lit(69621), F.lit(P31))
-        h = F.pmod(h.bitwiseXOR(F.shiftright(h, 13)) * F.lit(48271), F.lit(P31))
+    for k, m in zip(keys, _COMBINE, strict=False):
+        h = (h + col(k).cast("bigint") % F.lit(P31)) * F.lit(m) % F.lit(P31)
+    for s, m in _ROUNDS:
+        h = h.bitwiseXOR(F.shiftright(h, s)) * F.lit(m) % F.lit(P31)
     return h
 
 
@@ -101,8 +104,8 @@ def hash31(seed: int, *keys: Column | str) -> Column:
 def mix31_sql(seed: int, *keys: str) -> str:
     """The same hash as ANSI SQL text, for checks against another engine."""
     h = f"CAST({(seed * 48271 + 11) % P31} AS BIGINT)"
-    for k in keys:
-        h = f"((({h} + (CAST({k} AS BIGINT) % {P31})) * 1103515245) % {P31})"
-        h = f"((xor({h}, {h} >> 15) * 69621) % {P31})"
-        h = f"((xor({h}, {h} >> 13) * 48271) % {P31})"
+    for k, m in zip(keys, _COMBINE, strict=False):
+        h = f"((({h} + CAST({k} AS BIGINT) % {P31}) * {m}) % {P31})"
+    for s, m in _ROUNDS:
+        h = f"((xor({h}, {h} >> {s}) * {m}) % {P31})"
     return h

@@ -32,11 +32,25 @@ def _solve(moments: pd.Series, p: pd.Series, q: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
+def cross_moments(d: DataFrame, cols: Sequence[str], keys: Sequence[str], out: str = "_m") -> DataFrame:
+    """Sums of products of [1, cols...] per group as one flat upper triangle.
+
+    Each row is fanned out once per column and meets only as many running sums as there are columns,
+    which keeps the aggregation small enough to be compiled; partial sums leave each task.
+    """
+    n = len(cols) + 1
+    rows = d.select(*keys, *[F.col(c).cast("double").alias(f"_c{j}") for j, c in enumerate(cols, 1)])
+    fan = F.array(*[F.struct(F.lit(i).alias("_i"), (F.lit(1.0) if i == 0 else F.col(f"_c{i}")).alias("_x")) for i in range(n)])
+    rows = rows.select(*keys, *[f"_c{j}" for j in range(1, n)], F.inline(fan))
+    sums = [F.sum("_x").alias("_s0"), *[F.sum(F.col("_x") * F.col(f"_c{j}")).alias(f"_s{j}") for j in range(1, n)]]
+    g = rows.groupBy(*keys, "_i").agg(*sums)
+    g = g.withColumn("_r", F.array(*[F.col(f"_s{j}") for j in range(n)]))
+    per = g.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_i", "_r"))).alias("_l"))  # n entries
+    return per.select(*keys, F.flatten(F.transform("_l", lambda s: F.slice(s["_r"], s["_i"] + 1, F.lit(n)))).alias(out))
+
+
 def _moments(d: DataFrame, x: Sequence[str], y: Sequence[str], keys: Sequence[str]) -> DataFrame:
-    cols = [F.lit(1.0), *[F.col(c) for c in [*x, *y]]]
-    n = len(cols)
-    flat = [F.sum(cols[i] * cols[j]) for i in range(n) for j in range(i, n)]
-    return d.groupBy(*keys).agg(F.array(*flat).alias("_m"))
+    return cross_moments(d, [*x, *y], keys)
 
 
 def fold_models(d: DataFrame, x: Sequence[str], y: Sequence[str], keys: Sequence[str], fold: str) -> DataFrame:

@@ -15,7 +15,8 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from cytofleet.functions.scalar import unit31
-from cytofleet.operators.scale import GROUP_LIMIT, attach_stats, largest_group, quantiles, top_k
+from cytofleet.operators.linear import cross_moments
+from cytofleet.operators.scale import GROUP_LIMIT, attach_stats, evaluated, largest_group, quantiles, top_k
 from cytofleet.schema import present
 from cytofleet.session import pin
 
@@ -46,7 +47,7 @@ def summarise(df: DataFrame, keys: Sequence[str], features: Sequence[str],
 
 
 def residualise(cells: DataFrame, y: str = "yap_nc_ratio", x: str = "cell_area", out: str = "yap_nc_ratio_size_corrected",
-                keys: Sequence[str] = FIELD, min_rows: int = 30, min_r2: float = 0.05) -> DataFrame:
+                keys: Sequence[str] = FIELD, min_rows: int = 30, min_r2: float = 0.05, keep: bool = False) -> DataFrame:
     """Remove the linear effect of ``x`` per field when it explains enough variance.
 
     Adds the corrected column, ``slope``, ``r2`` and ``applied``. Absent inputs give a NULL column.
@@ -57,7 +58,7 @@ def residualise(cells: DataFrame, y: str = "yap_nc_ratio", x: str = "cell_area",
     both = F.col(x).isNotNull() & F.col(y).isNotNull()
     xs, ys = F.when(both, F.col(x)), F.when(both, F.col(y))
     d = attach_stats(cells, keys, F.count(xs).alias("_n"), F.avg(xs).alias("_mx"), F.var_pop(xs).alias("_vx"),
-                     F.var_pop(ys).alias("_vy"), F.covar_pop(ys, xs).alias("_c"))
+                     F.var_pop(ys).alias("_vy"), F.covar_pop(ys, xs).alias("_c"), keep=keep)
     enough, spread = F.col("_n") >= min_rows, F.col("_vx") > 0
     slope = F.when(enough, F.when(spread, F.try_divide(F.col("_c"), F.col("_vx"))).otherwise(0.0))
     r2 = F.when(enough, F.when(spread & (F.col("_vy") > 0), F.try_divide(F.col("_c") * F.col("_c"), F.col("_vx") * F.col("_vy"))).otherwise(0.0))
@@ -83,12 +84,13 @@ def bootstrap_slope_ci(cells: DataFrame, y: str, x: str, row_keys: Sequence[str]
     d = cells.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, *row_keys, F.col(x).alias("_x"), F.col(y).alias("_y"))
     d = attach_stats(d, keys, F.avg("_x").alias("_mx"), F.avg("_y").alias("_my"))
     d = d.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
-    d = d.withColumn("_u", unit31(seed, "replicate", *row_keys))
-    w = F.lit(0)
-    for cut in POISSON1_CDF:
-        w = w + (F.col("_u") >= cut).cast("int")
+    d = evaluated(d, {"_u": unit31(seed, "replicate", *row_keys)})
+    w = F.when(F.col("_u") < POISSON1_CDF[0], 0.0)
+    for i, cut in enumerate(POISSON1_CDF[1:], 1):
+        w = w.when(F.col("_u") < cut, float(i))
     # centred on the field means, so the sums keep their digits
-    d = d.withColumns({"_w": w.cast("double"), "_x": F.col("_x") - F.col("_mx"), "_y": F.col("_y") - F.col("_my")}).filter("_w > 0")
+    d = evaluated(d, {"_w": w.otherwise(float(len(POISSON1_CDF)))}).filter("_w > 0").withColumns(
+        {"_x": F.col("_x") - F.col("_mx"), "_y": F.col("_y") - F.col("_my")})
     s = d.groupBy(*keys, "replicate").agg(
         F.sum("_w").alias("w"), F.sum(F.col("_w") * F.col("_x")).alias("sx"), F.sum(F.col("_w") * F.col("_y")).alias("sy"),
         F.sum(F.col("_w") * F.col("_x") * F.col("_x")).alias("sxx"), F.sum(F.col("_w") * F.col("_x") * F.col("_y")).alias("sxy"))
@@ -104,7 +106,7 @@ def bootstrap_slope_ci(cells: DataFrame, y: str, x: str, row_keys: Sequence[str]
 # --- E3 .. E6 ---------------------------------------------------------------
 
 
-def zscores(cells: DataFrame, features: Sequence[str], keys: Sequence[str] = FIELD) -> DataFrame:
+def zscores(cells: DataFrame, features: Sequence[str], keys: Sequence[str] = FIELD, keep: bool = False) -> DataFrame:
     """Adds ``z_<feature>``: population z over non-null rows; one value gives NULL, zero spread gives 0.
 
     A leading minus sign inverts the feature (the output name has no sign).
@@ -113,7 +115,7 @@ def zscores(cells: DataFrame, features: Sequence[str], keys: Sequence[str] = FIE
     aggs = []
     for f, _ in names:
         aggs += [F.count(f).alias(f"{f}@n"), F.avg(f).alias(f"{f}@m"), F.stddev_pop(f).alias(f"{f}@s")]
-    d = attach_stats(cells, keys, *aggs)
+    d = attach_stats(cells, keys, *aggs, keep=keep)
     out = {}
     for f, inverted in names:
         diff = F.col(f"{f}@m") - F.col(f) if inverted else F.col(f) - F.col(f"{f}@m")
@@ -162,15 +164,14 @@ def composite_score(cells: DataFrame, panel: Sequence[str] = tuple(SCORE_PANEL),
     names = [f.lstrip("-") for f in have]
     p = len(names)
     z = [f"z_{f}" for f in names]
-    d = zscores(cells, have, keys)
+    d = zscores(cells, have, keys, keep=True)
     complete = F.lit(True)
     for c in z:
         complete = complete & F.col(c).isNotNull()
     d = d.withColumn("_full", complete)
-    cols = [F.lit(1.0), *[F.col(c) for c in z]]
-    flat = [F.sum(F.when(F.col("_full"), cols[i] * cols[j])).alias(f"_{i}_{j}") for i in range(p + 1) for j in range(i, p + 1)]
-    stats = d.groupBy(*keys).agg(F.count_if("_full").alias("n_complete"), *flat)
-    stats = stats.select(*keys, "n_complete", F.array(*[F.col(f"_{i}_{j}") for i in range(p + 1) for j in range(i, p + 1)]).alias("_cov"))
+    moments = cross_moments(d.filter("_full"), z, keys, "_cov").withColumn("_c", F.get("_cov", F.lit(0)).cast("long"))
+    every = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("_r")).drop("_r")
+    stats = every.join(moments, list(keys), "left").select(*keys, F.coalesce("_c", F.lit(0).cast("long")).alias("n_complete"), "_cov")
     floor = max(30, 5 * p)
     use = (F.col("n_complete") >= floor) if mode == "pca" else F.lit(False)
     stats = stats.withColumn("_use", use)

@@ -21,11 +21,25 @@ GROUP_LIMIT = 2_000_000
 BUCKETS = 256
 
 
-def attach_stats(df: DataFrame, keys: Sequence[str], *aggs: Column) -> DataFrame:
-    """Add group aggregates to every row without a per-group window."""
+def attach_stats(df: DataFrame, keys: Sequence[str], *aggs: Column, keep: bool = False) -> DataFrame:
+    """Add group aggregates to every row without a per-group window.
+
+    ``keep`` materialises the statistics (one row per group) when the result is read repeatedly.
+    Without keys the statistics are a single row.
+    """
     keys = list(keys)
     stats = df.groupBy(*keys).agg(*aggs)
-    return df.join(stats, keys) if keys else df.crossJoin(F.broadcast(stats))
+    stats = pin(stats) if keep else stats
+    return df.join(stats, keys) if keys else df.join(F.broadcast(stats))
+
+
+def evaluated(df: DataFrame, cols: dict[str, Column]) -> DataFrame:
+    """Add columns that are computed once per row.
+
+    The optimizer merges adjacent projections, so an expensive column used in many aggregates would
+    be evaluated once per use. A one-element generator keeps its result as a value.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in cols.items()]))))
 
 
 def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, rank_col: str = "rank") -> DataFrame:

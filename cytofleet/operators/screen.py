@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from cytofleet.functions.scalar import mix31
 from cytofleet.functions.tails import correlation_p_udf, rank_sum_p_udf
 from cytofleet.operators.population import summarise
-from cytofleet.operators.scale import attach_stats, prefix_sums, top_k, value_ranks
+from cytofleet.operators.scale import attach_stats, largest_group, prefix_sums, top_k, value_ranks
 from cytofleet.schema import present
 from cytofleet.session import pin
 
@@ -148,13 +148,20 @@ def with_parametric_p(pairs: DataFrame) -> DataFrame:
     return known.unionByName(pairs.filter(F.col("r").isNull()).withColumn("p", F.lit(None).cast("double")))
 
 
-def hash_order(df: DataFrame, keys: Sequence[str], hashed: str, tie: Sequence[str], out: str, bits: int = 31, buckets: int = 64) -> DataFrame:
-    """0-based position of each row by (hash, tie) within a group.
+def hash_buckets(df: DataFrame, keys: Sequence[str], rows: int = 500_000) -> int:
+    """Power-of-two bucket count that keeps every hash range of the largest group near ``rows`` rows."""
+    n = largest_group(df, keys) if keys else df.count()
+    return min(1 << 20, 1 << max(0, (n - 1) // rows).bit_length())
 
-    Hash values are uniform, so fixed hash ranges give equal buckets; no task orders a whole group.
+
+def hash_order(df: DataFrame, keys: Sequence[str], hashed: str, tie: Sequence[str], out: str, buckets: int | None = None) -> DataFrame:
+    """0-based position of each row by (31-bit hash, tie) within a group.
+
+    Hash values are uniform, so equal hash ranges are equal shares of a group; their number follows
+    the measured size of the largest group and no task orders a whole hot group.
     """
-    b = F.shiftright(F.col(hashed), bits - buckets.bit_length() + 1).cast("int")
-    d = df.withColumn("_b", b)
+    k = hash_buckets(df, keys) if buckets is None else buckets
+    d = df.withColumn("_b", F.shiftright(F.col(hashed), 32 - k.bit_length()).cast("int"))
     sizes = d.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_n"))
     w = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     base = sizes.select(*keys, "_b", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_base"))
@@ -180,9 +187,10 @@ def permutation_p(cells: DataFrame, x: str, y: str, permutations: int, row_keys:
     obs = d.groupBy(*keys).agg(
         n.alias("n"), F.sum(dec(F.col("rx") * F.col("ry"))).alias("_xy"), F.sum(dec(F.col("rx"))).alias("_sx"), F.sum(dec(F.col("ry"))).alias("_sy"),
         (F.min("rx") < F.max("rx")).alias("_vx"), (F.min("ry") < F.max("ry")).alias("_vy"))
-    base = hash_order(d.withColumn("_h", mix31(seed, *row_keys)), keys, "_h", row_keys, "_pos").select(*keys, "_pos", "rx")
+    k = hash_buckets(d, keys)
+    base = hash_order(d.withColumn("_h", mix31(seed, *row_keys)), keys, "_h", row_keys, "_pos", k).select(*keys, "_pos", "rx")
     shuffled = d.select(*keys, *row_keys, "ry").withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(permutations))))
-    shuffled = hash_order(shuffled.withColumn("_h", mix31(seed + 1, "perm", *row_keys)), [*keys, "perm"], "_h", row_keys, "_pos")
+    shuffled = hash_order(shuffled.withColumn("_h", mix31(seed + 1, "perm", *row_keys)), [*keys, "perm"], "_h", row_keys, "_pos", k)
     met = shuffled.select(*keys, "perm", "_pos", "ry").join(base, [*keys, "_pos"]).groupBy(*keys, "perm").agg(
         F.sum(dec(F.col("rx") * F.col("ry"))).alias("_p"))
     j = met.join(obs, keys) if keys else met.join(F.broadcast(obs))

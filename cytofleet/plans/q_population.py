@@ -88,7 +88,7 @@ _PANEL_IN = ["yap_nc_ratio", "cell_area"] + [f.lstrip("-") for f in P.SCORE_PANE
 
 
 def scored(spark, d):
-    return P.composite_score(P.residualise(cells(spark, d, _PANEL_IN)))
+    return P.composite_score(P.residualise(cells(spark, d, _PANEL_IN), keep=True))
 
 
 @query("E4_composite_score_pc1")
@@ -260,21 +260,20 @@ def e16(spark, d):
     return rnd(Q.permutation_p(c, "glycocalyx_coverage", "fa_mean_area", _PERM, _HASH_KEYS, ["field_id"]))
 
 
-# The family for the q-value check: one p per supplier, a rational function of its data.
-_PV = "CASE WHEN field_id % 11 = 0 THEN NULL ELSE 1e0 / (1e0 + n * n / 1000e0 + (field_id % 7) * s / 100e0) END"
+# A rational stand-in for the tail probability, so that another engine can form the same family:
+# all feature pairs of the correlation matrix, the diagonal without a p.
+_PV = "CASE WHEN a <> b THEN round(1e0 / (1e0 + n * r * r / 50e0), 9) END"
 
 
-@query("E17_benjamini_hochberg", "WITH " + cells_sql(["cell_area"]) + f""",
-f AS (SELECT field_id, count(*) AS n, sum(cell_area) / 100e0 AS s FROM cells GROUP BY ALL), g AS (SELECT field_id, {_PV} AS p FROM f),
-h AS (SELECT *, row_number() OVER (ORDER BY p, field_id) AS i, count(*) OVER () AS m FROM g WHERE p IS NOT NULL)
-SELECT field_id, round(p, 9) AS p, round(least(1, min(p * m / i) OVER (ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 9) AS q,
-       CASE WHEN q0 < 0.001 THEN '***' WHEN q0 < 0.01 THEN '**' WHEN q0 < 0.05 THEN '*' END AS stars
-FROM (SELECT *, least(1, min(p * m / i) OVER (ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS q0 FROM h)
-UNION ALL SELECT field_id, NULL, NULL, NULL FROM g WHERE p IS NULL""")
+@query("E17_benjamini_hochberg", "WITH " + cells_sql(_CM) + ", c AS (" + " UNION ALL ".join(
+    f"SELECT '{a}' AS a, '{b}' AS b, count(*) FILTER ({a} IS NOT NULL AND {b} IS NOT NULL) AS n, round(corr({a}, {b}), 6) AS r FROM cells" for a in _CM for b in _CM) + f"""),
+g AS (SELECT a, b, {_PV} AS p FROM c), h AS (SELECT *, row_number() OVER (ORDER BY p, a, b) AS i, count(*) OVER () AS m FROM g WHERE p IS NOT NULL),
+q AS (SELECT a, b, p, least(1, min(p * m / i) OVER (ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS q FROM h)
+SELECT a, b, p, round(q, 9) AS q, CASE WHEN q < 0.001 THEN '***' WHEN q < 0.01 THEN '**' WHEN q < 0.05 THEN '*' END AS stars FROM q
+UNION ALL SELECT a, b, NULL, NULL, NULL FROM g WHERE p IS NULL""")
 def e17(spark, d):
-    f = cells(spark, d, ["cell_area"]).groupBy("field_id").agg(F.count(F.lit(1)).alias("n"), (F.sum("cell_area") / 100).alias("s"))
-    p = f.select("field_id", F.expr(_PV).alias("p"))
-    q = Q.benjamini_hochberg(p, tie=["field_id"])
+    c = rnd(Q.correlation_matrix(cells(spark, d, _CM), _CM))
+    q = Q.benjamini_hochberg(c.select("a", "b", F.expr(_PV).alias("p")))
     return rnd(q.withColumn("stars", B.stars(F.col("q"))), 9)
 
 

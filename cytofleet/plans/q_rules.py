@@ -216,12 +216,10 @@ def _catalogue(spark, d):
 
 @query("H3_catalogue_search", """WITH c AS (SELECT concat_ws(' ', p_name, p_partkey) AS name, p_brand AS source, p_type AS note, CASE WHEN p_size % 3 > 0 THEN p_size / 100e0 END AS px, p_size FROM part),
 k AS (SELECT * FROM c WHERE contains(lower(concat_ws(' ', name, source, note)), 'brand#1') AND p_size % 2 = 0 AND p_size % 4 = 0)
-SELECT name, source, px AS pixel_size_um, CAST(row_number() OVER (ORDER BY px NULLS LAST, name) AS INT) AS position FROM k""")
+SELECT name, source, px AS pixel_size_um FROM k ORDER BY px NULLS LAST, name""")
 def h3(spark, d):
     hit = B.search_catalogue(_catalogue(spark, d), " Brand#1 ", "real", "other stain")
-    from pyspark.sql import Window
-    w = Window.orderBy(F.asc_nulls_last("pixel_size_um"), "name")
-    return B.sort_catalogue(hit, "pixel_size").select("name", "source", "pixel_size_um", F.row_number().over(w).alias("position"))
+    return B.sort_catalogue(hit, "pixel_size").select("name", "source", "pixel_size_um")
 
 
 @query("H4_facet_counts", """WITH c AS (SELECT p_size AS s FROM part)

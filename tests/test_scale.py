@@ -60,10 +60,11 @@ def test_hash_order_is_a_permutation(skewed):
     from cytofleet.functions.scalar import mix31
 
     _, df = skewed
-    o = Q.hash_order(df.withColumn("h", mix31(1, "id")), ["k"], "h", ["id"], "pos").toPandas()
-    for _, g in o.groupby("k"):
-        assert sorted(g["pos"]) == list(range(len(g)))
-        assert list(g.sort_values("pos")["h"]) == sorted(g["h"])
+    for buckets in (None, 1, 64):
+        o = Q.hash_order(df.withColumn("h", mix31(1, "id")), ["k"], "h", ["id"], "pos", buckets).toPandas()
+        for _, g in o.groupby("k"):
+            assert sorted(g["pos"]) == list(range(len(g)))
+            assert list(g.sort_values("pos")["h"]) == sorted(g["h"])
 
 
 def test_attach_stats_has_no_group_window(skewed):
