@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cytofleet.functions.scalar import edge_cost
-from cytofleet.operators.scale import quantiles
+from cytofleet.operators.scale import quantiles, with_panel
 from cytofleet.session import pin
 
 # Feature -> targets and fallback (mean, std). The third reads yap_nc_ratio.
@@ -106,10 +106,12 @@ def path_evidence(paths: DataFrame, edges: DataFrame) -> DataFrame:
 
 def median_inverse(paths: DataFrame, sources: DataFrame, targets: DataFrame) -> DataFrame:
     """Median over targets of 1/(1+d), 0 when unreachable; no targets gives 0. The panel bounds the median."""
-    grid = sources.withColumn("_k", F.lit(1)).join(targets.withColumn("_k", F.lit(1)), "_k", "left").drop("_k")
+    grid = with_panel(sources, targets)
     d = grid.join(paths.select("source", F.col("node").alias("target"), "distance"), ["source", "target"], "left")
     inv = F.coalesce(1 / (1 + F.col("distance")), F.lit(0.0))
-    return d.groupBy("source").agg(F.median(inv).alias("score"), F.count_if(F.col("distance").isNotNull()).alias("reachable"))
+    g = d.groupBy("source").agg(F.median(inv).alias("score"), F.count_if(F.col("distance").isNotNull()).alias("reachable"))
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
+    return sources.distinct().join(g, "source", "left").select("source", zero("score"), zero("reachable"))
 
 
 def rank_genes(df: DataFrame, keys: Sequence[str] = (), gene: str = "gene", score: str = "score") -> DataFrame:
@@ -196,8 +198,8 @@ def target_weights(z: DataFrame, targets: DataFrame, panel: DataFrame, keys: Seq
     """
     keys = list(keys)
     contrib = z.join(targets, "feature").groupBy(*keys, "target").agg(F.sum(F.abs("z")).alias("_w"), F.max(F.abs("z")).alias("_x"))
-    base = (z.select(*keys).distinct() if keys else z.groupBy().agg(F.count(F.lit(1)).alias("_c"))).withColumn("_k", F.lit(1))
-    grid = base.join(panel.select("target").withColumn("_k", F.lit(1)), "_k").drop("_k", "_c")
+    base = z.select(*keys).distinct() if keys else z.groupBy().agg(F.count(F.lit(1)).alias("_c"))
+    grid = with_panel(base, panel.select("target")).drop("_c")
     d = grid.join(contrib, [*keys, "target"], "left").withColumns({"_w": F.coalesce("_w", F.lit(0.0)), "_x": F.coalesce("_x", F.lit(0.0))})
     w = Window.partitionBy(*keys)
     n = F.count(F.lit(1)).over(w)
@@ -211,8 +213,8 @@ def signed_target_z(z: DataFrame, targets: DataFrame, panel: DataFrame, keys: Se
     """(keys, target, z): mean signed z per panel target, 0 without evidence."""
     keys = list(keys)
     per = z.join(targets, "feature").groupBy(*keys, "target").agg(F.avg("z").alias("z"))
-    base = (z.select(*keys).distinct() if keys else z.groupBy().agg(F.count(F.lit(1)).alias("_c"))).withColumn("_k", F.lit(1))
-    grid = base.join(panel.select("target").withColumn("_k", F.lit(1)), "_k").drop("_k", "_c")
+    base = z.select(*keys).distinct() if keys else z.groupBy().agg(F.count(F.lit(1)).alias("_c"))
+    grid = with_panel(base, panel.select("target")).drop("_c")
     return grid.join(per, [*keys, "target"], "left").withColumn("z", F.coalesce("z", F.lit(0.0)))
 
 
@@ -241,7 +243,7 @@ def rerank(prior: DataFrame, weights: DataFrame, keys: Sequence[str] = (), signe
         out = out.join(weighted_median(s, g, "_s", "weight", "signed_score"), g, "left")
     static = prior.groupBy("source", "gene").agg(F.max("rank").alias("static_rank"))
     if keys:
-        every = weights.select(*keys).distinct().withColumn("_k", F.lit(1)).join(static.withColumn("_k", F.lit(1)), "_k").drop("_k")
+        every = with_panel(weights.select(*keys).distinct(), static)
     else:
         every = static
     d = every.join(out, g, "left")
@@ -267,7 +269,7 @@ def inhibitor_lookup(inhibitors: DataFrame, ranking: DataFrame) -> DataFrame:
 
 def complete_drilldown(evidence: DataFrame, genes: DataFrame, panel: DataFrame) -> DataFrame:
     """Every (gene, panel target) gets a row: distance, path length in edges, cost and curated flag."""
-    grid = genes.select("gene").withColumn("_k", F.lit(1)).join(panel.select("target").withColumn("_k", F.lit(1)), "_k").drop("_k")
+    grid = with_panel(genes.select("gene"), panel.select("target"))
     d = grid.join(evidence, ["gene", "target"], "left")
     edges = F.filter("path_edges", lambda e: e.isNotNull())
     return d.select(

@@ -42,6 +42,16 @@ def evaluated(df: DataFrame, cols: dict[str, Column]) -> DataFrame:
     return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in cols.items()]))))
 
 
+def with_panel(df: DataFrame, panel: DataFrame, limit: int = 10_000) -> DataFrame:
+    """Every row with every row of a panel (a gene or target list).
+
+    A panel counted at ``limit`` rows or fewer is broadcast; a larger one is joined without a hint.
+    """
+    small = panel.limit(limit + 1).count() <= limit
+    right = panel.withColumn("_k", F.lit(1))
+    return df.withColumn("_k", F.lit(1)).join(F.broadcast(right) if small else right, "_k").drop("_k")
+
+
 def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, rank_col: str = "rank") -> DataFrame:
     """The first ``k`` rows per group; the limit is applied before the shuffle as well."""
     w = Window.partitionBy(*keys).orderBy(*order)
