@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cytofleet.llm import chat, pii, quality_lr, simhash, suffix
+from cytofleet.llm import chat, langid, pii, quality_lr, quality_rules, simhash, suffix
 from cytofleet.llm.common import in_split, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -77,6 +77,18 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.length("loss_text").cast("long").alias("loss_chars"), F.sha2("loss_text", 256).alias("loss_sha256"), "formatted_chars")
 
 
+@query("op7_langid")
+def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.train(docs.filter(~in_split("doc_id", 4, 2)))
+    return langid.predict(docs, model).select("doc_id", in_split("doc_id", 4, 2).alias("held_out"), "lang_pred", "score")
+
+
+@query("op9_quality_rules")
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(table(spark, sf_dir, "documents"))
+
+
 @query("op10_pii")
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = pii.find(table(spark, sf_dir, "documents"))
