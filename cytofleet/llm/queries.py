@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cytofleet.llm import chat, langid, packing, pii, quality_lr, quality_rules, simhash, suffix, token_counts
+from cytofleet.llm import chat, decontam, langid, packing, pii, quality_lr, quality_rules, simhash, suffix, token_counts
 from cytofleet.llm.common import in_split, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,6 +31,11 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", in_split("doc_id", 5, 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+@query("op2_decontam")
+def op2_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query("op3_suffix_dedup")
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = suffix.remove(table(spark, sf_dir, "documents"))
