@@ -23,6 +23,9 @@ matched without backtracking.
 
 from __future__ import annotations
 
+import operator
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from cytofleet.llm.common import stage
@@ -67,20 +70,29 @@ def _valid_phone(m: Column) -> Column:
 _TEST = {"email": lambda m: F.lit(True), "ip": _valid_ip, "card": _valid_card, "phone": _valid_phone}
 
 
-def running(lengths: Column) -> Column:
-    """Sums before each element of an array of longs, in blocks, so that long arrays cost no quadratic time."""
-    n = F.size(lengths)
+def _blocks(values: Column) -> Column:
+    """An array cut into arrays of ``_BLOCK`` elements."""
+    n = F.size(values)
     numbers = F.when(n > 0, F.sequence(F.lit(0), F.floor((n - 1) / _BLOCK).cast("int"))).otherwise(F.array().cast("array<int>"))
-    cut = F.transform(numbers, lambda b: F.slice(lengths, b * _BLOCK + 1, F.lit(_BLOCK)))
+    return F.transform(numbers, lambda b: F.slice(values, b * _BLOCK + 1, F.lit(_BLOCK)))
+
+
+def running(values: Column, step: Callable[[Column, Column], Column] = operator.add) -> Column:
+    """Sums (or another fold from 0) before each element of an array of longs.
+
+    Arrays are folded in blocks, so that long ones cost no quadratic time. ``values`` must be a column of its own: an
+    expression would be worked out once per block.
+    """
+    cut = _blocks(values)
+    zero = F.lit(0).cast("bigint")
 
-    def sums(values: Column, start: Column) -> Column:
+    def before(values: Column, start: Column) -> Column:
         first = F.struct(start.alias("at"), F.array().cast("array<bigint>").alias("out"))
         return F.aggregate(values, first, lambda a, x: F.struct(
-            (a["at"] + x).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")), lambda a: a["out"])
+            step(a["at"], x).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")), lambda a: a["out"])
 
-    total = F.transform(cut, lambda c: F.aggregate(c, F.lit(0).cast("bigint"), lambda a, x: a + x))
-    return F.flatten(F.transform(F.arrays_zip(cut.alias("c"), sums(total, F.lit(0).cast("bigint")).alias("s")),
-                                 lambda z: sums(z["c"], z["s"])))
+    total = F.transform(cut, lambda c: F.aggregate(c, zero, lambda a, x: step(a, x)))
+    return F.flatten(F.transform(F.arrays_zip(cut.alias("c"), before(total, zero).alias("s")), lambda z: before(z["c"], z["s"])))
 
 
 def _matched(df: DataFrame, name: str, pattern: str, near: bool = False) -> DataFrame:
@@ -187,3 +199,29 @@ def find(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), rounds: int = 3,
 
 def listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
+def mask(df: DataFrame, spans: str, text: str = "text") -> DataFrame:
+    """``df`` with every run of overlapping spans in ``text`` replaced by the kind of its first span, as ``[kind]``.
+
+    ``spans`` names an array<struct<kind, start, end>>. The text between spans is cut out block by block.
+    """
+    df = df.withColumn("_o", F.array_sort(F.transform(spans, lambda s: F.struct(
+        s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))))
+    df = df.withColumn("_e", F.transform("_o", lambda s: s["end"]))
+    df = df.withColumn("_r", F.when(F.size("_e") > 0, running(F.col("_e"), F.greatest)))
+    df = df.withColumn("_z", F.arrays_zip(F.col("_o").alias("s"), F.col("_r").alias("r")))
+    df = df.withColumn("_b", F.when(F.size("_z") > 0, _blocks(F.col("_z"))))
+
+    def block(c: Column) -> Column:
+        low = F.get(c, F.lit(0))["r"]
+        part = F.substring(text, (low + 1).cast("int"), F.greatest(F.element_at(c, -1)["s"]["start"] - low, F.lit(0)).cast("int"))
+        one = lambda held: F.array_join(F.transform(c, lambda z: F.when(
+            z["s"]["start"] >= z["r"],
+            F.concat(F.substring(held, (z["r"] - low + 1).cast("int"), (z["s"]["start"] - z["r"]).cast("int")),
+                     F.lit("["), z["s"]["kind"], F.lit("]"))).otherwise("")), "")
+        return F.get(F.transform(F.array(part), one), F.lit(0))
+
+    tail = F.substring(text, (F.array_max("_e") + 1).cast("int"), F.length(text))
+    done = F.when(F.size("_b") > 0, F.concat(F.array_join(F.transform("_b", block), ""), tail)).otherwise(F.col(text))
+    return df.withColumn(text, done).drop("_o", "_e", "_r", "_z", "_b")
