@@ -91,7 +91,7 @@ def pack(
     before = Window.partitionBy("bucket").orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counted.select("bucket", "_r", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_o"))
     placed = dealt.withColumn("_i", F.row_number().over(inside) - 1).join(offsets, ["bucket", "_r"])
-    fits = F.greatest(F.lit(1).cast("long"), F.floor(F.lit(budget) / F.col("bucket")))
+    fits = F.greatest(F.lit(1).cast("long"), F.floor(F.lit(budget) / F.greatest(F.col("bucket"), F.lit(1))))
     spot = F.col("_o") + F.col("_i")
     full = placed.withColumns({"batch": F.floor(spot / fits), "place": spot % fits})
     empty = pieces.filter("length <= 0").withColumns({
