@@ -212,8 +212,8 @@ def repeated(docs: DataFrame, window: int = 400, group: int | None = None) -> Da
                     row, inner, shift = row[mine], inner[mine], shift[mine]
                 hit = equal_windows(number[row] * 1024 + shift, offset[row] + inner, token, window)
                 row, inner = row[hit], inner[hit]
-                cut = np.flatnonzero(np.r_[True, row[1:] != row[:-1]]) if row.size else []
-                for a, b in zip(cut, [*cut[1:], row.size], strict=True):
+                cut = [*np.flatnonzero(np.diff(row, prepend=-1)), row.size]
+                for a, b in zip(cut, cut[1:]):
                     hits[row[a]][inner[a:b]] = True
             own = [k for k, r in enumerate(held) if r[2] == 1 and hits[k].any()]
             return pa.RecordBatch.from_arrays(
