@@ -259,8 +259,19 @@ def batch_effect(cells: DataFrame, features: Sequence[str], batch: str = "batch"
         "feature", F.sqrt(F.try_divide(F.col("b"), F.col("w"))).alias("ratio"))
 
 
+# Reasons why a batch effect is not assessed.
+MISSING_BATCH = "batch column '{}' missing"
+SINGLE_BATCH = "single batch — no inter-batch shift to measure"
+NO_FEATURE = "no feature with finite values across multiple batches"
+
+
 def batch_effect_summary(cells: DataFrame, features: Sequence[str], batch: str = "batch") -> DataFrame:
     """One row: applicable, reason, batches, features assessed, max and median ratio."""
+    if batch not in cells.columns:
+        none = cells.sparkSession.range(1)
+        return none.select(
+            F.lit(False).alias("applicable"), F.lit(MISSING_BATCH.format(batch)).alias("reason"), F.lit(0).cast("long").alias("n_batches"),
+            F.lit(0).cast("long").alias("n_features"), F.lit(None).cast("double").alias("max_ratio"), F.lit(None).cast("double").alias("median_ratio"))
     k = cells.groupBy(batch).agg(F.count(F.lit(1)).alias("_")).agg(F.count(F.lit(1)).alias("n_batches"))
     # one row per feature, so the median stays small
     r = batch_effect(cells, features, batch).agg(
@@ -269,7 +280,7 @@ def batch_effect_summary(cells: DataFrame, features: Sequence[str], batch: str =
     few = F.col("n_batches") < 2
     return j.select(
         (~few & (F.col("n_features") > 0)).alias("applicable"),
-        F.when(few, "single batch").when(F.col("n_features") == 0, "no feature with finite values across batches").alias("reason"),
+        F.when(few, SINGLE_BATCH).when(F.col("n_features") == 0, NO_FEATURE).alias("reason"),
         "n_batches", F.when(few, 0).otherwise(F.col("n_features")).alias("n_features"), F.when(~few, F.col("max_ratio")).alias("max_ratio"),
         F.when(~few, F.col("median_ratio")).alias("median_ratio"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from cytofleet.operators.scale import attach_stats
 from cytofleet.schema import CHANNELS, numeric_columns, present
@@ -123,22 +123,67 @@ def narrative_tag(ratio_z: Column, yap: Column, fa: Column, actin: Column, yap_r
 
 # --- B12 ------------------------------------------------------------------
 
-# Signature layers and gene classes.
+# Signature layers.
 LAYERS = {
     "effectors": ["YAP1", "WWTR1"], "response": ["CTGF", "CYR61", "ANKRD1"], "actomyosin": ["RHOA", "ROCK1", "ROCK2", "MYL9"],
     "adhesion": ["ITGB1", "PTK2", "VCL", "PXN", "TLN1"], "ion_channel": ["PIEZO1"],
 }
+LAYER_LABELS = {
+    "effectors": "Mechanosensitive transcriptional effectors",
+    "response": "YAP/TAZ-response genes",
+    "actomyosin": "Actomyosin tension",
+    "adhesion": "Adhesion clutch",
+    "ion_channel": "Mechanosensitive ion channel",
+}
+# Display names of targets.
+TARGET_ALIASES = {
+    "YAP1": "YAP1",
+    "WWTR1": "WWTR1/TAZ",
+    "TAZ": "WWTR1/TAZ",
+    "CTGF": "CCN2/CTGF",
+    "CCN2": "CCN2/CTGF",
+    "CYR61": "CYR61/CCN1",
+    "CCN1": "CYR61/CCN1",
+    "ANKRD1": "ANKRD1",
+    "RHOA": "RHOA",
+    "ROCK1": "ROCK1",
+    "ROCK2": "ROCK2",
+    "MYL9": "MYL9",
+    "ITGB1": "ITGB1",
+    "PTK2": "PTK2/FAK",
+    "FAK": "PTK2/FAK",
+    "VCL": "VCL",
+    "PXN": "PXN",
+    "TLN1": "TLN1",
+    "PIEZO1": "PIEZO1",
+}
+# Gene classes.
 CLASSES = {
     "HA/CD44 axis": ["CD44", "HAS1", "HAS2", "HAS3"],
-    "HSPG core": ["SDC1", "SDC2", "SDC3", "SDC4", "GPC1", "GPC3", "GPC4", "GPC6"],
-    "HS biosynthesis": ["EXT1", "EXT2", "NDST1", "NDST2", "HPSE"],
-    "glycosylation": ["MGAT5", "B4GALT1", "GFPT1", "GFPT2", "OGT"],
+    "HSPG core proteins": ["SDC1", "SDC2", "SDC3", "SDC4", "GPC1", "GPC3", "GPC4", "GPC6"],
+    "HS biosynthesis/remodeling": ["EXT1", "EXT2", "NDST1", "NDST2", "HPSE"],
+    "N/O-glycosylation and HBP/O-GlcNAc": ["MGAT5", "B4GALT1", "GFPT1", "GFPT2", "OGT"],
 }
 SIGNATURE = [g for genes in LAYERS.values() for g in genes]
+# Perturbed genes.
 PERTURBATION_PANEL = [
     "SDC1", "SDC2", "SDC3", "SDC4", "GPC1", "GPC3", "GPC4", "GPC6", "EXT1", "EXT2", "NDST1", "NDST2", "HPSE", "GFPT1", "GFPT2",
     "OGT", "MGAT5", "B4GALT1", "HAS1", "HAS2", "HAS3", "CD44"]
+# Inhibitor -> target.
 INHIBITORS = {"2-DG": "HK2", "DON": "GFPT1", "tunicamycin": "DPAGT1", "benzyl-GalNAc": "GALNT family", "PUGNAc": "OGA"}
+#: Sizes that the fixed panels must have.
+PANEL_SIZES = {"perturbation": 22, "signature": 15, "inhibitors": 5}
+
+
+def fixed_panels(spark: SparkSession) -> DataFrame:
+    """panel(panel, gene): the perturbed genes, the signature and the inhibitors' targets."""
+    rows = [("perturbation", g) for g in PERTURBATION_PANEL] + [("signature", g) for g in SIGNATURE] + [("inhibitors", g) for g in INHIBITORS.values()]
+    return spark.createDataFrame(rows, "panel string, gene string")
+
+
+def fixed_inhibitors(spark: SparkSession) -> DataFrame:
+    """inhibitors(inhibitor, target)."""
+    return spark.createDataFrame(list(INHIBITORS.items()), "inhibitor string, target string")
 
 
 def lookup(name: Column, table: dict[str, list[str]], default: str | None = None) -> Column:
@@ -148,6 +193,11 @@ def lookup(name: Column, table: dict[str, list[str]], default: str | None = None
     return hit if default is None else F.coalesce(hit, F.lit(default))
 
 
+def relabel(name: Column, table: dict[str, str]) -> Column:
+    """Value of a constant map; NULL for names that it lacks."""
+    return F.try_element_at(F.create_map(*[F.lit(v) for kv in table.items() for v in kv]), name)
+
+
 def rename_nodes(path: Column, aliases: DataFrame | dict[str, str]) -> Column:
     """Apply an alias map to every node of a path; unknown names stay."""
     m = F.create_map(*[F.lit(v) for kv in aliases.items() for v in kv])
@@ -224,7 +274,7 @@ def overlay_values(cells: DataFrame, feature: str, diverging: bool = False, stop
 
 
 # Pixel-size presets in matching order.
-PIXEL_PRESETS = [("zeiss-63x-airy", 0.084), ("leica-63x", 0.103), ("zeiss-63x", 0.137), ("zeiss-40x", 0.163), ("zeiss-20x", 0.227),
+PIXEL_PRESETS = [("leica-100x", 0.063), ("zeiss-63x-airy", 0.084), ("leica-63x", 0.103), ("zeiss-63x", 0.137), ("zeiss-40x", 0.163), ("zeiss-20x", 0.227),
                  ("leica-20x", 0.325), ("leica-20x-2x", 0.163), ("bbbc022", 0.656)]
 
 

@@ -240,14 +240,18 @@ def nation_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per.groupBy(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).agg(F.sum("n").alias("n"))
 
 
-def nation_edges(spark: SparkSession, sf_dir: str, keep: int = 2) -> DataFrame:
-    """edges(src, dst, confidence): the ``keep`` strongest partners of each lower-key nation."""
-    from cytofleet.operators.scale import attach_stats, top_k
+def nation_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """edges(src, dst, confidence): all pairs at or above the score threshold of an edge scan.
 
-    p = attach_stats(nation_pairs(spark, sf_dir), [], F.max("n").alias("m"))
-    p = top_k(p, ["src"], [F.desc("n"), F.asc("dst")], keep)
+    The score of a pair is its place between the least and the most traded pair, from 0 to 1000.
+    """
+    from cytofleet.operators.scale import attach_stats
+    from cytofleet.sources.tables import scan_edges
+
+    p = attach_stats(nation_pairs(spark, sf_dir), [], F.max("n").alias("m"), F.min("n").alias("l"))
+    score = F.floor((F.col("n") - F.col("l")) * 1000 / F.greatest(F.lit(1), F.col("m") - F.col("l")))
     name = lambda c: F.concat(F.lit("NATION_"), F.col(c).cast("string"))
-    return p.select(name("src").alias("src"), name("dst").alias("dst"), (F.col("n") / F.col("m")).alias("confidence"))
+    return scan_edges(p.select(name("src").alias("src"), name("dst").alias("dst"), score.alias("score")))
 
 
 NATION_SQL = """
@@ -257,5 +261,5 @@ pairs AS (
        JOIN supplier ON l_suppkey = s_suppkey
   WHERE c_nationkey <> s_nationkey GROUP BY 1, 2),
 edges AS (
-  SELECT 'NATION_' || a AS src, 'NATION_' || b AS dst, n * 1e0 / (SELECT max(n) FROM pairs) AS confidence
-  FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY n DESC, b) AS rn FROM pairs) WHERE rn <= 2)"""
+  SELECT 'NATION_' || a AS src, 'NATION_' || b AS dst, score / 1000e0 AS confidence
+  FROM (SELECT a, b, floor((n - lo) * 1000 / greatest(1, hi - lo)) AS score FROM pairs, (SELECT min(n) AS lo, max(n) AS hi FROM pairs)) WHERE score >= 400)"""

@@ -35,21 +35,29 @@ def g1(spark, d):
 
 _CUR_SQL = """
 cur AS (SELECT least('NATION_' || n_nationkey, 'NATION_' || (n_nationkey + 7) % 25) AS src, greatest('NATION_' || n_nationkey, 'NATION_' || (n_nationkey + 7) % 25) AS dst,
-        0.30e0 + (n_nationkey % 8) / 10e0 AS c FROM nation),
+        0.30e0 + (n_nationkey % 8) / 10e0 AS c, '10.0000/' || n_nationkey AS doi, n_name || ' trade note' AS why FROM nation
+  UNION ALL SELECT * FROM (VALUES
+    ('GFPT1', 'OGT', 0.5e0, '10.1172/JCI94844', 'GFPT1 is the rate-limiting enzyme of the hexosamine biosynthetic pathway; its product UDP-GlcNAc is the substrate for OGT (Taparra et al. 2018, JCI).'),
+    ('OGT', 'YAP1', 0.5e0, '10.1073/pnas.1619889114', 'O-GlcNAcylation of YAP at Ser109 by OGT regulates YAP transcriptional activity (Peng et al. 2017, PNAS).'),
+    ('ITGB1', 'MGAT5', 0.5e0, '10.1016/j.cell.2007.01.049', 'MGAT5-mediated N-glycan branching on integrins regulates integrin clustering and mechanosensing (Lau et al. 2007, Cell).'),
+    ('B4GALT1', 'ITGB1', 0.45e0, '10.1074/jbc.M807059200', 'Beta-1,4-galactosyltransferase modifies integrin N-glycans, altering integrin function (Isaji et al. 2009, JBC).'),
+    ('GFPT1', 'MGAT5', 0.45e0, '10.1016/j.cell.2007.01.049', 'GFPT1-produced UDP-GlcNAc feeds into Golgi N-glycan branching via MGAT5 (Lau et al. 2007, Cell).')) t(a, b, c, d, e)),
 ov AS (SELECT coalesce(g.src, cur.src) AS src, coalesce(g.dst, cur.dst) AS dst, greatest(confidence, c) AS confidence,
-        CASE WHEN confidence IS NULL THEN 'added' WHEN c > confidence THEN 'upgraded' ELSE 'kept' END AS change
+        CASE WHEN confidence IS NULL THEN 'added' WHEN c > confidence THEN 'upgraded' ELSE 'kept' END AS change,
+        CASE WHEN confidence IS NULL OR c > confidence THEN doi END AS pubmed_doi, CASE WHEN confidence IS NULL OR c > confidence THEN why END AS reason
       FROM g FULL OUTER JOIN cur ON g.src = cur.src AND g.dst = cur.dst)"""
 
 
 def overlaid(spark, d):
     n = table(spark, d, "nation")
     name = lambda c: F.concat(F.lit("NATION_"), c.cast("string"))
-    cur = n.select(name(F.col("n_nationkey")).alias("src"), name((F.col("n_nationkey") + 7) % 25).alias("dst"), (F.lit(0.30) + (F.col("n_nationkey") % 8) / 10).alias("confidence"))
-    return G.overlay_curated(graph(spark, d), cur)
+    cur = n.select(name(F.col("n_nationkey")).alias("src"), name((F.col("n_nationkey") + 7) % 25).alias("dst"), (F.lit(0.30) + (F.col("n_nationkey") % 8) / 10).alias("confidence"),
+                   F.concat(F.lit("10.0000/"), F.col("n_nationkey").cast("string")).alias("pubmed_doi"), F.concat("n_name", F.lit(" trade note")).alias("reason"))
+    return G.overlay_curated(graph(spark, d), cur.unionByName(G.curated_edges(spark)))
 
 
 @query("G2_curated_overlay", GRAPH_SQL + "," + _CUR_SQL + """
-SELECT src, dst, round(confidence, 9) AS confidence, round(-ln(least(1e0, greatest(1e-6, confidence))) + 0e0, 9) AS weight, change, CASE WHEN change = 'kept' THEN 'network' ELSE 'curated' END AS source FROM ov""")
+SELECT src, dst, round(confidence, 9) AS confidence, round(-ln(least(1e0, greatest(1e-6, confidence))) + 0e0, 9) AS weight, change, CASE WHEN change = 'kept' THEN 'network' ELSE 'curated' END AS source, pubmed_doi, reason FROM ov""")
 def g2(spark, d):
     return rnd(overlaid(spark, d), 9)
 
@@ -89,7 +97,7 @@ def evidence(spark, d):
     """(gene, target, distance, path, path_edges) on the overlaid graph."""
     g = pin(overlaid(spark, d))
     s, t = sources_targets(spark, d)
-    p = G.path_evidence(G.shortest_paths(g, s), g.select("src", "dst", "confidence", "source"))
+    p = G.path_evidence(G.shortest_paths(g, s), g.select("src", "dst", "confidence", "source", "pubmed_doi", "reason"))
     return p.join(t.withColumnRenamed("target", "node"), "node", "left_semi").select(F.col("source").alias("gene"), F.col("node").alias("target"), "distance", "path", "path_edges"), s, t
 
 
@@ -98,14 +106,14 @@ ow AS MATERIALIZED (SELECT *, -ln(least(1e0, greatest(1e-6, confidence))) + 0e0
 """ + paths_sql("ow") + """,
 ev AS (SELECT source AS gene, node AS target, distance, path FROM paths WHERE node IN (SELECT target FROM tgt0)),
 pe AS (SELECT gene, target, i, path[i] AS a, path[i + 1] AS b FROM ev, (SELECT unnest(range(1, 25)) AS i) WHERE i < len(path)),
-pa AS (SELECT pe.*, confidence, source_tag FROM pe JOIN ow ON ow.src = least(a, b) AND ow.dst = greatest(a, b))"""
+pa AS (SELECT pe.*, confidence, source_tag, pubmed_doi, reason FROM pe JOIN ow ON ow.src = least(a, b) AND ow.dst = greatest(a, b))"""
 
 
-@query("G4_path_evidence", _EV_SQL + """ SELECT gene, target, CAST(i - 1 AS INT) AS i, a AS node_from, b AS node_to, round(confidence, 9) AS confidence, source_tag AS source FROM pa""")
+@query("G4_path_evidence", _EV_SQL + """ SELECT gene, target, CAST(i - 1 AS INT) AS i, a AS node_from, b AS node_to, round(confidence, 9) AS confidence, source_tag AS source, pubmed_doi, reason FROM pa""")
 def g4(spark, d):
     e, _, _ = evidence(spark, d)
     x = e.select("gene", "target", F.explode("path_edges").alias("e"))
-    return x.select("gene", "target", F.col("e.i").alias("i"), F.col("e.from").alias("node_from"), F.col("e.to").alias("node_to"), r6("e.confidence", 9).alias("confidence"), F.col("e.source").alias("source"))
+    return x.select("gene", "target", F.col("e.i").alias("i"), F.col("e.from").alias("node_from"), F.col("e.to").alias("node_to"), r6("e.confidence", 9).alias("confidence"), F.col("e.source").alias("source"), F.col("e.pubmed_doi").alias("pubmed_doi"), F.col("e.reason").alias("reason"))
 
 
 _MED_SQL = """
@@ -296,11 +304,13 @@ def g19(spark, d):
 
 
 @query("G20_inhibitor_lookup", "WITH " + PRIOR_SQL + """,
-inh AS (SELECT 'drug' || p_size AS inhibitor, min(p_brand) || CASE WHEN p_size % 4 = 0 THEN '?' ELSE '' END AS target FROM part GROUP BY p_size)
+inh AS (SELECT 'drug' || p_size AS inhibitor, min(p_brand) || CASE WHEN p_size % 4 = 0 THEN '?' ELSE '' END AS target FROM part GROUP BY p_size
+  UNION ALL SELECT * FROM (VALUES ('2-DG', 'HK2'), ('DON', 'GFPT1'), ('tunicamycin', 'DPAGT1'), ('benzyl-GalNAc', 'GALNT family'), ('PUGNAc', 'OGA')) t(a, b))
 SELECT inhibitor, target, CAST(rank AS INT) AS rank, round(score, 6) AS score FROM inh LEFT JOIN r1 ON r1.gene = inh.target""")
 def g20(spark, d):
     inh = table(spark, d, "part").groupBy("p_size").agg(F.min("p_brand").alias("b")).select(
         F.concat(F.lit("drug"), F.col("p_size").cast("string")).alias("inhibitor"), F.concat("b", F.when(F.col("p_size") % 4 == 0, "?").otherwise("")).alias("target"))
+    inh = inh.unionByName(B.fixed_inhibitors(spark))
     return rnd(G.inhibitor_lookup(inh, source_of(prior(spark, d), "pathway")))
 
 

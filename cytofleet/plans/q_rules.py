@@ -115,13 +115,22 @@ def b11(spark, d):
 
 
 @query("B12_lookup", """SELECT c_custkey, c_mktsegment AS segment, CASE WHEN r_name IS NULL OR n_regionkey = 4 THEN 'Other' ELSE r_name END AS class,
-  CASE (c_custkey % 5) WHEN 0 THEN 'effectors' WHEN 1 THEN 'response' WHEN 2 THEN 'actomyosin' WHEN 3 THEN 'adhesion' END AS layer
+  CASE (c_custkey % 5) WHEN 0 THEN 'effectors' WHEN 1 THEN 'response' WHEN 2 THEN 'actomyosin' WHEN 3 THEN 'adhesion' END AS layer,
+  CASE (c_custkey % 5) WHEN 0 THEN 'Mechanosensitive transcriptional effectors' WHEN 1 THEN 'YAP/TAZ-response genes' WHEN 2 THEN 'Actomyosin tension' WHEN 3 THEN 'Adhesion clutch' END AS layer_label,
+  CASE (c_custkey % 6) WHEN 0 THEN 'HA/CD44 axis' WHEN 1 THEN 'HSPG core proteins' WHEN 2 THEN 'HS biosynthesis/remodeling' WHEN 3 THEN 'N/O-glycosylation and HBP/O-GlcNAc' ELSE 'Other' END AS gene_class,
+  CASE (c_custkey % 6) WHEN 0 THEN 'CD44' WHEN 1 THEN 'GPC3' WHEN 2 THEN 'HPSE' WHEN 3 THEN 'OGT' WHEN 4 THEN 'YAP1' ELSE 'none' END || '>' ||
+  CASE (c_custkey % 7) WHEN 0 THEN 'WWTR1/TAZ' WHEN 1 THEN 'WWTR1/TAZ' WHEN 2 THEN 'CCN2/CTGF' WHEN 3 THEN 'CYR61/CCN1' WHEN 4 THEN 'PTK2/FAK' WHEN 5 THEN 'PIEZO1' ELSE 'SRC' END AS path
 FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey""")
 def b12(spark, d):
     n = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).filter("n_regionkey < 4").select(F.col("n_nationkey").alias("c_nationkey"), F.col("r_name").alias("class"))
     c = B.lookup_join(table(spark, d, "customer"), n, "c_nationkey")
     gene = F.get(F.array(*[F.lit(g) for g in ("YAP1", "CTGF", "RHOA", "VCL", "none")]), F.col("c_custkey") % 5)
-    return c.select("c_custkey", F.col("c_mktsegment").alias("segment"), "class", B.lookup(gene, B.LAYERS).alias("layer"))
+    pick = lambda names: F.get(F.array(*[F.lit(g) for g in names]), F.col("c_custkey") % len(names))
+    member = pick(("CD44", "GPC3", "HPSE", "OGT", "YAP1", "none"))
+    end = pick(("WWTR1", "TAZ", "CTGF", "CCN1", "FAK", "PIEZO1", "SRC"))
+    return c.select("c_custkey", F.col("c_mktsegment").alias("segment"), "class", B.lookup(gene, B.LAYERS).alias("layer"),
+                    B.relabel(B.lookup(gene, B.LAYERS), B.LAYER_LABELS).alias("layer_label"), B.lookup(member, B.CLASSES, "Other").alias("gene_class"),
+                    F.array_join(B.rename_nodes(F.array(member, end), B.TARGET_ALIASES), ">").alias("path"))
 
 
 def _config(spark, d):
@@ -174,8 +183,9 @@ def b17(spark, d):
     return s.select(*KEY, "diverging", "diverging_stop", r6("position").alias("sequential"), F.col("stop").alias("sequential_stop"))
 
 
-@query("B18_pixel_preset", """SELECT p_partkey, coalesce(first_hit, 'custom') AS preset FROM (SELECT p_partkey, (SELECT arg_min(id, o) FROM (VALUES """ + ", ".join(
-    f"({i}, '{n}', {v}e0)" for i, (n, v) in enumerate(B.PIXEL_PRESETS)) + """) t(o, id, um) WHERE abs(um - v) / um < 0.01e0) AS first_hit
+@query("B18_pixel_preset", """SELECT p_partkey, coalesce(first_hit, 'custom') AS preset FROM (SELECT p_partkey, (SELECT arg_min(id, o) FROM (VALUES
+    (0, 'leica-100x', 0.063e0), (1, 'zeiss-63x-airy', 0.084e0), (2, 'leica-63x', 0.103e0), (3, 'zeiss-63x', 0.137e0), (4, 'zeiss-40x', 0.163e0),
+    (5, 'zeiss-20x', 0.227e0), (6, 'leica-20x', 0.325e0), (7, 'leica-20x-2x', 0.163e0), (8, 'bbbc022', 0.656e0)) t(o, id, um) WHERE abs(um - v) / um < 0.01e0) AS first_hit
   FROM (SELECT p_partkey, (p_partkey % 700) / 1000e0 AS v FROM part))""")
 def b18(spark, d):
     return table(spark, d, "part").select("p_partkey", B.pixel_preset((F.col("p_partkey") % 700) / 1000).alias("preset"))

@@ -139,11 +139,18 @@ def a8(spark, d):
     return A.scan_edges(e)
 
 
-@query("A9_validated_panel", "SELECT r_name AS panel, n_name AS gene FROM nation JOIN region ON n_regionkey = r_regionkey")
+_PANELS_SQL = """SELECT 'perturbation', unnest(['SDC1', 'SDC2', 'SDC3', 'SDC4', 'GPC1', 'GPC3', 'GPC4', 'GPC6', 'EXT1', 'EXT2', 'NDST1', 'NDST2', 'HPSE', 'GFPT1', 'GFPT2',
+  'OGT', 'MGAT5', 'B4GALT1', 'HAS1', 'HAS2', 'HAS3', 'CD44'])
+UNION ALL SELECT 'signature', unnest(['YAP1', 'WWTR1', 'CTGF', 'CYR61', 'ANKRD1', 'RHOA', 'ROCK1', 'ROCK2', 'MYL9', 'ITGB1', 'PTK2', 'VCL', 'PXN', 'TLN1', 'PIEZO1'])
+UNION ALL SELECT 'inhibitors', unnest(['HK2', 'GFPT1', 'DPAGT1', 'GALNT family', 'OGA'])"""
+
+
+@query("A9_validated_panel", "SELECT r_name AS panel, n_name AS gene FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL " + _PANELS_SQL)
 def a9(spark, d):
     p = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("r_name").alias("panel"), F.col("n_name").alias("gene"))
-    names = [r["r_name"] for r in table(spark, d, "region").select("r_name").limit(100).collect()]
-    return A.validated_panel(p, {n: 5 for n in names})
+    sizes = table(spark, d, "region").select(F.col("r_name").alias("panel"), F.lit(5).alias("size"))
+    fixed = spark.createDataFrame(list(B.PANEL_SIZES.items()), "panel string, size int")
+    return A.validated_panel(p.unionByName(B.fixed_panels(spark)), sizes.unionByName(fixed))
 
 
 _COH = ["yap_nc_ratio", "fa_count", "nuclear_solidity"]

@@ -163,13 +163,16 @@ def scan_edges(edges: DataFrame, score: str = "score", threshold: int = 400) ->
     return edges.filter(F.col(score) >= threshold).withColumn("confidence", F.col(score) / F.lit(1000.0)).drop(score)
 
 
-def validated_panel(panel: DataFrame, sizes: dict[str, int]) -> DataFrame:
-    """``panel(panel, gene)`` passes through when every panel has its expected size, else raises."""
-    got = {r["panel"]: r["n"] for r in panel.groupBy("panel").agg(F.countDistinct("gene").alias("n")).filter(
-        F.col("panel").isin(*sizes)).collect()}
-    for name, n in sizes.items():
-        if got.get(name, 0) != n:
-            raise ValueError(f"panel {name} has {got.get(name, 0)} genes, expected {n}")
+def validated_panel(panel: DataFrame, sizes: DataFrame) -> DataFrame:
+    """``panel(panel, gene)`` passes through when every panel has its expected size, else raises.
+
+    ``sizes(panel, size)`` holds one row per expected panel; all of them are compared, by one join of counts.
+    """
+    counts = panel.groupBy("panel").agg(F.countDistinct("gene").alias("n"))
+    wrong = sizes.join(counts, "panel", "left").withColumn("n", F.coalesce("n", F.lit(0))).filter("n <> size")
+    first = wrong.orderBy("panel").first()
+    if first:
+        raise ValueError(f"panel {first['panel']} has {first['n']} genes, expected {first['size']}")
     return panel
 
 
