@@ -17,9 +17,10 @@ from cytofleet.session import pin
 BROADCAST_ROWS = 300_000
 
 # The two blocks of the screen and the compared features.
-BLOCK_A = ["glycocalyx_" + s for s in (
-    "mean_intensity", "integrated_intensity", "pericellular_ratio", "coverage", "heterogeneity", "shannon_entropy",
-    "radial_decay_rate", "haralick_contrast", "haralick_homogeneity", "haralick_correlation", "haralick_energy", "moran_i")]
+BLOCK_A = [
+    "glycocalyx_mean_intensity", "glycocalyx_integrated_intensity", "glycocalyx_pericellular_ratio", "glycocalyx_coverage",
+    "glycocalyx_heterogeneity", "glycocalyx_shannon_entropy", "glycocalyx_radial_decay_rate", "glycocalyx_haralick_contrast",
+    "glycocalyx_haralick_homogeneity", "glycocalyx_haralick_correlation", "glycocalyx_haralick_energy", "glycocalyx_moran_i"]
 BLOCK_B = [
     "mechano_score", "yap_nc_ratio_size_corrected", "yap_nuclear_intensity", "fa_density_per_um2", "fa_mature_fraction",
     "fa_total_area_um2", "fa_mean_orientation_alignment", "actin_stress_fiber_coherence", "actin_cortical_ratio",

@@ -265,9 +265,11 @@ def propagate(nodes: DataFrame, edges: DataFrame, features: Sequence[str], layer
 
 
 def spatial_folds(cells: DataFrame, hash_keys: Sequence[str], keys: Sequence[str] = FIELD, x: str = "centroid_x", y: str = "centroid_y",
-                  rounds: int = 25, seed: int = 42) -> DataFrame:
+                  rounds: int = 500, seed: int = 42) -> DataFrame:
     """Adds ``fold`` (k-means block of the centroid) and ``spatial``; all fields are clustered together.
 
+    Rounds go on until no centre of any field moves; after ``rounds`` of them without that an error is raised.
+
     k = clamp(n // 10, 2, 5). Fields with n < 10 or n < 2k get one random 20 percent hold-out
     (fold 0 held out, fold -1 never). Start centres are the first k cells by hash; each round is an
     in-row arg-min and one small aggregation.
@@ -293,6 +295,8 @@ def spatial_folds(cells: DataFrame, hash_keys: Sequence[str], keys: Sequence[str
         centres = moved
         if same:
             break
+    else:
+        raise RuntimeError(f"fold centres did not settle in {rounds} rounds")
     blocks = assign(centres).withColumn("fold", (F.col("_c") - 1).cast("int")).withColumn("spatial", F.lit(True))
     rest = hash_order(d.filter(~block), keys, "_h", hash_keys, "_pos")
     held = F.col("_pos") < F.greatest(F.lit(1), F.floor(F.col("_n") * 0.2).cast("int"))

@@ -55,7 +55,7 @@ def _keyed_sql(features):
 
 
 _POISSON = " + ".join(f"CASE WHEN u >= {c}e0 THEN 1 ELSE 0 END" for c in P.POISSON1_CDF)
-_BOOT = 40
+_BOOT = 200
 
 
 @query("E2_bootstrap_slope_ci", "WITH " + _keyed_sql(["yap_nc_ratio", "cell_area"]) + f""",
@@ -228,17 +228,14 @@ def e14(spark, d):
     return rnd(Q.correlation_screen(cells(spark, d, _SA + _SB), _SA, _SB))
 
 
-_A5, _B5 = _SA[:3] + ["glycocalyx_moran_i"], ["mechano_score", "fa_mean_orientation_alignment", "nuclear_solidity"]
-
-
-def _small_screen(spark, d):
-    s = Q.correlation_screen(cells(spark, d, _A5 + _B5), _A5, _B5)
+def _full_screen(spark, d):
+    s = Q.correlation_screen(cells(spark, d, _SA + _SB), _SA, _SB)
     return Q.benjamini_hochberg(Q.with_parametric_p(s))
 
 
 @query("E15_parametric_p")
 def e15(spark, d):
-    return rnd(Q.with_parametric_p(Q.correlation_screen(cells(spark, d, _A5 + _B5), _A5, _B5)))
+    return rnd(Q.with_parametric_p(Q.correlation_screen(cells(spark, d, _SA + _SB), _SA, _SB)))
 
 
 _PERM = 19
@@ -279,7 +276,7 @@ def e17(spark, d):
 
 @query("E18_screen_headline")
 def e18(spark, d):
-    return rnd(Q.screen_headline(_small_screen(spark, d)))
+    return rnd(Q.screen_headline(_full_screen(spark, d)))
 
 
 _CF = [f for f in Q.COMPARED if f != "yap_nc_ratio_size_corrected"]

@@ -8,10 +8,12 @@ from cytofleet.operators import linear as L
 from cytofleet.operators import phenotype as H
 from cytofleet.operators import rules as B
 from cytofleet.operators import spatial as G
+from cytofleet.operators.screen import BLOCK_A, BLOCK_B
 from cytofleet.plans.adapters import cells, cells_sql, table
 from cytofleet.plans.q_population import _HASH_KEYS, QC_IN, QC_SQL, _keyed_cells, qc_input, rnd
 from cytofleet.plans.q_raster import r6
 from cytofleet.plans.registry import query
+from cytofleet.session import pin
 
 KEY = ["field_id", "cell_id"]
 _XY = ["centroid_x", "centroid_y"]
@@ -73,22 +75,22 @@ def undirected(e):
     return e.unionByName(e.select("field_id", F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
 
 
-_F5 = ["cell_area", "fa_mean_orientation_alignment"]
+_F5 = [f for f in G.NODE_FEATURES if f != "yap_nc_ratio_size_corrected"]
+_F5Z = ", ".join(f"coalesce(({f} - avg({f}) OVER f) / CASE WHEN stddev_pop({f}) OVER f >= 1e-8 THEN stddev_pop({f}) OVER f ELSE 1 END, 0) AS {f}" for f in _F5)
 
 
 @query("F5_graph_propagation", "WITH " + cells_sql(_XY + _F5) + "," + KNN_SQL + """,
-st AS (SELECT field_id, cell_id, coalesce((cell_area - avg(cell_area) OVER f) / stddev_pop(cell_area) OVER f, 0) AS u,
-        coalesce((fa_mean_orientation_alignment - avg(fa_mean_orientation_alignment) OVER f) / stddev_pop(fa_mean_orientation_alignment) OVER f, 0) AS v
-      FROM cells WINDOW f AS (PARTITION BY field_id)),
+st AS (SELECT field_id, cell_id, """ + _F5Z + """ FROM cells WINDOW f AS (PARTITION BY field_id)),
 e AS MATERIALIZED (SELECT field_id, src, dst FROM knn UNION SELECT field_id, dst, src FROM knn UNION SELECT field_id, cell_id, cell_id FROM cells),
 g AS (SELECT field_id, src, count(*) AS k FROM e GROUP BY ALL),
 w AS MATERIALIZED (SELECT e.field_id, e.src, e.dst, 1e0 / sqrt(CAST(a.k * b.k AS DOUBLE)) AS w FROM e JOIN g a ON a.field_id = e.field_id AND a.src = e.src JOIN g b ON b.field_id = e.field_id AND b.src = e.dst),
-h1 AS MATERIALIZED (SELECT w.field_id, w.src AS cell_id, sum(w * u) AS u, sum(w * v) AS v FROM w JOIN st ON st.field_id = w.field_id AND st.cell_id = w.dst GROUP BY ALL)
-SELECT w.field_id, w.src AS cell_id, round(sum(w * u), 6) AS cell_area, round(sum(w * v), 6) AS fa_mean_orientation_alignment
+h1 AS MATERIALIZED (SELECT w.field_id, w.src AS cell_id, """ + ", ".join(f"sum(w * {f}) AS {f}" for f in _F5) + """ FROM w JOIN st ON st.field_id = w.field_id AND st.cell_id = w.dst GROUP BY ALL)
+SELECT w.field_id, w.src AS cell_id, """ + ", ".join(f"round(sum(w * {f}), 6) + 0e0 AS {f}" for f in _F5) + """
 FROM w JOIN h1 ON h1.field_id = w.field_id AND h1.cell_id = w.dst GROUP BY ALL""")
 def f5(spark, d):
     c = cells(spark, d, _XY + _F5)
-    return rnd(G.propagate(G.standardised(c, _F5), undirected(G.knn_edges(points(c))), _F5))
+    h = rnd(G.propagate(G.standardised(c, _F5), undirected(G.knn_edges(points(c))), _F5))
+    return h.withColumns({f: F.col(f) + F.lit(0.0) for f in _F5})
 
 
 def _node_cells(spark, d):
@@ -138,7 +140,8 @@ def f10(spark, d):
 @query("F11_communities")
 def f11(spark, d):
     g = H.symmetric_graph(H.cosine_knn(table(spark, d, "embeddings").select("vec_id", "embedding")))
-    c = H.label_propagation(g)
+    g = pin(g)
+    c = H.communities(g)
     m = H.modularity(g, c).withColumn("_k", F.lit(1))
     per = c.groupBy("community").agg(F.count(F.lit(1)).alias("size")).withColumn("_k", F.lit(1))
     return rnd(per.join(m, "_k").drop("_k"))
@@ -162,8 +165,7 @@ def f13(spark, d):
     return rnd(H.cluster_summaries(c))
 
 
-_AB = ["glycocalyx_mean_intensity", "glycocalyx_shannon_entropy", "glycocalyx_heterogeneity", "glycocalyx_haralick_contrast"]
-_BB = ["mechano_score", "yap_nuclear_intensity", "fa_mature_fraction"]
+_AB, _BB = BLOCK_A, [b for b in BLOCK_B if b != "yap_nc_ratio_size_corrected"]
 
 
 def _cross(spark, d):

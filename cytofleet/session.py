@@ -19,6 +19,7 @@ def build_session(app: str = "cytofleet", master: str | None = None, **conf: str
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.enabled": "false",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }
     for k, v in {**base, **conf}.items():
         b = b.config(k, v)
@@ -26,12 +27,18 @@ def build_session(app: str = "cytofleet", master: str | None = None, **conf: str
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder named by the cluster; a private one only if none is set."""
+    """The shared checkpoint folder named by the cluster; a private one only if none is set on a local master.
+
+    Executors of a cluster cannot read the driver's own folders, so a cluster without a named folder is an error.
+    """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    own = sc.master == "local" or sc.master.startswith("local[")
+    if not named and not own:
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-ckpt-", dir="/tmp"))
     return sc.getCheckpointDir()
 

@@ -1,51 +1,100 @@
-"""Incremental ingestion of arriving fields: each content is processed once."""
+"""Incremental ingestion of arriving fields: each content is processed once, and only when it is complete."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from cytofleet.schema import PIXELS
-from cytofleet.sources.tables import content_hash
 from cytofleet.session import pin
+from cytofleet.sources.tables import content_hash
 
 RegionPlan = Callable[[DataFrame], DataFrame]
+#: Folders of the ledger; a batch reads those of its own hashes and fields only.
+SLOTS = 64
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def _folder(spark: SparkSession, path: str):
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    p, fs = _folder(spark, path)
+    return fs.exists(p)
+
+
+def _waiting(spark: SparkSession, path: str, batch_id: int) -> str | None:
+    """The rows that the last batch before this one held back."""
+    p, fs = _folder(spark, path)
+    if not fs.exists(p):
+        return None
+    done = [int(s.getPath().getName().split("=")[1]) for s in fs.listStatus(p) if s.getPath().getName().startswith("batch=")]
+    last = max((b for b in done if b < batch_id), default=None)
+    return None if last is None else f"{path}/batch={last}"
+
+
+def _slot(c: str) -> Column:
+    return F.pmod(F.xxhash64(c), F.lit(SLOTS)).cast("int")
+
+
+def _known(spark: SparkSession, path: str, rows: DataFrame, key: str, batch_id: int, columns: list[str]) -> DataFrame | None:
+    """Ledger rows of other batches in the slots of ``rows``."""
+    if not _exists(spark, path):
+        return None
+    slots = [r["s"] for r in rows.select(_slot(key).alias("s")).distinct().collect()]  # SLOTS numbers at most
+    ledger = spark.read.schema("field_id long, image_hash string, batch int, slot int").parquet(path)
+    return ledger.filter(F.col("slot").isin(slots) & (F.col("batch") != batch_id)).select(*columns)
 
 
-def process_batch(plan: RegionPlan, sink: str, encode=None) -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` body: hash the batch's fields, skip known content, append features.
+def process_batch(plan: RegionPlan, sink: str, expected: DataFrame, encode=None) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` body: complete fields are hashed, known content is skipped, features are appended.
 
-    A batch writes to its own ``batch=`` partition in overwrite mode, so a replay after a failure
-    replaces what the failed attempt left. Inside a batch the lowest field id of equal content wins.
+    ``expected(field_id, n_pixels)`` says how many pixels a field has. Fields with fewer so far, or without an expected
+    number, are held back with all their pixels until the rest arrives; more is an error. A field that arrives again
+    with other content is an error too, with the same content it is skipped. A batch writes to its own ``batch=``
+    folders in overwrite mode, so a replay after a failure replaces what the failed attempt left. Inside a batch the
+    lowest field id of equal content wins. Known content is looked up in a ledger laid out by hash and by field.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        value = F.col("value").cast("string") if encode is None else encode
-        hashes = content_hash(batch, value)
+        held = _waiting(spark, f"{sink}-waiting", batch_id)
+        rows = batch if held is None else batch.unionByName(spark.read.schema(batch.schema).parquet(held))
+        rows = pin(rows)
+        counts = pin(rows.groupBy("field_id").agg(F.count(F.lit(1)).alias("n")).join(expected.select("field_id", "n_pixels"), "field_id", "left"))
+        over = counts.filter("n > n_pixels").orderBy("field_id").first()
+        if over:
+            raise ValueError(f"field {over['field_id']} has {over['n']} pixels, expected {over['n_pixels']}")
+        whole = counts.filter("n = n_pixels").select("field_id")
+        rows.join(whole, "field_id", "left_anti").select(*batch.columns).write.mode("overwrite").parquet(f"{sink}-waiting/batch={batch_id}")
+        ready = rows.join(whole, "field_id", "left_semi").select(*batch.columns)
+        hashes = pin(content_hash(ready, F.col("value").cast("string") if encode is None else encode).select("field_id", "image_hash"))
+        fields = _known(spark, f"{sink}-fields", hashes, "field_id", batch_id, ["field_id", F.col("image_hash").alias("was")])
+        if fields is not None:
+            changed = hashes.join(fields, "field_id").filter("image_hash <> was").orderBy("field_id").first()
+            if changed:
+                raise ValueError(f"field {changed['field_id']} arrived again with other content")
         first = hashes.groupBy("image_hash").agg(F.min("field_id").alias("field_id"))
-        if _exists(spark, sink):
-            known = spark.read.parquet(sink).filter(F.col("batch") != batch_id).select("image_hash").distinct()
+        known = _known(spark, f"{sink}-hashes", hashes, "image_hash", batch_id, ["image_hash"])
+        if known is not None:
             first = first.join(known, "image_hash", "left_anti")
         first = pin(first)
-        fresh = batch.join(first.select("field_id"), "field_id", "left_semi")
-        out = plan(fresh).join(first, "field_id")
+        out = plan(ready.join(first.select("field_id"), "field_id", "left_semi")).join(first, "field_id")
         out.write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
+        for name, key, what in (("hashes", "image_hash", first), ("fields", "field_id", hashes)):
+            # batch first, so that a replay replaces its own folder; slots below it prune the reads
+            what.withColumn("slot", _slot(key)).write.mode("overwrite").partitionBy("slot").parquet(f"{sink}-{name}/batch={batch_id}")
 
     return run
 
 
-def ingest_fields(spark: SparkSession, source: str, sink: str, checkpoint: str, plan: RegionPlan, max_files: int = 100, encode=None) -> None:
+def ingest_fields(spark: SparkSession, source: str, sink: str, checkpoint: str, plan: RegionPlan, expected: DataFrame, max_files: int = 100, encode=None) -> None:
     """Drain all pixel files that have arrived under ``source`` into ``sink``; callable again later.
 
-    A field must arrive in one file (or one trigger). Progress lives in ``checkpoint``.
+    A field may be spread over files and triggers; see ``process_batch``. Progress lives in ``checkpoint``.
     """
     stream = spark.readStream.schema(PIXELS).option("maxFilesPerTrigger", max_files).parquet(source)
-    q = stream.writeStream.foreachBatch(process_batch(plan, sink, encode)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q = stream.writeStream.foreachBatch(process_batch(plan, sink, expected, encode)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()

@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from cytofleet.sources import tables as A
@@ -12,21 +13,50 @@ def test_same_content_is_processed_once_and_replays_are_idempotent(spark):
             .coalesce(1).write.mode("append").parquet(f"{base}/in")
 
     plan = lambda b: b.groupBy("field_id").agg(F.sum("value").alias("s"))
+    sizes = spark.createDataFrame([(f, 12) for f in range(1, 9)], "field_id long, n_pixels long")
     arrive(1, 1.0)
     arrive(2, 2.0)
-    ingest_fields(spark, f"{base}/in", f"{base}/out", f"{base}/state", plan)
+    ingest_fields(spark, f"{base}/in", f"{base}/out", f"{base}/state", plan, sizes)
     assert {r["field_id"] for r in spark.read.parquet(f"{base}/out").collect()} == {1, 2}
     arrive(3, 1.0)  # content of field 1
     arrive(4, 5.0)
-    ingest_fields(spark, f"{base}/in", f"{base}/out", f"{base}/state", plan)
+    ingest_fields(spark, f"{base}/in", f"{base}/out", f"{base}/state", plan, sizes)
     out = spark.read.parquet(f"{base}/out")
     assert sorted(r["field_id"] for r in out.collect()) == [1, 2, 4]
     # replaying the last batch replaces its own output only
     last = out.agg(F.max("batch")).first()[0]
-    process_batch(plan, f"{base}/out")(spark.read.parquet(f"{base}/in").filter("field_id > 2"), last)
+    process_batch(plan, f"{base}/out", sizes)(spark.read.parquet(f"{base}/in").filter("field_id > 2"), last)
     assert sorted(r["field_id"] for r in spark.read.parquet(f"{base}/out").collect()) == [1, 2, 4]
 
 
+def test_fields_wait_until_they_are_complete(spark):
+    """One file per trigger; a field lies in two files, another one stays unfinished."""
+    base = A.shared_path(spark, "test-parts")
+
+    def arrive(fid, ys, scale=1.0):
+        spark.createDataFrame([(fid, "dapi", y, x, scale * (y + x)) for y in ys for x in range(4)], "field_id long, channel string, y int, x int, value double") \
+            .coalesce(1).write.mode("append").parquet(f"{base}/in")
+
+    plan = lambda b: b.groupBy("field_id").agg(F.count(F.lit(1)).alias("n"))
+    sizes = spark.createDataFrame([(1, 16), (2, 16), (3, 8)], "field_id long, n_pixels long")
+    run = lambda: ingest_fields(spark, f"{base}/in", f"{base}/out", f"{base}/state", plan, sizes, max_files=1)
+    for part in ((1, (0, 1)), (2, (0,)), (1, (2, 3)), (9, (0,))):
+        arrive(*part)
+    run()
+    rows = lambda: sorted((r["field_id"], r["n"]) for r in spark.read.parquet(f"{base}/out").collect())
+    assert rows() == [(1, 16)]
+    arrive(2, (1, 2, 3), 2.0)
+    arrive(3, (0, 1))
+    run()
+    assert rows() == [(1, 16), (2, 16), (3, 8)]
+    arrive(3, (0, 1))
+    run()
+    assert rows() == [(1, 16), (2, 16), (3, 8)]
+    arrive(3, (0, 1), 5.0)
+    with pytest.raises(Exception, match="other content"):
+        run()
+
+
 def test_content_hash_depends_on_content_only(spark):
     rows = [(f, "c", y, x, float(y * 3 + x + (f == 3))) for f in (1, 2, 3) for y in range(2) for x in range(3)]
     df = spark.createDataFrame(rows, "field_id long, channel string, y int, x int, value double")
