@@ -80,6 +80,7 @@ def prefix_sums(
     if not keys:
         return prefix_sums(df.withColumn("_all", F.lit(1)), ["_all"], order, sums, limit).drop("_all")
     limit = GROUP_LIMIT if limit is None else limit
+    df = pin(df)  # measured here and read again below
     if largest_group(df, keys) <= limit:
         w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
         return df.withColumns({o: F.coalesce(F.sum(c).over(w), F.lit(0)) for o, c in sums.items()})

@@ -18,26 +18,32 @@ from cytofleet.streaming.ingest import ingest_fields
 
 
 @query("A1_pixel_scan", """
-SELECT vec_id AS field_id, 'raw' AS channel, CAST(p // 8 AS INT) AS y, CAST(p % 8 AS INT) AS x, round(CAST(v AS DOUBLE), 6) AS value
+SELECT vec_id AS field_id, 'raw' AS channel, CAST(CASE vec_id % 3 WHEN 0 THEN 0 WHEN 1 THEN p // 16 ELSE p % 2 END AS INT) AS plane,
+  CAST(CASE vec_id % 3 WHEN 0 THEN p // 8 WHEN 1 THEN 0 ELSE p // 2 // 4 END AS INT) AS y, CAST(CASE vec_id % 3 WHEN 0 THEN p % 8 WHEN 1 THEN p % 16 ELSE p // 2 % 4 END AS INT) AS x,
+  round(CAST(v AS DOUBLE), 6) AS value
 FROM (SELECT vec_id, unnest(range(64)) AS p, unnest(embedding) AS v FROM embeddings)""")
 def a1(spark, d):
     t = table(spark, d, "embeddings").select(F.col("vec_id").alias("field_id"), F.lit("raw").alias("channel"), F.col("embedding").alias("values"))
-    return A.flatten_tiles(t, F.lit(8)).withColumn("value", r6("value"))
+    # one third of the vectors as 8 x 8, as four channels of 1 x 16, and as 8 x 4 with two channels
+    shapes = [F.array(*[F.lit(v) for v in s]) for s in ((8, 8), (4, 1, 16), (8, 4, 2))]
+    k = F.col("field_id") % 3
+    return A.flatten_tiles(t, F.when(k == 0, shapes[0]).when(k == 1, shapes[1]).otherwise(shapes[2])).withColumn("value", r6("value"))
 
 
 _STACK_SQL = """st AS (SELECT user_id % 5 AS field_id, event_id % 16 AS y, (event_id // 16) % 16 AS x,
-  CASE event_type WHEN 'click' THEN 0 WHEN 'view' THEN 1 WHEN 'error' THEN 2 ELSE 3 END AS z, date_diff('day', DATE '1970-01-01', CAST(ts AS DATE)) // 10 AS t, value FROM events)"""
+  CASE WHEN user_id % 5 = 4 THEN NULL WHEN event_type = 'click' THEN 0 WHEN event_type = 'view' THEN 1 WHEN event_type = 'error' THEN 2 ELSE 3 END AS z, date_diff('day', DATE '1970-01-01', CAST(ts AS DATE)) // 10 AS t, value FROM events)"""
 
 
 def stack(spark, d):
     e = table(spark, d, "events")
-    z = F.when(F.col("event_type") == "click", 0).when(F.col("event_type") == "view", 1).when(F.col("event_type") == "error", 2).otherwise(3)
+    z = F.when(F.expr("user_id % 5 = 4"), None).when(F.col("event_type") == "click", 0).when(F.col("event_type") == "view", 1).when(F.col("event_type") == "error", 2).otherwise(3)
     return e.select(F.expr("user_id % 5").alias("field_id"), F.lit("raw").alias("channel"), F.expr("event_id % 16").alias("y"), F.expr("(event_id div 16) % 16").alias("x"),
                     z.alias("z"), F.floor(F.datediff(F.to_date("ts"), F.lit("1970-01-01").cast("date")) / 10).alias("t"), "value")
 
 
-@query("A2_z_projection", f"""WITH {_STACK_SQL}, f AS (SELECT st.* FROM st JOIN (SELECT field_id, min(t) AS t FROM st GROUP BY ALL) USING (field_id, t))
-SELECT field_id, 'raw' AS channel, y, x, max(value) AS value, max(n) AS planes FROM f JOIN (SELECT field_id, CASE WHEN count(DISTINCT z) > 1 THEN count(DISTINCT z) END AS n FROM f GROUP BY ALL) USING (field_id) GROUP BY ALL""")
+@query("A2_z_projection", f"""WITH {_STACK_SQL}, f AS (SELECT st.* FROM st JOIN (SELECT field_id, min(t) AS t FROM st WHERE z IS NOT NULL GROUP BY ALL) USING (field_id, t) WHERE z IS NOT NULL)
+SELECT field_id, 'raw' AS channel, CAST(t AS BIGINT) AS t, y, x, value, CAST(NULL AS BIGINT) AS planes FROM st WHERE z IS NULL
+UNION ALL SELECT field_id, 'raw' AS channel, CAST(NULL AS BIGINT) AS t, y, x, max(value) AS value, max(n) AS planes FROM f JOIN (SELECT field_id, CASE WHEN count(DISTINCT z) > 1 THEN count(DISTINCT z) END AS n FROM f GROUP BY ALL) USING (field_id) GROUP BY ALL""")
 def a2(spark, d):
     return A.z_project(stack(spark, d))
 

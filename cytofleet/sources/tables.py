@@ -21,25 +21,49 @@ def shared_path(spark: SparkSession, name: str) -> str:
 # --- A1 .. A3 ---------------------------------------------------------------
 
 
-def read_pixels(spark: SparkSession, path: str) -> DataFrame:
-    """Pixel table with an explicit schema; ``field_id``/``channel`` prune as partition columns."""
-    return spark.read.schema(PIXELS).parquet(path)
+def image_layout(shape: Column) -> Column:
+    """HW, HWC or CHW by an image's shape: a small first and a large last axis mean channels first; other ranks raise."""
+    n = F.size(shape)
+    first, last = F.get(shape, F.lit(0)), F.get(shape, F.lit(2))
+    return (F.when(n == 2, "HW").when((n == 3) & (first <= 8) & (last > 8), "CHW").when(n == 3, "HWC")
+            .otherwise(F.raise_error(F.concat(F.lit("expected a 2D or 3D image, got "), n.cast("string"), F.lit(" axes")))))
 
 
-def flatten_tiles(tiles: DataFrame, width: Column, values: str = "values", keys: Sequence[str] = IMAGE) -> DataFrame:
-    """Array-valued images (row-major) to pixel rows."""
-    d = tiles.withColumn("_w", width).select(*keys, "_w", F.posexplode(values).alias("_p", "value"))
-    return d.select(*keys, F.expr("cast(_p div _w as int)").alias("y"), F.expr("cast(_p % _w as int)").alias("x"), F.col("value").cast("double").alias("value"))
+def flatten_tiles(tiles: DataFrame, shape: Column, values: str = "values", keys: Sequence[str] = IMAGE) -> DataFrame:
+    """Array-valued images to pixel rows: keys, plane (channel axis, 0 for HW), y, x, value.
+
+    ``shape`` is an array of axis sizes, in the order of the flat array; see ``image_layout``.
+    """
+    d = tiles.withColumn("_s", shape).withColumn("_l", image_layout(F.col("_s")))
+    at = lambda i: F.get(F.col("_s"), F.lit(i))
+    d = d.select(*keys, F.when(F.col("_l") == "CHW", at(1)).otherwise(at(0)).alias("_h"), F.when(F.col("_l") == "CHW", at(2)).otherwise(at(1)).alias("_w"),
+                 F.when(F.col("_l") == "HWC", at(2)).otherwise(F.lit(1)).alias("_c"), F.posexplode(values).alias("_p", "value"))
+    return d.select(
+        *keys, F.expr("cast(case when _c > 1 then _p % _c else _p div (_w * _h) end as int)").alias("plane"),
+        F.expr("cast(_p div _c div _w % _h as int)").alias("y"), F.expr("cast(_p div _c % _w as int)").alias("x"), F.col("value").cast("double").alias("value"))
+
+
+def stack_axes(a0: Column, a1: Column) -> Column:
+    """Axis order of a bare four-dimensional stack by its first two sizes; ambiguous sizes raise."""
+    return (F.when((a0 <= 8) & (a1 > 8), "CZYX").when((a1 <= 8) & (a0 > 8), "ZCYX").when((a0 > 8) & (a1 > 8), "ZYXC")
+            .otherwise(F.raise_error(F.lit("ambiguous stack: the first two axes may be planes or channels"))))
 
 
 def z_project(stack: DataFrame, keys: Sequence[str] = IMAGE) -> DataFrame:
-    """First time frame, maximum over planes; ``planes`` is NULL for a single plane."""
+    """Maximum over planes in the first time frame; ``planes`` is NULL for a single plane.
+
+    An image has a Z axis if its ``axes`` text says so, or, without that column or text, if its rows have a ``z``.
+    Images without one keep all their time frames in ``t``, which is NULL for projected images.
+    """
     k = list(keys)
-    t0 = stack.groupBy(*k).agg(F.min("t").alias("t"))
-    first = stack.join(t0, [*k, "t"])
+    named = F.contains(F.upper("axes"), F.lit("Z")) if "axes" in stack.columns else F.lit(None).cast("boolean")
+    d = stack.withColumn("_z", F.coalesce(named, F.col("z").isNotNull()))
+    flat = d.filter(~F.col("_z")).select(*k, F.col("t").cast("bigint").alias("t"), "y", "x", "value", F.lit(None).cast("bigint").alias("planes"))
+    deep = d.filter("_z")
+    first = deep.join(deep.groupBy(*k).agg(F.min("t").alias("_t")), k).filter(F.col("t").eqNullSafe(F.col("_t")))
     planes = first.groupBy(*k).agg(F.countDistinct("z").alias("_n"))
-    flat = first.groupBy(*k, "y", "x").agg(F.max("value").alias("value"))
-    return flat.join(planes, k).withColumn("planes", F.when(F.col("_n") > 1, F.col("_n"))).drop("_n")
+    top = first.groupBy(*k, "y", "x").agg(F.max("value").alias("value")).join(planes, k)
+    return top.select(*k, F.lit(None).cast("bigint").alias("t"), "y", "x", "value", F.when(F.col("_n") > 1, F.col("_n")).alias("planes")).unionByName(flat)
 
 
 def max_scale(pixels: DataFrame) -> DataFrame:
