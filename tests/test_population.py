@@ -192,4 +192,4 @@ def test_z_projection_and_channels(spark):
     r = {x["field_id"]: x for x in A.z_project(spark.createDataFrame(rows, "field_id int, channel string, t int, z int, y int, x int, value double")).collect()}
     assert (r[1]["value"], r[1]["planes"]) == (1.0, 7) and (r[2]["value"], r[2]["planes"]) == (0.7, 4) and (r[3]["value"], r[3]["planes"]) == (0.3, None)
     with pytest.raises(ValueError):
-        A.validated_panel(spark.createDataFrame([("p", "a")], "panel string, gene string"), {"p": 2})
+        A.validated_panel(spark.createDataFrame([("p", "a")], "panel string, gene string"), spark.createDataFrame([("p", 2)], "panel string, size int"))
