@@ -123,10 +123,14 @@ def correlation_screen(cells: DataFrame, block_a: Sequence[str] = tuple(BLOCK_A)
     cells = cells.select(*keys, *ids, *a_cols, *b_cols)
     long = cells.select(*keys, *ids, F.inline(fan)).filter(F.col("value").isNotNull())
     ranks = pin(value_ranks(long, [*keys, "task"], "value", limit).select(*keys, "task", "value", "rank"))
-    # Rank tables measured to be small are broadcast onto the wide rows, one lookup per column; the
-    # others are joined by value in long form and gathered per row.
+    # Rank tables are broadcast onto the wide rows, smallest first, as long as all of them together stay within
+    # the measured bound; the others are joined by value in long form and gathered per row.
     size = {r["task"]: r["n"] for r in ranks.groupBy("task").agg(F.count(F.lit(1)).alias("n")).collect()}
-    small = [t for t in tasks if size.get(name[t], 0) <= BROADCAST_ROWS]
+    small, held = [], 0
+    for t in sorted(tasks, key=lambda t: (size.get(name[t], 0), name[t])):
+        held += size.get(name[t], 0)
+        if held <= BROADCAST_ROWS:
+            small.append(t)
     wide = cells
     for t in small:
         look = F.broadcast(ranks.filter(F.col("task") == name[t]).select(*keys, F.col("value").alias("_v"), F.col("rank").alias(name[t])))
