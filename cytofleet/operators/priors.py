@@ -64,9 +64,12 @@ def curated_edges(spark: SparkSession) -> DataFrame:
 def overlay_curated(graph: DataFrame, curated: DataFrame) -> DataFrame:
     """A curated edge replaces one only when strictly stronger; ``change`` is added, upgraded or kept.
 
-    Edges that come from ``curated`` carry its ``pubmed_doi`` and ``reason``; they are NULL for the others. Of equal
-    pairs in ``curated`` the strongest counts.
+    Edges that come from ``curated`` carry its ``pubmed_doi`` and ``reason``, if it has these columns; they are NULL
+    for the others. Of equal pairs in ``curated`` the strongest counts.
     """
+    for c in ("pubmed_doi", "reason"):
+        if c not in curated.columns:
+            curated = curated.withColumn(c, F.lit(None).cast("string"))
     c = pair_key(curated.filter("confidence > 0")).groupBy(*PAIR).agg(
         F.max(F.struct(F.col("confidence").alias("c"), F.col("pubmed_doi").alias("d"), F.col("reason").alias("r"))).alias("_b"))
     d = graph.select(*PAIR, "confidence").join(c.select(*PAIR, F.col("_b.c").alias("_c"), F.col("_b.d").alias("_d"), F.col("_b.r").alias("_r")), PAIR, "full_outer")

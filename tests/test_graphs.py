@@ -143,14 +143,14 @@ def test_cosine_knn_is_exact_with_pruning_and_small_blocks(spark):
     assert (tiny.groupby("src").size() == 2).all()
 
 
-def test_label_propagation_separates_cliques(spark):
+def test_communities_separate_cliques(spark):
     rows = []
     for c in range(3):
         ids = range(c * 10, c * 10 + 8)
         rows += [(a, b, 1.0) for a in ids for b in ids if a != b]
     rows += [(7, 10, 0.1), (10, 7, 0.1)]
     g = spark.createDataFrame(rows, "src long, dst long, weight double")
-    lab = H.label_propagation(g)
+    lab = H.communities(g)
     got = lab.toPandas().set_index("node")["community"]
     assert got.groupby(got.index // 10).nunique().eq(1).all() and got.nunique() == 3
     assert H.modularity(g, lab).first()["modularity"] > 0.6
