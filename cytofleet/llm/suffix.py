@@ -174,13 +174,16 @@ def repeated(docs: DataFrame, window: int = 400, group: int | None = None) -> Da
     anchors = stage(docs.mapInArrow(scan, f"id {kind}, th long, place long, h1 long, h2 long"), "anchors")
     twice = anchors.groupBy("h1").agg(
         F.count(F.lit(1)).alias("n"), F.min("h2").alias("lo"), F.max("h2").alias("hi")).filter("n > 1")
-    shared = stage(anchors.join(twice.select("h1", (F.col("lo") != F.col("hi")).alias("mixed")), "h1"), "shared")
+    # read from files, so that both sides of the join are plain exchanges and a hot string can be split
+    twice = stage(twice.select("h1", (F.col("lo") != F.col("hi")).alias("mixed")), "twice")
+    shared = stage(anchors.join(twice, "h1"), "shared")
     even = shared.filter("not mixed").select("id", "th", "place", F.lit(None).cast("array<long>").alias("ranges"))
 
     distinct = shared.filter("mixed").groupBy("h1", "h2").agg(
         F.count(F.lit(1)).alias("n"), F.min(F.struct(F.col("id"), F.col("th"), F.col("place"))).alias("one"))
-    sizes = distinct.groupBy("h1").agg(F.count(F.lit(1)).alias("blocks"), F.min("n").alias("least"))
-    wanted = stage(distinct.join(sizes, "h1"), "distinct")
+    distinct = stage(distinct, "distinct")
+    sizes = stage(distinct.groupBy("h1").agg(F.count(F.lit(1)).alias("blocks"), F.min("n").alias("least")), "sizes")
+    wanted = stage(distinct.join(sizes, "h1"), "wanted")
     first, at, length = _place("place")
     fetch = wanted.filter("least = 1").select("one.*", "h1", "h2", "n", "blocks").withColumnsRenamed({"id": "_i", "th": "_t"})
     body = docs.join(fetch, docs["id"].eqNullSafe(F.col("_i")) & (F.col("th") == F.col("_t"))).select(
