@@ -32,14 +32,13 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates, the document with the smallest id stays; repeated rows leave one."""
+    """Of each group of near-duplicates (fingerprints within two bits, or five-word Jaccard 0.8), the document with the smallest id stays; repeated rows leave one."""
     keyed = docs.withColumn("_key", row_key(docs))
     seen = simhash.groups(keyed, ("_key", "doc_id"))
     # ids sort before null, and one key stands for all rows with that id and text
     first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("i"), F.col("_key").alias("k")))
-    # a group without any id has no component name; its fingerprint names it
-    winners = seen.groupBy("component", F.when(F.col("component").isNull(), F.col("fp")).alias("f")).agg(first.alias("w")).select(
-        F.col("w.k").alias("_key")).distinct()
+    # a group without any id has no component name, but a root
+    winners = seen.groupBy("root").agg(first.alias("w")).select(F.col("w.k").alias("_key")).distinct()
     kept = keyed.join(winners, "_key", "left_semi").dropDuplicates(["_key"])
     return kept.select(*docs.columns)
 

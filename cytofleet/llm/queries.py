@@ -55,7 +55,7 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op5_simhash")
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = simhash.groups(table(spark, sf_dir, "documents"))
+    done = simhash.groups(table(spark, sf_dir, "documents"), similar=None)
     return done.select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 

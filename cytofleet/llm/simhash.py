@@ -11,6 +11,9 @@ members of one variant are within ``radius`` of each other, so a link from each
 the same components as all pairs, and a variant has at most as many members as the ball has points (65 for
 radius 2): no group grows with the data. Links are verified by their bit count before they are used.
 
+Fingerprints of two bits miss copies with a few edited words, so ``groups`` also links texts with similar shingle sets
+(``minhash``), unless ``similar`` is None.
+
 Defined cases: a null text counts as empty; exact copies share one fingerprint and are collapsed before the
 balls are formed; repeated rows are returned row by row; a null doc_id gets a fingerprint and the component of its
 neighbours, but never names a component unless no other id is in it; an empty table gives no rows.
@@ -24,6 +27,7 @@ from itertools import combinations
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
+from cytofleet.llm import minhash
 from cytofleet.llm.common import stage, texts
 from cytofleet.llm.components import components
 
@@ -45,22 +49,30 @@ def fingerprint(text: bytes | None, size: int = 3, seed: int = 42) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), size: int = 3) -> DataFrame:
-    """The ``keep`` columns of every document and its fingerprint ``fp`` as a signed long."""
+def fingerprints(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), size: int = 3, words: int | None = None) -> DataFrame:
+    """The ``keep`` columns of every document and its fingerprint ``fp`` as a signed long.
+
+    With ``words``, also the hash ``s`` of its set of ``words``-word shingles (null without words) and the ``buckets`` of the set.
+    """
     source = docs.select(*[F.col(c).alias(f"_{i}") for i, c in enumerate(keep)], F.col("text").alias("_text"))
     kinds = ", ".join(f"_{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep))
+    names = ["fp"] if words is None else ["fp", "s", "buckets"]
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        of = None if words is None else minhash.Shingles(words)
         for part, raw in texts(batches, "_text"):
-            fps = np.array([fingerprint(t, size) for t in raw], np.uint64).view(np.int64)
+            made = [pa.array(np.array([fingerprint(t, size) for t in raw], np.uint64).view(np.int64))]
+            if of:
+                sets = [of(t) for t in raw]
+                made.append(pa.array([int(np.uint64(minhash.set_hash(x)).view(np.int64)) if x.size else None for x in sets], pa.int64()))
+                made.append(pa.array([minhash.bands(x).view(np.int64) if x.size else None for x in sets], pa.list_(pa.int64())))
             yield pa.RecordBatch.from_arrays(
-                [*(part.column(f"_{i}") for i in range(len(keep))), pa.array(fps)],
-                [*(f"_{i}" for i in range(len(keep))), "fp"])
+                [*(part.column(f"_{i}") for i in range(len(keep))), *made], [*(f"_{i}" for i in range(len(keep))), *names])
 
-    done = source.mapInArrow(run, f"{kinds}, fp long")
-    return done.select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(keep)], "fp")
+    done = source.mapInArrow(run, f"{kinds}, fp long" + (", s long, buckets array<long>" if words is not None else ""))
+    return done.select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(keep)], *names)
 
 
 def ball(radius: int) -> list[int]:
@@ -84,13 +96,52 @@ def links(fps: DataFrame, radius: int = 2) -> DataFrame:
     return pairs.filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)
 
 
-def groups(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), radius: int = 2, size: int = 3, key: str = "doc_id") -> DataFrame:
-    """The ``keep`` columns, fp, and ``component``: the smallest ``key`` among the documents that can be reached."""
-    marked = stage(fingerprints(docs, tuple(dict.fromkeys((*keep, key))), size), "fingerprints")
+def similar_links(docs: DataFrame, marked: DataFrame, near: DataFrame, similar: float, words: int) -> DataFrame:
+    """Links (a, b) between fingerprints of texts whose ``words``-word shingles are ``similar``, given the links ``near``.
+
+    ``marked`` has fp, the set hash s and the buckets of each text; see ``minhash`` for the search.
+    """
+    sets = stage(marked.filter("s IS NOT NULL").groupBy("s").agg(F.min("fp").alias("fp"), F.first("buckets").alias("buckets")), "sets")
+    # texts with one set are similar whatever their fingerprints
+    same = marked.select("s", "fp").distinct().join(sets.select("s", F.col("fp").alias("a")), "s").filter("a <> fp").select("a", F.col("fp").alias("b"))
+    rows = sets.select("s", F.explode("buckets").alias("k"))
+    shared = rows.groupBy("k").agg(F.min("s").alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("k", "a")
+    met = stage(rows.join(shared, "k").select("k", "a", "s"), "buckets")
+    items = stage(minhash.shingle_sets(docs, met.select("s").distinct(), words), "shingles")
+
+    def check(pairs: DataFrame) -> DataFrame:
+        good = minhash.verified(pairs, items, similar)
+        fp = lambda c: sets.select(F.col("s").alias(c), F.col("fp").alias(f"{c}_"))
+        return good.join(fp("a"), "a").join(fp("b"), "b").select(F.col("a_").alias("a"), F.col("b_").alias("b"))
+
+    first = check(met.filter("a <> s").select("a", F.col("s").alias("b")).distinct())
+    first = stage(near.unionByName(same).unionByName(first), "links")
+    roots = components(first).withColumnRenamed("node", "fp")
+    placed = sets.select("s", "fp").join(roots, "fp", "left").select("s", F.coalesce("root", "fp").alias("root"))
+    led = met.filter("a <> s").join(placed, "s").select("k", "s", "root")
+    apart = led.groupBy("k").agg(F.min("root").alias("l"), F.max("root").alias("h")).filter("l <> h").select("k")
+    open_ = stage(led.join(apart, "k", "left_semi"), "open")
+    other = open_.select("k", F.col("s").alias("b"), F.col("root").alias("r"))
+    rest = open_.join(other, "k").filter("s < b AND root <> r").select(F.col("s").alias("a"), "b").distinct()
+    return first.unionByName(check(rest))
+
+
+def groups(
+    docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), radius: int = 2, size: int = 3, key: str = "doc_id",
+    similar: float | None = 0.8, words: int = 5,
+) -> DataFrame:
+    """The ``keep`` columns, fp, ``component``: the smallest ``key`` among the documents that can be reached, and its ``root``.
+
+    Documents are linked if their fingerprints are within ``radius`` bits, or if their sets of ``words``-word shingles have
+    a Jaccard similarity of ``similar`` or more; without ``similar``, by fingerprints alone. ``root`` tells groups
+    apart that have no key.
+    """
+    marked = stage(fingerprints(docs, tuple(dict.fromkeys((*keep, key))), size, None if similar is None else words), "fingerprints")
     lowest = stage(marked.groupBy("fp").agg(F.min(key).alias("low")), "distinct")
-    roots = components(links(lowest, radius))
+    near = links(lowest, radius)
+    roots = components(near if similar is None else similar_links(docs, marked, near, similar, words))
     placed = lowest.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn(
         "root", F.coalesce("root", "fp"))
     named = placed.groupBy("root").agg(F.min("low").alias("component"))
-    of_fp = placed.select("fp", "root").join(named, "root").select("fp", "component")
-    return marked.join(of_fp, "fp").select(*keep, "fp", "component")
+    of_fp = placed.select("fp", "root").join(named, "root").select("fp", "component", "root")
+    return marked.join(of_fp, "fp").select(*keep, "fp", "component", "root")

@@ -203,3 +203,33 @@ def test_edited_leaks_are_found_and_clean_text_is_not(spark):
 def test_decontamination_edges(documents, spark):
     b = spark.createDataFrame([(1, "word word word word word word")], "item_id long, text string")
     assert {r["doc_id"] for r in decontam.leaks(documents(EDGES), b).collect()} == {9}
+
+
+def test_groups_hold_all_pairs_of_five_word_similarity(spark):
+    """Copies with edited words, against exact similarity of every pair; fingerprints within two bits find few of them."""
+    rng = random.Random(11)
+    rows, n = [(None, "one two three four six"), (None, "ONE two three  four six"), (900, ""), (901, None)], 0
+    for _ in range(40):
+        base = [f"w{rng.randrange(5000)}" for _ in range(rng.choice([12, 60, 150, 400]))]
+        for edits in (0, 1, 2, 3, 5, 8):
+            text = list(base)
+            for at in rng.sample(range(len(text)), edits):
+                text[at] = f"x{rng.randrange(5000)}"
+            rows.append((n, " ".join(text)))
+            n += 1
+    def shingles(t):
+        w = (t or "").lower().split()
+        return {tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+    sets = {i: shingles(t) for i, t in rows if i is not None}
+    fps = {i: brute_fingerprint(t) for i, t in rows if i is not None}
+    ids = sorted(sets)
+    pairs = [(a, b) for k, a in enumerate(ids) for b in ids[k + 1:]]
+    bits = [(a, b) for a, b in pairs if (fps[a] ^ fps[b]).bit_count() <= 2]
+    alike = [(a, b) for a, b in pairs if sets[a] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    assert len(set(alike) - set(bits)) > 50
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = simhash.groups(df).collect()
+    assert {r["doc_id"]: r["component"] for r in got if r["doc_id"] is not None} == roots(ids, bits + alike)
+    assert len({r["root"] for r in got if r["doc_id"] is None}) == 1
+    plain = {r["doc_id"]: r["component"] for r in simhash.groups(df, similar=None).collect() if r["doc_id"] is not None}
+    assert plain == roots(ids, bits)
