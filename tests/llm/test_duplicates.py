@@ -233,3 +233,36 @@ def test_groups_hold_all_pairs_of_five_word_similarity(spark):
     assert len({r["root"] for r in got if r["doc_id"] is None}) == 1
     plain = {r["doc_id"]: r["component"] for r in simhash.groups(df, similar=None).collect() if r["doc_id"] is not None}
     assert plain == roots(ids, bits)
+
+
+def test_all_alignments_over_the_threshold_are_found(spark, monkeypatch):
+    """Copies with a fifth to a third of the words edited, in a small vocabulary, against an alignment of every pair."""
+    rng = random.Random(13)
+    word = lambda: f"w{int(60 * rng.random() ** 2)}"
+    items = [(k, " ".join(word() for _ in range(rng.choice([4, 5, 7, 12, 16, 30, 59])))) for k in range(30)]
+    docs = []
+    for d in range(120):
+        copy = items[rng.randrange(30)][1].split()
+        kind, every = d % 4, rng.choice([3, 4, 5])
+        for at in range(len(copy) - 1, -1, -1):
+            if at % every == every - 1 if kind < 3 else at:  # every few words, or a word put between all
+                copy[at:at + 1] = {0: [word()], 1: [], 2: [word(), copy[at]], 3: [word(), copy[at]]}[kind]
+        body = [word() for _ in range(rng.choice([0, 5, 60]))]
+        docs.append((d, " ".join(body[:len(body) // 2] + copy + body[len(body) // 2:])))
+    want = {}
+    for d, t in docs:
+        for i, x in items:
+            a, b = np.array(t.split()), np.array(x.split())
+            score = decontam.align(a, b)[0] / (2 * b.size)
+            if score >= 0.5:
+                want[d, i] = score
+    monkeypatch.setattr(decontam, "BLOCK", 200)  # several blocks
+    got = decontam.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]): r["score"] for r in got} == want and len(got) == len(want)
+
+
+def test_short_items_match_where_they_are_quoted(spark):
+    items = spark.createDataFrame([(1, "alpha"), (2, "beta gamma"), (3, "one two three"), (4, "")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "x Alpha, y alpha"), (2, "beta x gamma"), (3, "a beta gamma"), (4, "one two four three"), (5, "one two three")], "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"], r["score"], r["start"], r["end"]) for r in decontam.leaks(docs, items).collect()}
+    assert got == {(1, 1, 1.0, 1, 2), (3, 2, 1.0, 1, 3), (5, 3, 1.0, 0, 3)}
