@@ -266,3 +266,13 @@ def test_short_items_match_where_they_are_quoted(spark):
     docs = spark.createDataFrame([(1, "x Alpha, y alpha"), (2, "beta x gamma"), (3, "a beta gamma"), (4, "one two four three"), (5, "one two three")], "doc_id long, text string")
     got = {(r["doc_id"], r["item_id"], r["score"], r["start"], r["end"]) for r in decontam.leaks(docs, items).collect()}
     assert got == {(1, 1, 1.0, 1, 2), (3, 2, 1.0, 1, 3), (5, 3, 1.0, 0, 3)}
+
+
+def test_null_and_repeated_item_ids_keep_all_texts(spark):
+    rng = random.Random(17)
+    text = lambda tag: " ".join(f"{tag}{rng.randrange(10_000)}" for _ in range(20))
+    none, one, two = text("a"), text("b"), text("c")
+    items = spark.createDataFrame([(None, none), (1, one), (1, two), (1, two)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, none), (2, one), (3, two), (4, f"{one} {two}"), (None, none)], "doc_id long, text string")
+    got = [(r["doc_id"], r["item_id"], r["score"]) for r in decontam.leaks(docs, items).collect()]
+    assert sorted(got, key=str) == sorted([(1, None, 1.0), (2, 1, 1.0), (3, 1, 1.0), (4, 1, 1.0), (None, None, 1.0)], key=str)
