@@ -31,9 +31,8 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from cytofleet.llm.common import texts
+from cytofleet.llm.common import BITS, held, texts
 
-BITS = 23
 #: Words of the items that are broadcast together.
 BLOCK = 500_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -73,23 +72,6 @@ class Grams:
         return combined(self.hashes(words), range(self.n))
 
 
-def bit_table(grams: DataFrame) -> bytes:
-    """A table of 2**BITS bits with the top bits of every hash ``g`` set: 256 rows of 4 KB reach the driver at most."""
-    slot = F.shiftrightunsigned("g", 64 - BITS) + 1
-    rows = grams.groupBy(F.bitmap_bucket_number(slot).alias("b")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("m")).collect()
-    table = bytearray(1 << (BITS - 3))
-    for r in rows:
-        at = (r["b"] - 1) * 4096
-        table[at:at + len(r["m"])] = r["m"]
-    return bytes(table)
-
-
-def _held(table: np.ndarray, grams: np.ndarray) -> np.ndarray:
-    slot = grams >> np.uint64(64 - BITS)
-    return (table[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 == 1
-
-
 def align(passage: np.ndarray, item: np.ndarray) -> tuple[int, int, int]:
     """Best local alignment of two word-id arrays: score, first passage word, end (exclusive)."""
     m = passage.size
@@ -143,7 +125,7 @@ class Items:
         at, key = [], []
         for d in (1, 2):
             pair = combined(h, (0, d))
-            held = np.flatnonzero(_held(self.table, pair))
+            held = np.flatnonzero(held(self.table, pair))
             k = np.minimum(np.searchsorted(self.key, pair[held]), self.key.size - 1)
             same = self.key[k] == pair[held] if self.key.size else np.zeros(0, bool)
             at.append(held[same])

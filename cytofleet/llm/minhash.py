@@ -20,8 +20,8 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from cytofleet.llm.common import stage, texts
-from cytofleet.llm.decontam import Grams, _held, bit_table
+from cytofleet.llm.common import bit_table, held, stage, texts
+from cytofleet.llm.decontam import Grams
 
 BANDS, ROWS = 20, 4
 _FACTORS = np.random.default_rng(42).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -72,7 +72,7 @@ def shingle_sets(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
         for _, raw in texts(batches):
             sets = [x for x in map(of, raw) if x.size]
             keys = np.array([set_hash(x) for x in sets], np.uint64)
-            at = np.flatnonzero(_held(table, keys))
+            at = np.flatnonzero(held(table, keys))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(keys[at].view(np.int64)), pa.array([sets[i].tobytes() for i in at], pa.binary())], ["s", "items"])
 
