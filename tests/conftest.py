@@ -2,12 +2,10 @@ import os
 import sys
 
 import pytest
+from fixtures import DISKS
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-SF = "/root/testdata/sf0.001"
-
-
 @pytest.fixture(scope="session")
 def spark():
     from cytofleet.session import build_session
@@ -17,9 +15,6 @@ def spark():
     return s
 
 
-DISKS = {1: (120, 120, 40, 15), 2: (120, 300, 45, 18), 3: (300, 120, 38, 14), 4: (300, 300, 42, 16), 5: (400, 400, 35, 13)}
-
-
 @pytest.fixture(scope="session")
 def disk_field(spark):
     """Five disk cells on a 448 x 448 field: (pixels, labels, fields)."""

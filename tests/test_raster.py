@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import DISKS
+from fixtures import DISKS
 from cytofleet.operators import cells as D
 from cytofleet.operators import raster as R
 

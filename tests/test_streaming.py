@@ -65,7 +65,7 @@ def test_content_hash_depends_on_content_only(spark):
 
 
 def test_plans_of_expressible_operators_stay_in_the_engine(spark):
-    from conftest import SF
+    from fixtures import SF
     from cytofleet.plans import catalogue
     for name in ("C1_white_tophat", "D6_nuclear_partition", "E1_residualisation", "E3_zscores", "E7_combat", "E19_two_condition_comparison", "B8_qc_flags", "E26_top_cells"):
         plan = catalogue.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
