@@ -125,10 +125,10 @@ class Items:
         at, key = [], []
         for d in (1, 2):
             pair = combined(h, (0, d))
-            held = np.flatnonzero(held(self.table, pair))
-            k = np.minimum(np.searchsorted(self.key, pair[held]), self.key.size - 1)
-            same = self.key[k] == pair[held] if self.key.size else np.zeros(0, bool)
-            at.append(held[same])
+            hits = np.flatnonzero(held(self.table, pair))
+            k = np.minimum(np.searchsorted(self.key, pair[hits]), self.key.size - 1)
+            same = self.key[k] == pair[hits] if self.key.size else np.zeros(0, bool)
+            at.append(hits[same])
             key.append(k[same])
         at, key = np.concatenate(at), np.concatenate(key)
         if not at.size:

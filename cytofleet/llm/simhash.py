@@ -28,7 +28,7 @@ import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from cytofleet.llm import minhash
-from cytofleet.llm.common import stage, texts
+from cytofleet.llm.common import stage, texts, unstage
 from cytofleet.llm.components import components
 
 
@@ -105,25 +105,22 @@ def similar_links(docs: DataFrame, marked: DataFrame, near: DataFrame, similar:
     # texts with one set are similar whatever their fingerprints
     same = marked.select("s", "fp").distinct().join(sets.select("s", F.col("fp").alias("a")), "s").filter("a <> fp").select("a", F.col("fp").alias("b"))
     rows = sets.select("s", F.explode("buckets").alias("k"))
-    shared = rows.groupBy("k").agg(F.min("s").alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("k", "a")
-    met = stage(rows.join(shared, "k").select("k", "a", "s"), "buckets")
-    items = stage(minhash.shingle_sets(docs, met.select("s").distinct(), words), "shingles")
+    shared = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("k")
+    met = stage(rows.join(shared, "k").select("s").distinct(), "met")
+    items = stage(minhash.shingle_sets(docs, met, words), "shingles")
+    places = stage(minhash.prefixes(items, similar), "places")
 
     def check(pairs: DataFrame) -> DataFrame:
         good = minhash.verified(pairs, items, similar)
         fp = lambda c: sets.select(F.col("s").alias(c), F.col("fp").alias(f"{c}_"))
         return good.join(fp("a"), "a").join(fp("b"), "b").select(F.col("a_").alias("a"), F.col("b_").alias("b"))
 
-    first = check(met.filter("a <> s").select("a", F.col("s").alias("b")).distinct())
-    first = stage(near.unionByName(same).unionByName(first), "links")
+    first = stage(near.unionByName(same).unionByName(check(minhash.led_pairs(places, similar))), "links")
     roots = components(first).withColumnRenamed("node", "fp")
     placed = sets.select("s", "fp").join(roots, "fp", "left").select("s", F.coalesce("root", "fp").alias("root"))
-    led = met.filter("a <> s").join(placed, "s").select("k", "s", "root")
-    apart = led.groupBy("k").agg(F.min("root").alias("l"), F.max("root").alias("h")).filter("l <> h").select("k")
-    open_ = stage(led.join(apart, "k", "left_semi"), "open")
-    other = open_.select("k", F.col("s").alias("b"), F.col("root").alias("r"))
-    rest = open_.join(other, "k").filter("s < b AND root <> r").select(F.col("s").alias("a"), "b").distinct()
-    return first.unionByName(check(rest))
+    done = stage(first.unionByName(check(minhash.apart_pairs(places, placed, similar))), "links")
+    unstage(sets, met, items, places, first)
+    return done
 
 
 def groups(
