@@ -10,7 +10,7 @@ The method then looks at every token that holds a digit or an ``@``:
 * instances (token strings) and patterns form a graph with one edge per distinct pair. A seed instance scores 1.
   A pattern scores the sum of its instances' scores over their number plus a prior ``doubt``, and counts only
   from ``support`` distinct positive instances on; an instance scores the best of its patterns, if that
-  is ``sure`` or more. ``rounds`` rounds of two aggregations each spread the scores;
+  is ``sure`` or more. Rounds of two aggregations each spread the scores until they settle;
 * tokens that match a pattern of score ``sure`` or more are found identifiers, if no base span overlaps them.
 
 All steps are aggregations with map-side sums and equi-joins; the text is read once and never shuffled. A hot
@@ -28,7 +28,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from cytofleet.llm.common import stage
+from cytofleet.llm.common import stage, unstage
 
 KINDS = ("email", "ip", "card", "phone")
 #: Possessive forms of the base rules: the same matches, but no recursion and no rescans of long runs.
@@ -146,7 +146,7 @@ def scan(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     cands = F.transform("_named", lambda t: F.struct(
         t["start"].alias("start"), t["end"].alias("end"), t["core"].alias("core"), t["left"].alias("left"),
         t["right"].alias("right"), over(t).alias("base"), (over(t) | digest(t)).alias("seed")))
-    return df.select(*[F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)], F.xxhash64(F.expr("uuid()")).alias("_row"), "base",
+    return df.select(*[F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)], F.expr("uuid()").alias("_row"), "base",
                      F.when(F.size("_named") > 0, cands).alias("cands"))
 
 
@@ -157,27 +157,35 @@ def shape(core: Column) -> Column:
             .otherwise("mixed"))
 
 
-def induce(cands: DataFrame, rounds: int = 3, support: int = 5, sure: float = 0.8, doubt: float = 1.0) -> DataFrame:
-    """(pattern, score) of the patterns with a score of ``sure`` or more; ``cands`` has pattern, core, seed."""
+def induce(cands: DataFrame, support: int = 5, sure: float = 0.8, doubt: float = 1.0, rounds: int = 1000) -> DataFrame:
+    """(pattern, conf) of the patterns with a score of ``sure`` or more; ``cands`` has pattern, core, seed.
+
+    Scores of instances only rise, and those of patterns are cut to thousandths, so they settle; the search goes on until
+    no score changes. A run that has not settled after ``rounds`` raises.
+    """
     edges = stage(cands.groupBy("pattern", "core").agg(F.max("seed").alias("seed")), "edges")
-    seeds = edges.groupBy("core").agg(F.max("seed").cast("double").alias("score"))
-    scores = stage(seeds, "scores")
     # edges of one instance may be a seed in one document only; the instance counts as one then
-    for k in range(rounds):
+    scores = stage(edges.groupBy("core").agg(F.max("seed").cast("double").alias("score")), "scores")
+    for _ in range(rounds):
         patterns = (
             edges.join(scores, "core").groupBy("pattern")
-            .agg((F.sum("score") / (F.count(F.lit(1)) + doubt)).alias("conf"), F.sum((F.col("score") > 0).cast("long")).alias("good"))
+            .agg((F.floor(F.sum("score") / (F.count(F.lit(1)) + doubt) * 1000 + 1e-6) / 1000).alias("conf"), F.sum((F.col("score") > 0).cast("long")).alias("good"))
             .filter((F.col("good") >= support) & (F.col("conf") >= sure)))
         patterns = stage(patterns.select("pattern", "conf"), "patterns")
-        if k == rounds - 1:
-            break
         best = edges.join(patterns, "pattern").groupBy("core").agg(F.max("conf").alias("best"))
-        scores = stage(scores.join(best, "core", "left").select(
-            "core", F.greatest("score", F.coalesce("best", F.lit(0.0))).alias("score")), "scores")
-    return patterns
-
-
-def find(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), rounds: int = 3, support: int = 5, sure: float = 0.8) -> DataFrame:
+        step = stage(scores.join(best, "core", "left").select(
+            "core", F.col("score").alias("was"), F.greatest("score", F.coalesce("best", F.lit(0.0))).alias("score")), "scores")
+        unstage(scores)
+        scores = step.drop("was")
+        scores._staged = step._staged
+        if step.filter("score > was").isEmpty():
+            unstage(step, edges)
+            return patterns
+        unstage(patterns)
+    raise RuntimeError(f"pattern scores did not settle in {rounds} rounds")
+
+
+def find(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), support: int = 5, sure: float = 0.8) -> DataFrame:
     """The ``keep`` columns, base and found: arrays of struct<kind, start, end>, sorted, ends exclusive.
 
     ``found`` holds the spans of the method, kind ``context``; they overlap no base span.
@@ -190,7 +198,7 @@ def find(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), rounds: int = 3,
     seen = token.withColumn("s", F.explode(sides)).select(
         "_row", "start", "end", "core", "base", "seed",
         F.xxhash64("s.side", "s.word", shape(F.col("core"))).alias("pattern"))
-    sure_of = induce(seen, rounds, support, sure)
+    sure_of = induce(seen, support, sure)
     hits = seen.filter("not base").join(sure_of, "pattern").groupBy("_row").agg(
         F.array_sort(F.collect_set(F.struct(F.lit("context").alias("kind"), F.col("start"), F.col("end")))).alias("found"))
     none = F.array().cast("array<struct<kind:string,start:bigint,end:bigint>>")

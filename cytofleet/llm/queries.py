@@ -41,7 +41,8 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = suffix.remove(table(spark, sf_dir, "documents"))
     return cut.select(
         "doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).alias("n_removed"),
-        F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+        F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
+        (F.size("removed") > 0).alias("has_repeats"), F.call_function("make_valid_utf8", F.col("kept").cast("string")).alias("kept_text"))
 
 
 #: A public vocabulary file; queries use it where it is, it is never copied.

@@ -193,13 +193,14 @@ def test_induction_matches_a_plain_loop(spark):
     edges = {(rng.randrange(30), f"i{rng.randrange(120)}") for _ in range(500)} | {(99, f"i{k}") for k in range(12)}
     seeds = {f"i{k}" for k in range(0, 12)} | {f"i{k}" for k in range(0, 120, 7)}
     df = spark.createDataFrame([(p, c, c in seeds) for p, c in edges] * 2, "pattern long, core string, seed boolean")
-    got = {r["pattern"]: r["conf"] for r in pii.induce(df, rounds=3, support=3, sure=0.15).collect()}
+    got = {r["pattern"]: r["conf"] for r in pii.induce(df, support=3, sure=0.15).collect()}
     score = {c: float(c in seeds) for _, c in edges}
-    for _ in range(3):
-        of = {}
+    before = None
+    while before != score:
+        of, before = {}, dict(score)
         for p, c in edges:
             of.setdefault(p, []).append(score[c])
-        conf = {p: sum(s) / (len(s) + 1) for p, s in of.items()}
+        conf = {p: int(sum(s) / (len(s) + 1) * 1000 + 1e-6) / 1000 for p, s in of.items()}
         conf = {p: x for p, x in conf.items() if x >= 0.15 and sum(s > 0 for s in of[p]) >= 3}
         for p, c in edges:
             score[c] = max(score[c], conf.get(p, 0.0))
