@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from cytofleet.llm import decontam, packing, pii, quality_lr, simhash
-from cytofleet.llm.common import in_split, table
+from cytofleet.llm.common import in_split, table, unstage
 from cytofleet.session import ensure_checkpoint_dir
 
 QUALITY = 0.3
@@ -78,9 +78,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage over the documents of ``sf_dir``."""
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         path = f"{ensure_checkpoint_dir(spark)}/pipeline-{name}-{uuid.uuid4().hex}"
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        if before is not None:
+            unstage(before)
+        before = docs = spark.read.parquet(path)
+        docs._staged = path
     return docs
