@@ -33,13 +33,13 @@ COMPARED = [
 
 
 def pair_correlations(df: DataFrame, columns_a: dict[str, Column | dict[str, Column]], columns_b: dict[str, Column | dict[str, Column]],
-                      keys: Sequence[str] = (), min_n: int = 2, chunk: int = 7) -> DataFrame:
+                      keys: Sequence[str] = (), min_n: int = 2, chunk: int = 7, upper: bool = False) -> DataFrame:
     """Pearson r over pairwise complete rows for every (a, b): (keys, a, b, n, r).
 
     Rows are fanned out by a and by runs of ``chunk`` partners (which keeps the aggregation within
     code generation) and reduced to sums before the shuffle. A column may be a dict
     ``partner -> Column`` when its values depend on the partner. Columns should be roughly centred.
-    Constant sides give NULL.
+    Constant sides give NULL. With ``upper``, both sides have the same columns, and runs that lie before a are left out.
     """
     pick = lambda c, other: c[other] if isinstance(c, dict) else c
     runs = [list(columns_b)[i:i + chunk] for i in range(0, len(columns_b), chunk)]
@@ -49,7 +49,7 @@ def pair_correlations(df: DataFrame, columns_a: dict[str, Column | dict[str, Col
         F.struct(F.lit(a).alias("a"), F.lit(g).alias("g"), *[
             (pick(ca, run[j]) if j < len(run) else none).alias(f"x{j}") for j in range(width)], *[
             (pick(columns_b[run[j]], a) if j < len(run) else none).alias(f"y{j}") for j in range(width)])
-        for a, ca in columns_a.items() for g, run in enumerate(runs)])
+        for i, (a, ca) in enumerate(columns_a.items()) for g, run in enumerate(runs) if not upper or (g + 1) * chunk > i])
     rows = df.select(*keys, F.inline(fan))
     aggs = []
     for j in range(width):
@@ -78,9 +78,13 @@ def centred(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()) ->
 
 
 def correlation_matrix(cells: DataFrame, features: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
-    """Pairwise complete Pearson of all features (both triangles and the diagonal)."""
+    """Pairwise complete Pearson of all features: one triangle is computed, then mirrored."""
     c = {f: F.col(f) for f in features}
-    return pair_correlations(centred(cells, features, keys), c, c, keys)
+    place = F.create_map(*[F.lit(x) for f in enumerate(features) for x in reversed(f)])
+    half = pair_correlations(centred(cells, features, keys), c, c, keys, upper=True).filter(place[F.col("a")] <= place[F.col("b")])
+    both = F.when(F.col("a") == F.col("b"), F.array(F.struct("a", "b"))).otherwise(
+        F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))
+    return half.withColumn("_p", F.explode(both)).select(*keys, F.col("_p.a").alias("a"), F.col("_p.b").alias("b"), "n", "r")
 
 
 def validity_classes(df: DataFrame, features: Sequence[str]) -> dict[str, str]:

@@ -172,14 +172,14 @@ def d9(spark, d):
 
 
 @query("D10_actin_cortical_ratio", f"""WITH {raster_sql(['actin'])}, {WIDTH_SQL},
-{eroded_sql('deep', 'CAST(greatest(1, round_even(0.65e0 / pixel_size_um, 0)) AS INT)')}
+{eroded_sql('deep', 'CAST(greatest(1, round_even(3.25e0 / pixel_size_um, 0)) AS INT)')}
 SELECT field_id, cell_id, round(avg(value), 6) AS actin_mean_intensity,
   round(CASE WHEN avg(value) FILTER (k) > 0 THEN avg(value) FILTER (NOT k) / avg(value) FILTER (k) END, 6) AS actin_cortical_ratio
 FROM (SELECT m.field_id, m.cell_id, value, EXISTS (SELECT 1 FROM deep q WHERE q.field_id = m.field_id AND q.cell_id = m.cell_id AND q.y = m.y AND q.x = m.x) AS k
       FROM mask m JOIN pixels p ON p.field_id = m.field_id AND p.y = m.y AND p.x = m.x) GROUP BY ALL""")
 def d10(spark, d):
     lab = labels(spark, d)
-    return rounded(D.cortical_ratio(D.over(pixels(spark, d, ["actin"]), lab.select(*CELL, "y", "x")), lab, fields(spark, d), D.ActinParams(cortical_um=0.65)))
+    return rounded(D.cortical_ratio(D.over(pixels(spark, d, ["actin"]), lab.select(*CELL, "y", "x")), lab, fields(spark, d)))
 
 
 MOMENT_SQL = f"""
@@ -235,6 +235,11 @@ def d14(spark, d):
                     r6("nuclear_to_cell_area_ratio").alias("nuclear_to_cell_area_ratio"))
 
 
+@query("D14_nuclear_solidity")
+def d14_solidity(spark, d):
+    return D.nuclear_morphology(labels(spark, d)).select(*CELL, r6("nuclear_solidity").alias("nuclear_solidity"))
+
+
 FAMILY_SQL = f"""{_RV}, iv AS (SELECT r.field_id, r.cell_id, value FROM interior r JOIN pixels p USING (field_id, y, x)),
 {ENTROPY_SQL}, {COVER_SQL}, {GLCM_SQL}, {MORAN_SQL}, {RADIAL_SQL}, {DECAY_SQL},
 ri AS (SELECT field_id, cell_id, avg(value) AS m, sum(value) AS s, stddev_pop(value) / avg(value) AS cv FROM rv0 GROUP BY ALL),
@@ -263,15 +268,15 @@ def d16(spark, d):
     return D.expand_profile(D.assemble_profiles(px, labels(spark, d), fields(spark, d), names))
 
 
-@query("D17_attach_embeddings", f"""WITH {raster_sql(['dapi'])}
-SELECT l.field_id, l.cell_id, e.vec_id, CAST(round(CAST(e.embedding[1] AS DOUBLE), 6) AS DOUBLE) AS first_component, len(e.embedding) AS width
-FROM (SELECT DISTINCT field_id, cell_id FROM labels) l LEFT JOIN (SELECT vec_id, vec_id // 64 AS field_id, vec_id % 64 + 1 AS cell_id, embedding FROM embeddings WHERE vec_id % 3 > 0) e
-  ON e.field_id = l.field_id AND e.cell_id = l.cell_id""")
+@query("D17_attach_embeddings", """
+WITH e AS (SELECT vec_id // 64 AS field_id, CAST(vec_id % 64 + 1 AS INT) AS cell_id, vec_id, embedding FROM embeddings)
+SELECT field_id, cell_id, vec_id, CAST(round(CAST(embedding[1] AS DOUBLE), 6) AS DOUBLE) AS first_component, len(embedding) AS width FROM e
+UNION ALL SELECT DISTINCT field_id, 0, NULL, NULL, NULL FROM e""")
 def d17(spark, d):
-    # vectors whose number divides by three stand for cells whose crop was skipped
-    e = table(spark, d, "embeddings").filter("vec_id % 3 > 0").select(
+    # every vector belongs to a cell of its own; cell 0 of each field stands for a crop that was skipped
+    e = table(spark, d, "embeddings").select(
         F.expr("vec_id div 64").alias("field_id"), F.expr("cast(vec_id % 64 + 1 as int)").alias("cell_id"), "embedding", "vec_id")
-    cells = labels(spark, d).select(*CELL).distinct()
+    cells = e.select(*CELL).unionByName(e.select("field_id", F.lit(0).alias("cell_id")).distinct())
     out = D.attach_embeddings(cells, e, 64).join(e.select(*CELL, "vec_id"), CELL, "left")
     first = F.round(F.get("embedding", F.lit(0)).cast("double"), 6)
     return out.select(*CELL, "vec_id", first.alias("first_component"), F.when(F.col("embedding").isNotNull(), F.size("embedding")).cast("bigint").alias("width"))

@@ -205,18 +205,18 @@ def e12(spark, d):
     return rnd(P.mean_profile(prof.withColumn("radial_profile", F.col("radial_profile").cast("array<double>"))), 5)
 
 
-_CM = ["cell_area", "fa_mature_fraction", "fa_mean_orientation_alignment", "glycocalyx_moran_i", "glycocalyx_shannon_entropy", "nuclear_area", "mechano_score", "yap_nuclear_intensity"]
+_SA, _SB = Q.BLOCK_A, [b for b in Q.BLOCK_B if b != "yap_nc_ratio_size_corrected"]
+#: All features of the synthetic cells that are numbers.
+_CM = sorted({*_SA, *_SB, "cell_area", "nuclear_area", "fa_count", "fa_mean_area", "yap_nuclear_fraction"})
 
 
-@query("E13_correlation_matrix", "WITH " + cells_sql(_CM) + " " + " UNION ALL ".join(
-    f"SELECT '{a}' AS a, '{b}' AS b, count(*) FILTER ({a} IS NOT NULL AND {b} IS NOT NULL) AS n, round(corr({a}, {b}), 6) AS r FROM cells" for a in _CM for b in _CM))
+@query("E13_correlation_matrix", "WITH " + cells_sql(_CM) + " SELECT unnest([" + ", ".join(
+    f"struct_pack(a := '{a}', b := '{b}', n := count(*) FILTER ({a} IS NOT NULL AND {b} IS NOT NULL), r := round(corr({a}, {b}), 6))" for a in _CM for b in _CM)
+    + "], recursive := true) FROM cells")
 def e13(spark, d):
     return rnd(Q.correlation_matrix(cells(spark, d, _CM), _CM))
 
 
-_SA, _SB = Q.BLOCK_A, [b for b in Q.BLOCK_B if b != "yap_nc_ratio_size_corrected"]
-
-
 def _screen_sql(a, b):
     return (f"SELECT '{a}' AS a, '{b}' AS b, count(*) AS n, round(corr(ra, rb), 6) AS r FROM (SELECT "
             f"rank() OVER (ORDER BY {a}) + (count(*) OVER (PARTITION BY {a}) - 1) / 2e0 AS ra, rank() OVER (ORDER BY {b}) + (count(*) OVER (PARTITION BY {b}) - 1) / 2e0 AS rb "
@@ -257,21 +257,9 @@ def e16(spark, d):
     return rnd(Q.permutation_p(c, "glycocalyx_coverage", "fa_mean_area", _PERM, _HASH_KEYS, ["field_id"]))
 
 
-# A rational stand-in for the tail probability, so that another engine can form the same family:
-# all feature pairs of the correlation matrix, the diagonal without a p.
-_PV = "CASE WHEN a <> b THEN round(1e0 / (1e0 + n * r * r / 50e0), 9) END"
-
-
-@query("E17_benjamini_hochberg", "WITH " + cells_sql(_CM) + ", c AS (" + " UNION ALL ".join(
-    f"SELECT '{a}' AS a, '{b}' AS b, count(*) FILTER ({a} IS NOT NULL AND {b} IS NOT NULL) AS n, round(corr({a}, {b}), 6) AS r FROM cells" for a in _CM for b in _CM) + f"""),
-g AS (SELECT a, b, {_PV} AS p FROM c), h AS (SELECT *, row_number() OVER (ORDER BY p, a, b) AS i, count(*) OVER () AS m FROM g WHERE p IS NOT NULL),
-q AS (SELECT a, b, p, least(1, min(p * m / i) OVER (ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS q FROM h)
-SELECT a, b, p, round(q, 9) AS q, CASE WHEN q < 0.001 THEN '***' WHEN q < 0.01 THEN '**' WHEN q < 0.05 THEN '*' END AS stars FROM q
-UNION ALL SELECT a, b, NULL, NULL, NULL FROM g WHERE p IS NULL""")
+@query("E17_benjamini_hochberg")
 def e17(spark, d):
-    c = rnd(Q.correlation_matrix(cells(spark, d, _CM), _CM))
-    q = Q.benjamini_hochberg(c.select("a", "b", F.expr(_PV).alias("p")))
-    return rnd(q.withColumn("stars", B.stars(F.col("q"))), 9)
+    return rnd(_full_screen(spark, d).withColumn("stars", B.stars(F.col("q"))), 9)
 
 
 @query("E18_screen_headline")

@@ -94,7 +94,7 @@ def ring_values(spark: SparkSession, d: str, channel: str = "glycocalyx") -> tup
 
 # --- queries --------------------------------------------------------------------
 
-_RADIUS_SQL = "radius AS (SELECT field_id, CASE WHEN pixel_size_um > 0 THEN greatest(1, round_even(1.0e0 / pixel_size_um, 0)) END AS r FROM fields)"
+_RADIUS_SQL = "radius AS (SELECT field_id, CASE WHEN pixel_size_um > 0 THEN greatest(1, round_even(7.5e0 / pixel_size_um, 0)) END AS r FROM fields)"
 
 
 @query("C1_white_tophat", f"""WITH {pixels_sql(['dapi', 'glycocalyx', 'actin'])}, {FIELDS_SQL}, {_RADIUS_SQL},
@@ -106,7 +106,7 @@ i AS (SELECT *, max(h) OVER (PARTITION BY field_id, channel, y ORDER BY x RANGE
 SELECT field_id, channel, y, x, value - o AS value FROM i
 UNION ALL SELECT field_id, channel, y, x, value FROM pixels WHERE channel = 'dapi'""")
 def c1(spark, d):
-    radius = fields(spark, d).select("field_id", S.background_radius_px(1.0, "pixel_size_um").alias("radius_px"))
+    radius = fields(spark, d).select("field_id", S.background_radius_px(7.5, "pixel_size_um").alias("radius_px"))
     return R.white_tophat(pixels(spark, d, ["dapi", "glycocalyx", "actin"]), radius)
 
 
@@ -183,7 +183,7 @@ def c7(spark, d):
 def c8(spark, d):
     lab = labels(spark, d)
     seeds = lab.filter("nucleus_id > 0").select("field_id", "y", "x", F.col("nucleus_id").alias("label"))
-    return R.seeded_growth(pixels(spark, d, ["actin"]).drop("channel"), seeds, levels=8)
+    return R.seeded_growth(pixels(spark, d, ["actin"]).drop("channel"), seeds)
 
 
 @query("C9_nucleus_matching", f"""WITH {raster_sql(['dapi'])},
@@ -321,13 +321,13 @@ def c17(spark, d):
 
 
 @query("C18_cell_crops", f"""WITH {raster_sql(['dapi'])},
-bx AS (SELECT l.field_id, cell_id, greatest(0, min(y) - 3) AS y0, least(max(height) - 1, max(y) + 3) AS y1,
-              greatest(0, min(x) - 3) AS x0, least(max(width) - 1, max(x) + 3) AS x1 FROM labels l JOIN fields f ON f.field_id = l.field_id GROUP BY ALL),
+bx AS (SELECT l.field_id, cell_id, greatest(0, min(y) - 15) AS y0, least(max(height) - 1, max(y) + 15) AS y1,
+              greatest(0, min(x) - 15) AS x0, least(max(width) - 1, max(x) + 15) AS x1 FROM labels l JOIN fields f ON f.field_id = l.field_id GROUP BY ALL),
 cr AS (SELECT b.field_id, cell_id, channel, y - y0 AS cy, x - x0 AS cx, value, min(value) OVER w AS lo, max(value) OVER w AS hi
        FROM bx b JOIN pixels p ON p.field_id = b.field_id AND y BETWEEN y0 AND y1 AND x BETWEEN x0 AND x1 WINDOW w AS (PARTITION BY b.field_id, cell_id, channel))
 SELECT field_id, cell_id, channel, cy, cx, round((value - lo) / (hi - lo) * 255, 6) AS value FROM cr""")
 def c18(spark, d):
-    return R.cell_crops(pixels(spark, d, ["dapi"]), labels(spark, d), fields(spark, d), F.lit(3)).withColumn("value", r6("value"))
+    return R.cell_crops(pixels(spark, d, ["dapi"]), labels(spark, d), fields(spark, d), F.lit(15)).withColumn("value", r6("value"))
 
 
 @query("C19_boundary_extraction", f"""WITH {raster_sql(['actin'])},

@@ -35,7 +35,7 @@ def f1(spark, d):
     return G.knn_edges(points(cells(spark, d, _XY)))
 
 
-_F2 = ["cell_area", "glycocalyx_moran_i", "yap_nuclear_fraction", "fa_count", "nuclear_solidity"]
+_F2 = sorted({"cell_area", "yap_nuclear_fraction", "fa_count", *(f for f in [*G.NODE_FEATURES, *BLOCK_A, *BLOCK_B] if f != "yap_nc_ratio_size_corrected")})
 _C2 = sorted(set(_XY + _F2 + QC_IN))
 
 
