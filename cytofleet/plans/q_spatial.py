@@ -44,9 +44,11 @@ SELECT s.field_id, '{f}' AS feature, (n * 1e0 / count(*)) * (sum((a.{f} - mean)
 FROM (SELECT field_id, count({f}) AS n, avg({f}) AS mean, stddev_samp({f}) AS sd, var_samp({f}) * (count({f}) - 1) AS ss FROM qr WHERE analysis_ready GROUP BY ALL) s
   JOIN knn USING (field_id) JOIN qr a ON a.field_id = knn.field_id AND a.cell_id = src AND a.analysis_ready JOIN qr b ON b.field_id = knn.field_id AND b.cell_id = dst AND b.analysis_ready
 WHERE a.{f} IS NOT NULL AND b.{f} IS NOT NULL AND n >= 8 AND ss > 1e-12 GROUP BY s.field_id, n, mean, sd""" for f in _F2) + """)
-SELECT field_id, feature, round(moran, 6) AS moran, n, round(mean, 6) AS mean, round(sd, 6) AS sd, CAST(row_number() OVER (PARTITION BY field_id ORDER BY abs(moran) DESC, feature) AS INT) AS rank FROM mo""")
+SELECT field_id, feature, round(moran, 6) AS moran, n, round(mean, 6) AS mean, round(sd, 6) AS sd, CAST(row_number() OVER (PARTITION BY field_id ORDER BY abs(moran) DESC, feature) AS INT) AS rank FROM mo
+QUALIFY row_number() OVER (PARTITION BY field_id ORDER BY abs(moran) DESC, feature) <= 18""")
 def f2(spark, d):
-    c = B.qc_flags(qc_input(cells(spark, d, _C2)))
+    # the rules' input takes this column under another name
+    c = B.qc_flags(qc_input(cells(spark, d, _C2)).withColumn("actin_cortical_ratio", F.col("actin_mean_intensity")))
     e = G.knn_edges(points(c))
     ready = c.filter("analysis_ready")
     return rnd(G.graph_moran(ready, e, _F2))

@@ -156,6 +156,38 @@ def test_communities_separate_cliques(spark):
     assert H.modularity(g, lab).first()["modularity"] > 0.6
 
 
+def test_communities_in_one_task_and_in_sweeps(spark):
+    """Planted blocks: both ways find them, every community is connected, and no single move raises the modularity."""
+    rng = np.random.default_rng(8)
+    rows = {}
+    for a in range(60):
+        for b in range(a):
+            if rng.random() < (0.6 if a // 15 == b // 15 else 0.03):
+                rows[a, b] = rows[b, a] = round(float(rng.uniform(0.5, 1)), 3)
+    g = spark.createDataFrame([(a, b, w) for (a, b), w in rows.items()], "src long, dst long, weight double")
+    total = sum(rows.values())
+    deg = {u: sum(w for (a, _), w in rows.items() if a == u) for u in range(60)}
+
+    def score(lab):
+        names = set(lab.values())
+        inner = sum(w for (a, b), w in rows.items() if lab[a] == lab[b])
+        return inner / total - sum((sum(deg[u] for u in lab if lab[u] == c) / total) ** 2 for c in names)
+
+    for small in (0, 10**6):
+        lab = {r["node"]: r["community"] for r in H.communities(g, small=small).collect()}
+        assert len(lab) == 60 and all(lab[u] == lab[u - u % 15] for u in lab) and len(set(lab.values())) == 4
+        assert all(c == min(u for u in lab if lab[u] == c) for c in lab.values())
+        for u in lab:
+            for c in set(lab.values()):
+                assert score({**lab, u: c}) <= score(lab) + 1e-9
+
+
+def test_communities_without_an_edge_inside_are_cut(spark, monkeypatch):
+    g = spark.createDataFrame([(1, 2, 1.0), (2, 1, 1.0), (3, 4, 1.0), (4, 3, 1.0)], "src long, dst long, weight double")
+    monkeypatch.setattr(H, "_communities", lambda *a: spark.createDataFrame([(k, 1) for k in range(1, 5)], "node long, community long"))
+    assert {r["node"]: r["community"] for r in H.communities(g).collect()} == {1: 1, 2: 1, 3: 3, 4: 3}
+
+
 def test_embedding_rules(spark):
     rng = np.random.default_rng(3)
     rows = [(i, [float(x) for x in rng.normal(size=60)]) for i in range(70)] + [(70, [float("nan")] * 60), (71, None)]
