@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from cytofleet.functions.scalar import mix31
+from cytofleet.functions.scalar import P31, mix31
 from cytofleet.functions.tails import correlation_p_udf, rank_sum_p_udf
 from cytofleet.operators.population import summarise
 from cytofleet.operators.scale import attach_stats, largest_group, prefix_sums, top_k, value_ranks
@@ -15,6 +15,8 @@ from cytofleet.session import pin
 
 # Largest rank table (rows) that is broadcast; about 10 MB.
 BROADCAST_ROWS = 300_000
+# Most rows whose positions and ranks are broadcast for permutations; about 80 MB as a hashed relation.
+POSITION_ROWS = 1_000_000
 
 # The two blocks of the screen and the compared features.
 BLOCK_A = [
@@ -179,11 +181,66 @@ def hash_order(df: DataFrame, keys: Sequence[str], hashed: str, tie: Sequence[st
     return d.withColumn(out, F.col("_base") + F.col("_i")).drop("_b", "_i", "_base")
 
 
+#: Multipliers of the ten rounds of the bijection (fewer leave small groups uneven), scattering and offset inside a round.
+ROUND_MULTIPLIERS = (1103515245, 1566083941, 1812433253, 1234567891, 1664525013, 1299709021, 1640531527, 1181783497, 1597334677, 1220703125)
+SCATTER, OFFSET = 1103515245, 715827882
+#: Walks outside the domain. The space exceeds the domain by less than one side, so a walk from a small domain ends
+#: within that many steps for certain; from a large one (side over 64) it goes on with a chance below 1/64 per step.
+WALKS = 64
+
+
+def _mixed(v: Column, add: Column, flip: Column, m: Column) -> Column:
+    h = ((v + F.lit(OFFSET)) * m + add) % F.lit(P31)
+    h = h.bitwiseXOR(flip) * F.lit(SCATTER) % F.lit(P31)
+    return h.bitwiseXOR(add) * m % F.lit(P31)
+
+
+def permuted_position(df: DataFrame, pos: str, n: str, perm: str, out: str, seed: int = 42) -> DataFrame:
+    """Adds the image of a position below ``n`` under the permutation numbered ``perm``.
+
+    A Feistel network with modular addition, a keyed bijection of the numbers below a * b, the smallest near-square at
+    or above n, is cut to n by walking the cycle until it is back inside. Only integer arithmetic within the row:
+    nothing is sorted or shuffled. The first pass is one projection per half round, so that no half is computed
+    twice; the few rows that leave the domain walk on inside one expression.
+    """
+    a, b, ka, kb = (F.col(c) for c in ("_a", "_b", "_ka", "_kb"))
+    rounds = [(F.lit(m1), F.lit(m2)) for m1, m2 in zip(ROUND_MULTIPLIERS[::2], ROUND_MULTIPLIERS[1::2], strict=True)]
+    side = F.greatest(F.lit(1), F.ceil(F.sqrt(F.col(n).cast("double")))).cast("bigint")
+    over = F.col(n) + a - 1
+    d = df.withColumns({"_a": side, "_ka": mix31(seed + 1, perm), "_kb": mix31(seed + 2, perm)})
+    d = d.withColumn("_b", ((over - over % a) / a).cast("bigint"))
+    d = d.withColumn("_l", F.col(pos).cast("bigint") % a)
+    d = d.withColumn("_r", ((F.col(pos) - F.col("_l")) / a).cast("bigint"))
+    for m1, m2 in rounds:
+        d = d.withColumn("_l", (F.col("_l") + _mixed(F.col("_r"), ka, kb, m1)) % a)
+        d = d.withColumn("_r", (F.col("_r") + _mixed(F.col("_l"), kb, ka, m2)) % b)
+    d = d.withColumn("_x", F.col("_r") * a + F.col("_l"))
+
+    halves = F.array(*[F.struct(m1.alias("m1"), m2.alias("m2")) for m1, m2 in rounds])
+
+    def one_round(s: Column, m: Column) -> Column:
+        left = (s["l"] + _mixed(s["r"], ka, kb, m["m1"])) % a
+        return F.struct(left.alias("l"), ((s["r"] + _mixed(left, kb, ka, m["m2"])) % b).alias("r"))
+
+    def again(x: Column, _: Column) -> Column:
+        start = F.struct((x % a).alias("l"), ((x - x % a) / a).cast("bigint").alias("r"))
+        return F.when(x < F.col(n), x).otherwise(F.aggregate(halves, start, one_round, lambda s: s["r"] * a + s["l"]))
+
+    walked = F.aggregate(F.sequence(F.lit(1), F.lit(WALKS)), F.col("_x"), again)
+    d = d.withColumn("_x", F.when(F.col("_x") < F.col(n), F.col("_x")).otherwise(walked))
+    lost = F.raise_error(F.lit("a permuted position did not come back into its domain")).cast("bigint")
+    # never NULL, so that a join on it adds no filter, which would repeat all rounds below the projections
+    return d.withColumn(out, F.coalesce(F.when(F.col("_x") < F.col(n), F.col("_x")).otherwise(lost), F.lit(-1).cast("bigint"))).drop("_a", "_b", "_ka", "_kb", "_l", "_r", "_x")
+
+
 def permutation_p(cells: DataFrame, x: str, y: str, permutations: int, row_keys: Sequence[str], keys: Sequence[str] = (), seed: int = 42) -> DataFrame:
-    """Empirical two-sided p of Spearman's rho: (k+1)/(N+1) over hash-ordered shuffles of the y ranks.
+    """Empirical two-sided p of Spearman's rho: (k+1)/(N+1) over keyed bijections of the row positions.
 
-    Ranks are kept doubled so that all products are exact integers. Groups with fewer than five
-    complete rows or a constant side get NULL.
+    Rows are ranked and numbered once, those with equal keys by their ranks; each permutation then pairs the x rank of a row with the y rank at the permuted
+    position, by one equi-join with partial sums. Below ``POSITION_ROWS`` rows (measured) the positions are broadcast,
+    so that only the sums are shuffled; above, rows x permutations are dealt by position. Ranks are kept doubled and
+    products are summed in two halves, so all sums are exact integers (groups of up to 2^30 rows). Groups with fewer
+    than five complete rows or a constant side get NULL.
     """
     keys = list(keys)
     d = cells.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, *row_keys, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
@@ -191,20 +248,29 @@ def permutation_p(cells: DataFrame, x: str, y: str, permutations: int, row_keys:
     rx = value_ranks(d, keys, "_x").select(*keys, "_x", twice.alias("rx"))
     ry = value_ranks(d, keys, "_y").select(*keys, "_y", twice.alias("ry"))
     d = d.join(rx, [*keys, "_x"]).join(ry, [*keys, "_y"]).select(*keys, *row_keys, "rx", "ry")
-    n = F.count(F.lit(1))
-    dec = lambda c: c.cast("decimal(38,0)")
-    obs = d.groupBy(*keys).agg(
-        n.alias("n"), F.sum(dec(F.col("rx") * F.col("ry"))).alias("_xy"), F.sum(dec(F.col("rx"))).alias("_sx"), F.sum(dec(F.col("ry"))).alias("_sy"),
+    placed = pin(hash_order(d.withColumn("_h", mix31(seed, *row_keys)), keys, "_h", [*row_keys, "rx", "ry"], "_pos").select(*keys, "_pos", "rx", "ry"))
+    product = F.col("rx") * F.col("ry")
+    halves = F.sum(F.shiftright(product, 32)).alias("_hi"), F.sum(product.bitwiseAND(F.lit((1 << 32) - 1))).alias("_lo")
+    dec = lambda c: F.col(c).cast("decimal(38,0)")
+    joined = dec("_hi") * F.lit(1 << 32).cast("decimal(11,0)") + dec("_lo")
+    obs = placed.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), *halves, F.sum("rx").alias("_sx"), F.sum("ry").alias("_sy"),
         (F.min("rx") < F.max("rx")).alias("_vx"), (F.min("ry") < F.max("ry")).alias("_vy"))
-    k = hash_buckets(d, keys)
-    base = hash_order(d.withColumn("_h", mix31(seed, *row_keys)), keys, "_h", row_keys, "_pos", k).select(*keys, "_pos", "rx")
-    shuffled = d.select(*keys, *row_keys, "ry").withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(permutations))))
-    shuffled = hash_order(shuffled.withColumn("_h", mix31(seed + 1, "perm", *row_keys)), [*keys, "perm"], "_h", row_keys, "_pos", k)
-    met = shuffled.select(*keys, "perm", "_pos", "ry").join(base, [*keys, "_pos"]).groupBy(*keys, "perm").agg(
-        F.sum(dec(F.col("rx") * F.col("ry"))).alias("_p"))
+    obs = pin(obs.withColumn("_xy", joined.cast("decimal(38,0)")).drop("_hi", "_lo"))
+    rows = placed.count()
+    parts = max(cells.sparkSession.sparkContext.defaultParallelism, rows * permutations // 4_000_000)
+    size = obs.select(*keys, "n")
+    left = placed.select(*keys, "_pos", "rx")
+    left = (left.join(size, keys) if keys else left.join(F.broadcast(size))).repartition(parts)
+    left = left.withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(permutations))))
+    left = permuted_position(left, "_pos", "n", "perm", "_at", seed).select(*keys, "perm", "rx", F.col("_at").alias("_pos"))
+    right = placed.select(*keys, F.col("_pos").cast("bigint").alias("_pos"), "ry")
+    right = F.broadcast(right) if rows <= POSITION_ROWS else right.hint("shuffle_hash")
+    met = left.join(right, [*keys, "_pos"]).groupBy(*keys, "perm").agg(*halves).select(*keys, "perm", joined.cast("decimal(38,0)").alias("_p"))
     j = met.join(obs, keys) if keys else met.join(F.broadcast(obs))
     # |n*sum(xy) - sum(x)*sum(y)| compares |rho| without dividing
-    size = lambda c: F.abs(F.col("n") * F.col(c) - F.col("_sx") * F.col("_sy"))
+    total = dec("_sx") * dec("_sy")
+    size = lambda c: F.abs(F.col("n").cast("decimal(19,0)") * F.col(c) - total)
     g = j.groupBy(*keys).agg(F.count_if(size("_p") >= size("_xy")).alias("extreme"), F.max("n").alias("n"), F.first("_vx").alias("_vx"), F.first("_vy").alias("_vy"))
     ok = (F.col("n") >= 5) & F.col("_vx") & F.col("_vy")
     return g.select(*keys, "n", "extreme", F.when(ok, (F.col("extreme") + 1) / F.lit(permutations + 1.0)).alias("p"))

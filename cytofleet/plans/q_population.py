@@ -238,7 +238,30 @@ def e15(spark, d):
     return rnd(Q.with_parametric_p(Q.correlation_screen(cells(spark, d, _SA + _SB), _SA, _SB)))
 
 
-_PERM = 19
+_PERM = 1000
+
+
+#: Constants of the bijection, repeated here so that the twin does not rest on the operator.
+_MULTIPLIERS = [(1103515245, 1566083941), (1812433253, 1234567891), (1664525013, 1299709021), (1640531527, 1181783497), (1597334677, 1220703125)]
+
+
+def _mixed_sql(v, add, flip, m):
+    return f"(xor(xor((({v} + 715827882) * {m} + {add}) % 2147483647, {flip}) * 1103515245 % 2147483647, {add}) * {m} % 2147483647)"
+
+
+def _passes_sql(source, passes=9):
+    """Rows of ``source`` with x sent through the bijection until it is below n (the driver's fields need few passes)."""
+    base, sql = "field_id, rx, n, a, b, p, ka, kb, x", f"SELECT *, n AS x0 FROM ({source})"
+    for _ in range(passes):
+        still = lambda e: f"CASE WHEN x0 >= n THEN {e} END"
+        sql = f"SELECT {base}, x0, {still('x % a')} AS l, {still('x // a')} AS r FROM ({sql})"
+        for m1, m2 in _MULTIPLIERS:
+            left, right = f"(l + {_mixed_sql('r', 'ka', 'kb', m1)}) % a", f"(r + {_mixed_sql('l', 'kb', 'ka', m2)}) % b"
+            sql = f"SELECT {base}, x0, {still(left)} AS l, r FROM ({sql})"
+            sql = f"SELECT {base}, x0, l, {still(right)} AS r FROM ({sql})"
+        moved = "CASE WHEN x0 >= n THEN r * a + l ELSE x END"
+        sql = f"SELECT field_id, rx, n, a, b, p, ka, kb, {moved} AS x, {moved} AS x0 FROM ({sql})"
+    return f"SELECT field_id, p, rx, x AS pos FROM ({sql})"
 
 
 @query("E16_permutation_p", "WITH " + _keyed_sql(["glycocalyx_coverage", "fa_mean_area"]) + f""",
@@ -246,10 +269,12 @@ rk AS (SELECT field_id, l_orderkey, l_partkey, l_linenumber,
          2 * rank() OVER (PARTITION BY field_id ORDER BY glycocalyx_coverage) + count(*) OVER (PARTITION BY field_id, glycocalyx_coverage) - 1 AS rx,
          2 * rank() OVER (PARTITION BY field_id ORDER BY fa_mean_area) + count(*) OVER (PARTITION BY field_id, fa_mean_area) - 1 AS ry FROM cells),
 ob AS (SELECT field_id, count(*) AS n, sum(rx * ry) AS xy, sum(rx) AS sx, sum(ry) AS sy FROM rk GROUP BY ALL),
-bs AS (SELECT field_id, rx, row_number() OVER (PARTITION BY field_id ORDER BY {mix31_sql(42, *_HASH_KEYS)}, l_orderkey, l_partkey, l_linenumber) AS pos FROM rk),
-sh AS (SELECT field_id, p, ry, row_number() OVER (PARTITION BY field_id, p ORDER BY h, l_orderkey, l_partkey, l_linenumber) AS pos
-       FROM (SELECT *, {mix31_sql(43, 'p', *_HASH_KEYS)} AS h FROM rk, (SELECT unnest(range(1, {_PERM + 1})) AS p))),
-pp AS (SELECT field_id, p, sum(rx * ry) AS pxy FROM sh JOIN bs USING (field_id, pos) GROUP BY ALL)
+bs AS (SELECT field_id, rx, ry, row_number() OVER (PARTITION BY field_id ORDER BY {mix31_sql(42, *_HASH_KEYS)}, l_orderkey, l_partkey, l_linenumber, rx, ry) - 1 AS pos FROM rk),
+pm AS (SELECT p, {mix31_sql(43, 'p')} AS ka, {mix31_sql(44, 'p')} AS kb FROM (SELECT unnest(range(1, {_PERM + 1})) AS p)),
+sd AS (SELECT field_id, n, CAST(ceil(sqrt(CAST(n AS DOUBLE))) AS BIGINT) AS a FROM ob),
+st AS (SELECT field_id, rx, n, a, (n + a - 1) // a AS b, p, ka, kb, pos AS x FROM bs JOIN sd USING (field_id), pm),
+sh AS (""" + _passes_sql("SELECT * FROM st") + f"""),
+pp AS (SELECT field_id, p, sum(sh.rx * s.ry) AS pxy FROM sh JOIN bs s USING (field_id, pos) GROUP BY ALL)
 SELECT field_id, max(n) AS n, count(*) FILTER (abs(n * pxy - sx * sy) >= abs(n * xy - sx * sy)) AS extreme,
   round((count(*) FILTER (abs(n * pxy - sx * sy) >= abs(n * xy - sx * sy)) + 1) / {_PERM + 1}e0, 6) AS p FROM pp JOIN ob USING (field_id) GROUP BY field_id""")
 def e16(spark, d):

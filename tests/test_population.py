@@ -6,6 +6,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from cytofleet.functions.scalar import mix31
 from cytofleet.operators import population as P
 from cytofleet.operators import rules as B
 from cytofleet.operators import screen as Q
@@ -139,6 +140,34 @@ def test_permutation_p_floor_and_null(spark):
     assert Q.permutation_p(d, "glycocalyx_moran_i", "nuclear_solidity", 9, ["cell_id"]).first()["p"] is None
 
 
+def test_permuted_positions_are_even_bijections(spark):
+    """Every size gets a permutation per number; each place is hit about equally often; the plan repeats no round."""
+    sizes = [1, 2, 3, 5, 7, 12, 37, 91, 545, 4097]
+    d = frame(spark, n=sizes).select(F.col("n").cast("bigint").alias("n"), F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("pos"))
+    d = Q.permuted_position(d.withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(40)))), "pos", "n", "perm", "at")
+    g = d.groupBy("n", "perm").agg(F.countDistinct("at").alias("k"), F.min("at").alias("lo"), F.max("at").alias("hi")).toPandas()
+    assert len(g) == 40 * len(sizes) and (g.k == g.n).all() and (g.lo == 0).all() and (g.hi == g.n - 1).all()
+    e = spark.range(7).select(F.col("id").alias("pos"), F.lit(7).cast("bigint").alias("n"), F.explode(F.sequence(F.lit(1), F.lit(7000))).alias("perm"))
+    seen = Q.permuted_position(e, "pos", "n", "perm", "at").groupBy("pos", "at").count().toPandas()
+    assert len(seen) == 49 and seen["count"].between(850, 1150).all()
+
+
+def test_permutation_p_equals_brute_force(spark):
+    """p of two groups against ranks and permutations put together in numpy, rows of equal keys and ties included."""
+    rng = np.random.default_rng(5)
+    pdf = pd.DataFrame({"g": [0] * 23 + [1] * 40, "k": [0] * 5 + list(range(58)), "x": rng.integers(0, 9, 63) * 1.0, "y": rng.integers(0, 15, 63) * 1.0})
+    got = {r["g"]: r for r in Q.permutation_p(spark.createDataFrame(pdf), "x", "y", 200, ["k"], ["g"]).collect()}
+    moved = Q.permuted_position(spark.createDataFrame([(n,) for n in (23, 40)], "n bigint").select("n", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("pos"))
+                                .withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(200)))), "pos", "n", "perm", "at").toPandas()
+    order = spark.createDataFrame(pdf).select("g", "k", "x", "y", mix31(42, "k").alias("h")).toPandas().sort_values(["g", "h", "k", "x", "y"])
+    for g, part in order.groupby("g"):
+        rx, ry = part.x.rank().to_numpy() * 2, part.y.rank().to_numpy() * 2
+        n, c = len(part), lambda s: abs(len(part) * s - rx.sum() * ry.sum())
+        maps = moved[moved.n == n].sort_values(["perm", "pos"])["at"].to_numpy().reshape(200, n)
+        extreme = int((np.array([c((rx * ry[m]).sum()) for m in maps]) >= c((rx * ry).sum())).sum())
+        assert (got[g]["n"], got[g]["extreme"], got[g]["p"]) == (n, extreme, (extreme + 1) / 201)
+
+
 def test_all_null_screen_is_safe(spark):
     d = screen_frame(spark, 20).withColumns({c: F.lit(None).cast("double") for c in Q.BLOCK_A})
     s = Q.benjamini_hochberg(Q.with_parametric_p(Q.correlation_screen(d)))
