@@ -152,8 +152,10 @@ def test_permuted_positions_are_even_bijections(spark):
     assert len(seen) == 49 and seen["count"].between(850, 1150).all()
 
 
-def test_permutation_p_equals_brute_force(spark):
-    """p of two groups against ranks and permutations put together in numpy, rows of equal keys and ties included."""
+@pytest.mark.parametrize("bound", [1_000_000, 0])
+def test_permutation_p_equals_brute_force(spark, monkeypatch, bound):
+    """With positions broadcast and joined: p of two groups against ranks and permutations put together in numpy, rows of equal keys and ties included."""
+    monkeypatch.setattr(Q, "POSITION_ROWS", bound)
     rng = np.random.default_rng(5)
     pdf = pd.DataFrame({"g": [0] * 23 + [1] * 40, "k": [0] * 5 + list(range(58)), "x": rng.integers(0, 9, 63) * 1.0, "y": rng.integers(0, 15, 63) * 1.0})
     got = {r["g"]: r for r in Q.permutation_p(spark.createDataFrame(pdf), "x", "y", 200, ["k"], ["g"]).collect()}
