@@ -60,19 +60,23 @@ def normal_two_sided(z: float) -> float:
 
 
 def exact_u_two_sided(u: float, n1: int, n2: int) -> float:
-    """Exact two-sided rank-sum p without ties; the smaller arm has at most 8 values."""
+    """Exact two-sided rank-sum p without ties.
+
+    The numbers of orders with a given U are the coefficients of a Gaussian binomial, the product of
+    (1 - q^(n2 + i)) / (1 - q^i) over the smaller arm: one shifted subtraction and one running sum of stride i per
+    value of that arm, in whole numbers (64 bits while they suffice).
+    """
     n1, n2 = min(n1, n2), max(n1, n2)
-    ways = np.zeros((n1 + 1, n1 * n2 + 1))
-    ways[0, 0] = 1.0
-    # ways[k, s]: subsets of size k of the ranks seen so far with U-statistic s
-    for rank in range(1, n1 + n2 + 1):
-        for k in range(min(rank, n1), 0, -1):
-            shift = rank - k
-            if shift <= n1 * n2:
-                ways[k, shift:] += ways[k - 1, : n1 * n2 + 1 - shift]
-    pmf = ways[n1] / ways[n1].sum()
-    hi = max(u, n1 * n2 - u)
-    return float(min(1.0, 2.0 * pmf[int(math.ceil(hi)):].sum()))
+    size, orders = n1 * n2 + 1, math.comb(n1 + n2, n1)
+    ways = np.zeros(size, np.int64 if orders < 2 ** 62 else object)
+    ways[0] = 1
+    for i in range(1, n1 + 1):
+        less = ways.copy()
+        less[n2 + i:] -= ways[:max(0, size - n2 - i)]
+        padded = np.concatenate([less, np.zeros(-size % i, ways.dtype)])
+        ways = np.add.accumulate(padded.reshape(-1, i), axis=0).ravel()[:size]
+    hi = math.ceil(max(u, n1 * n2 - u))
+    return min(1.0, 2 * int(ways[hi:].sum()) / orders)
 
 
 @pandas_udf(DoubleType())

@@ -1,3 +1,4 @@
+import itertools
 import math
 
 import pytest
@@ -49,3 +50,14 @@ def test_tails():
     assert abs(tails.exact_u_two_sided(0, 3, 3) - 0.1) < 1e-12
     # 2 against 3: U=1 has 1+1 of 10 orders at or below, doubled
     assert abs(tails.exact_u_two_sided(1, 2, 3) - 0.4) < 1e-12
+
+
+def test_exact_u_against_all_orders():
+    for n1, n2 in ((1, 1), (1, 6), (2, 5), (4, 4), (5, 3)):
+        us = [sum(ranks) - n1 * (n1 - 1) // 2 for ranks in itertools.combinations(range(n1 + n2), n1)]
+        for u in range(n1 * n2 + 1):
+            want = min(1.0, 2 * sum(v >= max(u, n1 * n2 - u) for v in us) / len(us))
+            assert abs(tails.exact_u_two_sided(u, n1, n2) - want) < 1e-15
+    # beyond 64 bits the counts stay whole numbers; a large arm costs as many steps as the small one has values
+    assert abs(tails.exact_u_two_sided(8 * 3000 / 2, 8, 3000) - 1.0) < 1e-3
+    assert tails.exact_u_two_sided(0, 8, 3000) == 2 / math.comb(3008, 8)
