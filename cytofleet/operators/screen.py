@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -360,6 +361,29 @@ def capped_samples(cells: DataFrame, condition: str, features: Sequence[str], or
 EFFECTS = [0.5, 0.67, 0.8, 0.9, 1.0, 1.1, 1.25, 1.5, 2.0]
 
 
+def hash_draws(df: DataFrame, row_keys: Sequence[str], k: int, replicates: int, seed: int, margin: float = 6.0) -> DataFrame:
+    """The first ``k`` rows by hash order of every replicate, as ``replicate`` and ``_i`` (from 1); fewer if there are fewer rows.
+
+    Hashes are uniform, so a row is kept for a replicate if its hash lies below a limit under which ``k`` rows and
+    ``margin`` standard deviations more (one row at least) are expected; the table is read once and never multiplied by the replicates, only about
+    k rows each go on. A replicate that came out short is noticed and all are drawn again with twice the limit, so
+    the rows are those of a full sort.
+    """
+    n = df.count()
+    share = max(1.0, k + margin * math.sqrt(k)) / n if n else 1.0
+    while True:
+        limit = math.ceil(P31 * min(1.0, share))
+        tries = F.transform(F.sequence(F.lit(1), F.lit(replicates)), lambda r: F.struct(r.alias("replicate"), mix31(seed, r, *row_keys).alias("_h")))
+        kept = pin(df.withColumn("_d", F.filter(tries, lambda t: t["_h"] < limit)).select("*", F.inline("_d")).drop("_d"))
+        if limit >= P31:
+            break
+        full = kept.groupBy("replicate").count().filter(F.col("count") >= min(k, n)).count()
+        if full == replicates:
+            break
+        share *= 2
+    return top_k(kept, ["replicate"], [F.asc("_h"), *[F.asc(c) for c in row_keys]], k, "_i").drop("_h")
+
+
 def power_scan(cells: DataFrame, features: Sequence[str], row_keys: Sequence[str], cells_per_arm: int = 50, replicates: int = 30,
                alpha: float = 0.05, seed: int = 42, effects: Sequence[float] = tuple(EFFECTS)) -> DataFrame:
     """Share of replicates rejecting equality per (feature, effect); effect 1 is skipped with power 0.
@@ -369,9 +393,7 @@ def power_scan(cells: DataFrame, features: Sequence[str], row_keys: Sequence[str
     """
     from cytofleet.operators.scale import unpivot
 
-    d = cells.select(*row_keys, *features).withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    d = d.withColumn("_h", mix31(seed, "replicate", *row_keys))
-    d = top_k(d, ["replicate"], [F.asc("_h"), *[F.asc(c) for c in row_keys]], 2 * cells_per_arm, "_i")
+    d = hash_draws(cells.select(*row_keys, *features), row_keys, 2 * cells_per_arm, replicates, seed)
     d = d.withColumn("arm", F.when(F.col("_i") <= cells_per_arm, "baseline").otherwise("treated"))
     long = unpivot(d, ["replicate", "arm"], features).filter(F.col("value").isNotNull())
     long = long.withColumn("effect", F.explode(F.array(*[F.lit(float(e)) for e in effects if e != 1.0])))

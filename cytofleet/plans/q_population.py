@@ -11,6 +11,7 @@ from cytofleet.operators import screen as Q
 from cytofleet.plans.adapters import cells, cells_sql, spread_table, table
 from cytofleet.plans.q_raster import RADIAL_SQL, r6, regions_sql, ring_values
 from cytofleet.plans.registry import query
+from cytofleet.session import pin
 
 KEY = ["field_id", "cell_id"]
 
@@ -459,11 +460,28 @@ def e28(spark, d):
 _PW = ["cell_area", "glycocalyx_mean_intensity", "glycocalyx_coverage"]
 
 
+_LONG_PW = " UNION ALL ".join(f"SELECT replicate, i, '{f}' AS feature, {f} AS value FROM dr WHERE {f} IS NOT NULL" for f in _PW)
+# arms of 50 always take the normal tail, where p < 0.05 is z above its two-sided 5 percent point
+POWER_SQL = "WITH " + _keyed_sql(_PW) + f""",
+hs AS (SELECT cells.*, r AS replicate, {mix31_sql(42, 'r', *_HASH_KEYS)} AS h FROM cells, (SELECT unnest(range(1, 31)) AS r)),
+dr AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY replicate ORDER BY h, l_orderkey, l_partkey, l_linenumber) AS i FROM hs) WHERE i <= 100),
+lo AS ({_LONG_PW}),
+ap AS (SELECT replicate, feature, effect, i <= 50 AS base, CASE WHEN i <= 50 THEN value ELSE value * effect END AS v
+       FROM lo, (SELECT unnest([0.5e0, 0.67e0, 0.8e0, 0.9e0, 1.1e0, 1.25e0, 1.5e0, 2e0]) AS effect)),
+ra AS (SELECT *, rank() OVER (PARTITION BY replicate, feature, effect ORDER BY v) AS lowest, count(*) OVER (PARTITION BY replicate, feature, effect, v) AS t FROM ap),
+us AS (SELECT replicate, feature, effect, count(*) FILTER (base) AS na, count(*) FILTER (NOT base) AS nb, sum(lowest + (t - 1) / 2e0) FILTER (base) AS r, sum(t * t - 1) AS tie FROM ra GROUP BY ALL),
+zs AS (SELECT feature, effect, na, nb, r - na * (na + 1) / 2e0 AS u, na * nb / 12e0 * ((na + nb + 1) - tie / ((na + nb) * (na + nb - 1e0))) AS var FROM us),
+pw AS (SELECT feature, effect, count(*) FILTER (var > 0 AND (greatest(u, na * nb - u) - na * nb / 2e0 - 0.5e0) > 1.959963984540054e0 * sqrt(greatest(var, 0))) / 30e0 AS power FROM zs GROUP BY ALL
+       UNION ALL SELECT DISTINCT feature, 1e0, 0e0 FROM zs),
+md AS (SELECT feature, arg_min(effect, (round(abs(effect - 1), 9), effect)) FILTER (effect <> 1 AND power >= 0.8e0) AS min_detectable_effect FROM pw GROUP BY ALL)
+SELECT feature, effect, power, min_detectable_effect, round(abs(min_detectable_effect - 1) * 100, 6) AS min_detectable_pct_shift FROM pw JOIN md USING (feature)"""
+
+
 def power_grid(spark, d):
-    return Q.power_scan(_keyed_cells(spark, d, _PW), _PW, _HASH_KEYS)
+    return pin(Q.power_scan(_keyed_cells(spark, d, _PW), _PW, _HASH_KEYS))
 
 
-@query("E29_power_scan")
+@query("E29_power_scan", POWER_SQL)
 def e29(spark, d):
     g = power_grid(spark, d)
     return g.join(Q.min_detectable(g), "feature")

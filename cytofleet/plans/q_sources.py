@@ -10,7 +10,7 @@ from cytofleet.operators import priors as G
 from cytofleet.operators import rules as B
 from cytofleet.operators import screen as Q
 from cytofleet.plans.adapters import cells, cells_sql, nation_pairs, NATION_SQL, pixels, pixels_sql, table
-from cytofleet.plans.q_population import power_grid, rnd
+from cytofleet.plans.q_population import POWER_SQL, power_grid, rnd
 from cytofleet.plans.q_raster import r6
 from cytofleet.plans.registry import query
 from cytofleet.sources import tables as A
@@ -211,11 +211,10 @@ def a13(spark, d):
     return A.from_records(A.to_records(c.withColumn("deep_0", F.lit(1.0))), c.schema)
 
 
-@query("A14_power_sink")
+@query("A14_power_sink", POWER_SQL)
 def a14(spark, d):
     path = A.shared_path(spark, "power")
-    from cytofleet.session import pin
-    g = pin(power_grid(spark, d))
+    g = power_grid(spark, d)
     A.write_power(g, Q.min_detectable(g), path)
     grid = spark.read.schema("feature string, effect double, power double").json(f"{path}/grid")
     head = spark.read.schema("feature string, min_detectable_effect double, min_detectable_pct_shift double").option("header", True).csv(f"{path}/summary")

@@ -186,6 +186,21 @@ def test_power_grows_with_the_effect(spark):
     assert m.loc["v", "min_detectable_effect"] == 0.9 and math.isnan(m.loc["w", "min_detectable_effect"])
 
 
+@pytest.mark.parametrize("margin", [6.0, -4.0, -1e9])
+def test_hash_draws_are_the_smallest_hashes(spark, margin):
+    # negative margins come out short at first and are drawn again
+    df = frame(spark, row=list(range(700)) + [3, 3]).withColumn("row", F.col("row").cast("long"))
+    got = sorted((r["replicate"], r["_i"], r["row"]) for r in Q.hash_draws(df, ["row"], 40, 5, 42, margin).collect())
+    tagged = df.withColumn("r", F.explode(F.sequence(F.lit(1), F.lit(5)))).select("r", mix31(42, "r", "row").alias("h"), "row").collect()
+    want = []
+    for k in range(1, 6):
+        mine = sorted((t["h"], t["row"]) for t in tagged if t["r"] == k)[:40]
+        want += [(k, i, row) for i, (_, row) in enumerate(mine, 1)]
+    assert got == want
+    few = Q.hash_draws(df.limit(7), ["row"], 40, 5, 42, margin)
+    assert few.count() == 35 and Q.hash_draws(df.limit(0), ["row"], 40, 5, 42, margin).isEmpty()
+
+
 def test_qc_rules(spark):
     n = 60
     df = frame(spark, field_id=[1] * n, cell_id=list(range(n)), cell_area=[1000.0] * (n - 2) + [30.0, 1000.0], nuclear_area=[200.0] * (n - 2) + [10.0, 200.0],
