@@ -253,25 +253,48 @@ def weighted_median(df: DataFrame, keys: Sequence[str], value: str, weight: str,
     return df.select(*keys).distinct().join(hit, list(keys), "left")
 
 
+def _row_median(entries: Column) -> Column:
+    """Lower weighted median of an array of (value, weight) structs, as in :func:`weighted_median`."""
+    ok = F.filter(entries, lambda e: e["v"].isNotNull() & ~F.isnan(e["v"]) & (e["w"] > 0))
+    total = F.aggregate(F.transform(ok, lambda e: e["w"]), F.lit(0.0), lambda a, w: a + w)
+    start = F.struct(F.lit(0.0).alias("c"), (total / 2 * (1 - 1e-12)).alias("half"), F.lit(None).cast("double").alias("hit"))
+
+    def step(acc: Column, e: Column) -> Column:
+        c = acc["c"] + e["w"]
+        return F.struct(c.alias("c"), acc["half"].alias("half"), F.coalesce(acc["hit"], F.when(c >= acc["half"], e["v"])).alias("hit"))
+
+    return F.aggregate(F.array_sort(ok), start, step)["hit"]
+
+
 def rerank(prior: DataFrame, weights: DataFrame, keys: Sequence[str] = (), signed: DataFrame | None = None) -> DataFrame:
     """Dynamic scores and ranks per (keys, source, gene) from target weights.
 
     ``prior(source, gene, rank, score, target, inverse)``. Ties fall back to the static rank, then
     the name; genes without shared targets come last. With ``signed(target, z)`` a ``signed_score``
     (weighted median of sign(z) * inverse) is added.
+
+    A gene is one row with its targets in an array, a key group one row with a map from target to weight; their
+    medians are taken inside the row, so only (keys, source, gene) rows are shuffled, for the ranks. ``weights`` and
+    ``signed`` hold a target once per key group; a second row for it is an error.
     """
-    g = [*keys, "source", "gene"]
-    p = prior.filter(F.col("target").isNotNull()).join(weights, "target")
-    out = weighted_median(p, g, "inverse", "weight", "score")
+    keys = list(keys)
+    entry = F.when(F.col("target").isNotNull(), F.struct("target", F.col("inverse").cast("double").alias("inverse")))
+    genes = prior.groupBy("source", "gene").agg(F.max("rank").alias("static_rank"), F.collect_list(entry).alias("_e"))
+    by_target = lambda df, value, out: df.filter(F.col("target").isNotNull()).groupBy(*keys).agg(
+        F.map_from_entries(F.collect_list(F.struct("target", value))).alias(out))
+    groups = by_target(weights, "weight", "_w")
+    if signed is not None:
+        z = by_target(signed, "z", "_z")
+        groups = groups.join(z, keys, "left") if keys else groups.join(z)  # without keys both are one row
+    d = with_panel(groups, genes)
+
+    def median(value) -> Column:
+        return _row_median(F.transform("_e", lambda e: F.struct(value(e).alias("v"), F.element_at("_w", e["target"]).alias("w"))))
+
+    use = [*keys, "source", "gene", "static_rank", median(lambda e: e["inverse"]).alias("score")]
     if signed is not None:
-        s = p.join(signed, [*keys, "target"]).withColumn("_s", F.signum("z") * F.col("inverse"))
-        out = out.join(weighted_median(s, g, "_s", "weight", "signed_score"), g, "left")
-    static = prior.groupBy("source", "gene").agg(F.max("rank").alias("static_rank"))
-    if keys:
-        every = with_panel(weights.select(*keys).distinct(), static)
-    else:
-        every = static
-    d = every.join(out, g, "left")
+        use.append(median(lambda e: F.signum(F.element_at("_z", e["target"])) * e["inverse"]).alias("signed_score"))
+    d = d.select(*use)
     # one gene panel per (keys, source)
     w = Window.partitionBy(*keys, "source").orderBy(F.desc_nulls_last("score"), "static_rank", "gene")
     d = d.withColumn("dynamic_rank", F.row_number().over(w))

@@ -265,6 +265,58 @@ def test_uniform_weights_reproduce_the_static_ranking(spark):
     assert d.filter("delta <> 0").count() == 0 and d.count() == 22
 
 
+def _reranked(prior, weights, z):
+    """field, source, gene -> score, signed score, static and dynamic rank, by plain loops."""
+
+    def median(pairs):
+        pairs = sorted((v, w) for v, w in pairs if v is not None and not np.isnan(v) and w > 0)
+        half, run = sum(w for _, w in pairs) / 2 * (1 - 1e-12), 0.0
+        for v, w in pairs:
+            run += w
+            if run >= half:
+                return v
+        return None
+
+    out = {}
+    for f in weights:
+        rows = []
+        for s, g in sorted({(s, g) for s, g, _, _, _ in prior}):
+            mine = [(t, v) for s2, g2, _, t, v in prior if (s2, g2) == (s, g) and t in weights[f]]
+            static = max(r for s2, g2, r, _, _ in prior if (s2, g2) == (s, g))
+            signed = [(np.sign(z[f][t]) * v if v is not None else None, weights[f][t]) for t, v in mine if t in z[f]]
+            rows.append((s, g, static, median([(v, weights[f][t]) for t, v in mine]), median(signed)))
+        for s in {r[0] for r in rows}:
+            ordered = sorted((r for r in rows if r[0] == s), key=lambda r: (r[3] is None, -(r[3] or 0), r[2], r[1]))
+            out |= {(f, s, r[1]): (r[3], r[4], r[2], i) for i, r in enumerate(ordered, 1)}
+    return out
+
+
+def test_rerank_against_plain_loops(spark):
+    rng = np.random.default_rng(4)
+    targets = [f"t{j}" for j in range(7)]
+    prior = [(s, f"g{i:02d}", i + 1, t, [None, float("nan"), 0.5, float(rng.random())][min(3, int(rng.integers(0, 9)))])
+             for s in ("a", "b") for i in range(14) for t in targets if rng.random() < 0.8]
+    prior += [("a", "g99", 99, "elsewhere", 1.0), ("b", "g98", 98, "t0", 0.25), ("b", "g98", 98, "t0", 0.75)]  # no shared target; a repeated one
+    weights = {f: {t: float(w) for t, w in zip(targets[:6], rng.choice([0.0, 0.1, 0.2, 0.4], 6), strict=True)} for f in (1, 2, 3)}
+    z = {f: {t: float(v) for t, v in zip(targets[1:], rng.choice([-1.5, 0.0, 2.0], 6), strict=True)} for f in (1, 2)} | {3: {}}
+    p = spark.createDataFrame(prior, "source string, gene string, rank int, target string, inverse double").withColumn("score", F.lit(0.0))
+    w = spark.createDataFrame([(f, t, v) for f, r in weights.items() for t, v in r.items()], "field_id int, target string, weight double")
+    s = spark.createDataFrame([(f, t, v) for f, r in z.items() for t, v in r.items()], "field_id int, target string, z double")
+    d = G.rerank(p, w, ["field_id"], s)
+    got = {(r["field_id"], r["source"], r["gene"]): (r["score"], r["signed_score"], r["static_rank"], r["dynamic_rank"]) for r in d.collect()}
+    assert got == _reranked(prior, weights, z)
+    one = G.rerank(p, w.filter("field_id = 1").drop("field_id"), (), s.filter("field_id = 1").drop("field_id")).collect()
+    assert {(1, r["source"], r["gene"]): (r["score"], r["signed_score"], r["static_rank"], r["dynamic_rank"]) for r in one} == {k: v for k, v in got.items() if k[0] == 1}
+    assert G.rerank(p, w.limit(0), ["field_id"], s).isEmpty() and G.rerank(p.limit(0), w, ["field_id"], s).isEmpty()
+
+
+def test_rerank_shuffles_no_target_rows(spark):
+    p = spark.createDataFrame([("a", "g", 1, "t", 1.0)], "source string, gene string, rank int, target string, inverse double")
+    w = spark.createDataFrame([(1, "t", 1.0)], "field_id int, target string, weight double")
+    plan = G.rerank(p, w, ["field_id"], w.withColumnRenamed("weight", "z"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window [") == 1 and "Generate explode" not in plan and "Generate inline" not in plan
+
+
 def test_prior_table_and_status(spark):
     a = spark.createDataFrame([("SDC1", 1, .92), ("SDC4", 2, .88), ("EXT1", 3, .71)], "gene string, rank int, score double")
     b = spark.createDataFrame([("SDC1", 3, .71), ("SDC4", 2, .83), ("EXT1", 1, .95)], "gene string, rank int, score double")
