@@ -6,11 +6,12 @@ and row or column) or one aggregation over rows scattered to neighbouring positi
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from cytofleet.functions.scalar import half_even
 from cytofleet.operators.scale import attach_stats, quantiles
@@ -475,25 +476,74 @@ GLCM_OFFSETS = [
 ]
 
 
+def _count_pairs(levels: int):
+    """Rows of grey levels with the four rows below them -> (cell, offset, i, j, n), counted per batch."""
+    reach = max(abs(dx) for _, dx, _ in GLCM_OFFSETS)
+    below = sorted({dy for dy, _, _ in GLCM_OFFSETS})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in (b.iloc[at:at + 512] for b in batches for at in range(0, len(b), 512)):
+            size = np.fromiter(map(len, pdf["r0"]), np.int64, len(pdf))
+            # rows lie behind one another, with a margin of missing pixels as wide as the largest shift
+            start = np.cumsum(size + reach) - size
+            lines = {}
+            for dy in below:
+                lines[dy] = np.full(int(start[-1] + size[-1]) + reach, -1, np.int64)
+                for at, k, row in zip(start, size, pdf[f"r{dy}"], strict=True):
+                    if row is not None:
+                        lines[dy][at:at + k] = row
+            cell, names = pd.factorize(pd.MultiIndex.from_frame(pdf[CELL]))
+            owner = np.zeros(lines[0].size, np.int64)
+            owner[np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())] = np.repeat(cell, size)
+            at = np.flatnonzero(lines[0] >= 0)
+            found = []
+            for k, (dy, dx, _) in enumerate(GLCM_OFFSETS):
+                u, v = lines[0][at], lines[dy][at + dx]
+                ok = v >= 0
+                u, v = u[ok], v[ok]
+                found.append(((owner[at[ok]] * len(GLCM_OFFSETS) + k) * levels + np.minimum(u, v)) * levels + np.maximum(u, v))
+            code, n = np.unique(np.concatenate(found), return_counts=True)
+            code, j = np.divmod(code, levels)
+            code, i = np.divmod(code, levels)
+            code, k = np.divmod(code, len(GLCM_OFFSETS))
+            out = names.take(code).to_frame(index=False, name=CELL)
+            yield out.assign(offset=k.astype("int32"), i=i.astype("int32"), j=j.astype("int32"), n=n)
+
+    return run
+
+
 def glcm_texture(pixels: DataFrame, ring: DataFrame, levels: int = 16, min_pixels: int = 100) -> DataFrame:
     """Co-occurrence contrast, homogeneity, correlation and energy over the ring's bounding box.
 
     ``pixels`` is one channel. Grey levels come from the ring's own range; box pixels outside the
     ring take part. Repeated offsets are counted once with their multiplicity.
+
+    A box row is one array of grey levels (-1 where a pixel is missing or NULL; of a repeated pixel the lowest level counts);
+    it meets the rows up to four below it in a window, and the pairs are counted inside the arrays.
     """
     stats = ring.join(pixels, ["field_id", "y", "x"]).groupBy(*CELL).agg(
         F.count(F.lit(1)).alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi"),
         F.min("y").alias("y0"), F.max("y").alias("y1"), F.min("x").alias("x0"), F.max("x").alias("x1"),
     ).filter((F.col("n") >= min_pixels) & (F.col("hi") > F.col("lo")))
     q = F.bround((F.col("value") - F.col("lo")) / (F.col("hi") - F.col("lo")) * (levels - 1), 0)
-    patch = pixels_in_boxes(pixels, stats).select(
-        *CELL, "y", "x", F.greatest(F.lit(0), F.least(F.lit(levels - 1), q)).cast("int").alias("g"))
-    shifted = patch.select(*CELL, F.col("g").alias("gi"), F.inline(F.array(*[
-        F.struct(F.lit(k).alias("offset"), F.lit(m).alias("weight"), (F.col("y") + dy).alias("y"), (F.col("x") + dx).alias("x"))
-        for k, (dy, dx, m) in enumerate(GLCM_OFFSETS)])))
-    pairs = shifted.join(patch, [*CELL, "y", "x"]).groupBy(
-        *CELL, "offset", "weight", F.least("gi", "g").alias("i"), F.greatest("gi", "g").alias("j")
-    ).agg(F.count(F.lit(1)).alias("n"))
+    patch = pixels_in_boxes(pixels, stats).filter(F.col("value").isNotNull()).select(
+        *CELL, "y", (F.col("x") - F.col("x0")).cast("int").alias("x"), (F.col("x1") - F.col("x0") + 1).cast("int").alias("_n"),
+        F.greatest(F.lit(0), F.least(F.lit(levels - 1), q)).cast("int").alias("g"))
+    rows = patch.groupBy(*CELL, "y", "_n").agg(F.array_sort(F.collect_list(F.struct("x", "g"))).alias("_s"))
+    gap = lambda n: F.array_repeat(F.lit(-1), n)
+
+    def filled(e: Column, k: Column) -> Column:
+        before = F.coalesce(F.get("_s", k - 1)["x"], F.lit(-1))
+        return F.when(e["x"] > before, F.concat(gap(e["x"] - before - 1), F.array(e["g"]))).otherwise(gap(F.lit(0)))
+
+    last = F.element_at("_s", -1)["x"]
+    rows = rows.select(*CELL, "y", F.concat(F.flatten(F.transform("_s", filled)), gap(F.col("_n") - last - 1)).cast("array<smallint>").alias("r0"))
+    w = Window.partitionBy(*CELL).orderBy("y")
+    rows = rows.withColumns({f"r{dy}": F.first("r0").over(w.rangeBetween(dy, dy)) for dy in sorted({d for d, _, _ in GLCM_OFFSETS} - {0})})
+    schema = StructType([*(rows.schema[c] for c in CELL), *(StructField(c, IntegerType()) for c in ("offset", "i", "j")), StructField("n", LongType())])
+    multiplicity = F.element_at(F.array(*[F.lit(m) for _, _, m in GLCM_OFFSETS]), F.col("offset") + 1)
+    counts = rows.drop("y").mapInPandas(_count_pairs(levels), schema).withColumn("weight", multiplicity)
+    pairs = counts.groupBy(*CELL, "offset", "weight", "i", "j").agg(F.sum("n").alias("n"))
     i, j, n = F.col("i"), F.col("j"), F.col("n")
     diff = (i - j) * (i - j)
     per = pairs.groupBy(*CELL, "offset", "weight").agg(

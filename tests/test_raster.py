@@ -199,3 +199,42 @@ def test_mismatched_channels_are_an_error(spark):
     px = image(spark, np.ones((4, 4))).unionByName(image(spark, np.ones((4, 5)), channel="yap"))
     with pytest.raises(ValueError):
         D.check_channels(px)
+
+
+def test_texture_against_plain_loops_with_missing_pixels(spark):
+    rng = np.random.default_rng(12)
+    img = rng.integers(0, 40, (26, 31)).astype(float)
+    labels = np.zeros(img.shape, int)
+    labels[2:16, 3:17], labels[1:25, 18:30], labels[17:26, 0:12] = 7, 8, 9
+    gone = rng.random(img.shape) < 0.06
+    gone[5], gone[8, 10:18] = True, True  # a whole row, and the end of one
+    y, x = np.nonzero(labels)
+    ring = spark.createDataFrame([(1, int(labels[a, b]), int(a), int(b)) for a, b in zip(y, x)], "field_id int, cell_id int, y int, x int")
+    px = image(spark, img).join(spark.createDataFrame([(int(a), int(b)) for a, b in np.argwhere(gone)], "y int, x int"), ["y", "x"], "left_anti")
+    px = px.unionByName(px.limit(40)).drop("channel")  # repeated pixels
+    # and one more without a value
+    px = px.unionByName(spark.createDataFrame([(1, 5, 5, None)], "field_id int, y int, x int, value double"))
+    px = px.withColumn("other", F.lit(1))
+    got = {r["cell_id"]: r for r in R.glcm_texture(px, ring, levels=8, min_pixels=100).collect()}
+    assert set(got) == {7, 8} | ({9} if ((labels == 9) & ~gone).sum() >= 100 else set())
+    for c in got:
+        inside = (labels == c) & ~gone
+        lo, hi = img[inside].min(), img[inside].max()
+        ys, xs = np.nonzero(inside)
+        grey = {(a, b): int(np.clip(np.rint((img[a, b] - lo) / (hi - lo) * 7), 0, 7))
+                for a in range(ys.min(), ys.max() + 1) for b in range(xs.min(), xs.max() + 1) if not gone[a, b]}
+        want, total = np.zeros(4), 0
+        for dy, dx, m in R.GLCM_OFFSETS:
+            p = np.zeros((8, 8))
+            for (a, b), g in grey.items():
+                if (a + dy, b + dx) in grey:
+                    p[g, grey[a + dy, b + dx]] += 1
+                    p[grey[a + dy, b + dx], g] += 1
+            p /= p.sum()
+            i, j = np.indices(p.shape)
+            mu = (p * i).sum()
+            var = (p * (i - mu) ** 2).sum()
+            want += m * np.array([(p * (i - j) ** 2).sum(), (p / (1 + (i - j) ** 2)).sum(), (p * (i - mu) * (j - mu)).sum() / var, np.sqrt((p * p).sum())])
+            total += m
+        assert np.allclose([got[c][k] for k in ("contrast", "homogeneity", "correlation", "energy")], want / total, atol=1e-9)
+    assert R.glcm_texture(px.limit(0), ring).isEmpty()
