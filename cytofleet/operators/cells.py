@@ -129,19 +129,20 @@ def nuclear_partition(values: DataFrame) -> DataFrame:
 
 def moments(mask: DataFrame, keys: Sequence[str] = CELL) -> DataFrame:
     """Area, centroid, axis lengths, aspect ratio, eccentricity, orientation, equivalent diameter."""
-    y, x = F.col("y").cast("double"), F.col("x").cast("double")
+    y, x = F.col("y").cast("bigint"), F.col("x").cast("bigint")
     g = mask.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("area"), F.sum(y).alias("_y"), F.sum(x).alias("_x"),
         F.sum(y * y).alias("_yy"), F.sum(x * x).alias("_xx"), F.sum(x * y).alias("_xy"))
     n = F.col("area")
-    cy, cx = F.col("_y") / n, F.col("_x") / n
-    g = g.withColumns({"cy": cy, "cx": cx}).withColumns({
-        "_r": F.col("_yy") / n - F.col("cy") * F.col("cy"),
-        "_c": F.col("_xx") / n - F.col("cx") * F.col("cx"),
-        "_rc": F.col("_xy") / n - F.col("cy") * F.col("cx"),
-    })
+    # whole numbers, so that symmetric regions have a covariance of exactly zero
+    whole = lambda c: F.col(c).cast("decimal(18,0)")
+    second = lambda ab, a, b: (whole("area") * whole(ab) - whole(a) * whole(b)).cast("double") / (n * n)
+    g = g.withColumns({
+        "cy": F.col("_y") / n, "cx": F.col("_x") / n,
+        "_r": second("_yy", "_y", "_y"), "_c": second("_xx", "_x", "_x"), "_rc": second("_xy", "_y", "_x")})
     half = (F.col("_r") + F.col("_c")) / 2
-    root = F.sqrt(((F.col("_r") - F.col("_c")) / 2) ** 2 + F.col("_rc") ** 2)
+    skew = (F.col("_r") - F.col("_c")) / 2
+    root = F.sqrt(skew * skew + F.col("_rc") * F.col("_rc"))
     g = g.withColumns({"_l1": half + root, "_l2": F.when(half - root > 1e-11, half - root).otherwise(0.0)})
     g = g.withColumns({"major_axis": 4 * F.sqrt("_l1"), "minor_axis": 4 * F.sqrt("_l2")})
     quarter = F.lit(math.pi / 4)

@@ -164,7 +164,12 @@ def d8(spark, d):
         *CELL, "fa_nascent_count", "fa_focal_complex_count", "fa_mature_count", "fa_fibrillar_count", "fa_mature_fraction"))
 
 
-@query("D9_axial_alignment", ADH_SQL + """
+#: Second moments from whole numbers: sums of squares leave the sign of a zero covariance to chance otherwise.
+_ROUNDED = "var_pop(y) AS r, var_pop(x) AS c, covar_pop(y, x) AS rc"
+_EXACT = ", ".join(f"(count(*) * sum({a} * {b}) - sum({a}) * sum({b})) * 1e0 / (count(*) * count(*)) AS {n}" for a, b, n in (("y", "y", "r"), ("x", "x", "c"), ("y", "x", "rc")))
+
+
+@query("D9_axial_alignment", ADH_SQL.replace(_ROUNDED, _EXACT) + """
 SELECT l.field_id, l.cell_id, round(CASE WHEN count(th) >= 2 THEN sqrt(avg(sin(2 * th)) * avg(sin(2 * th)) + avg(cos(2 * th)) * avg(cos(2 * th))) END, 5) AS fa_mean_orientation_alignment
 FROM (SELECT DISTINCT field_id, cell_id FROM labels) l LEFT JOIN fa ON fa.field_id = l.field_id AND fa.cell_id = l.cell_id GROUP BY ALL""")
 def d9(spark, d):

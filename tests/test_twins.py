@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 import duckdb
 import numpy as np
 import pytest
 
+from cytofleet.operators import cells as D
 from cytofleet.plans import catalogue
 
 
@@ -29,3 +32,10 @@ def test_copies_never_take_the_id_of_a_field(agrees):
     """Fields 0 and 1000: a copy of the first must not mix with the second."""
     ids = [*range(64), *range(64_000, 64_064)]
     assert agrees("A5_content_hash", ids, np.random.default_rng(0).normal(size=(128, 64)))
+
+
+def test_orientation_of_symmetric_regions_does_not_depend_on_the_place(spark):
+    shapes = ([(0, 0), (0, 1), (1, 0), (1, 1)], [(0, 1), (1, 0), (1, 1), (1, 2), (2, 1)])
+    rows = [(100 * s + k, 1, y + 7 * k, x + 11 * k + s) for s, shape in enumerate(shapes) for k in range(60) for y, x in shape]
+    got = D.moments(spark.createDataFrame(rows, "field_id long, cell_id int, y int, x int")).collect()
+    assert {(r["orientation"], r["eccentricity"]) for r in got} == {(-math.pi / 4, 0.0)}
