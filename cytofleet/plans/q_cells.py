@@ -229,9 +229,11 @@ def d13(spark, d):
 
 
 @query("D14_nuclear_morphometry", f"""WITH {raster_sql(['dapi'])}, nuc AS (SELECT field_id, cell_id, y, x FROM labels WHERE nucleus_id = cell_id),
-{MOMENT_SQL.format(src='nuc')}, {PERIM_SQL.format(src='nuc')}
-SELECT field_id, cell_id, mo.area * 1e0 AS nuclear_area, round(perimeter, 6) AS nuclear_perimeter, round(4 * {PI} * mo.area / (perimeter * perimeter), 6) AS nuclear_circularity,
-  round(sqrt(l1 / l2), 5) AS nuclear_aspect_ratio, round(sqrt(greatest(0, 1 - l2 / l1)), 4) AS nuclear_eccentricity, round(mo.area * 1e0 / ca, 6) AS nuclear_to_cell_area_ratio
+{MOMENT_SQL.format(src='nuc').replace(_ROUNDED, _EXACT)}, {PERIM_SQL.format(src='nuc')}
+SELECT field_id, cell_id, mo.area * 1e0 AS nuclear_area, round(perimeter, 6) AS nuclear_perimeter,
+  round(CASE WHEN perimeter > 0 THEN 4 * {PI} * mo.area / (perimeter * perimeter) END, 6) AS nuclear_circularity,
+  round(CASE WHEN l2 > 1e-11 THEN sqrt(l1 / l2) END, 5) AS nuclear_aspect_ratio,
+  round(CASE WHEN l1 > 0 THEN sqrt(greatest(0, 1 - CASE WHEN l2 > 1e-11 THEN l2 ELSE 0 END / l1)) WHEN mo.area > 0 THEN 0 END, 4) AS nuclear_eccentricity, round(mo.area * 1e0 / ca, 6) AS nuclear_to_cell_area_ratio
 FROM (SELECT field_id, cell_id, count(*) AS ca FROM labels GROUP BY ALL) c LEFT JOIN mo USING (field_id, cell_id) LEFT JOIN pe USING (field_id, cell_id)""")
 def d14(spark, d):
     n = D.nuclear_morphology(labels(spark, d)).drop("nuclear_solidity")

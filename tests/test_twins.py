@@ -34,6 +34,11 @@ def test_copies_never_take_the_id_of_a_field(agrees):
     assert agrees("A5_content_hash", ids, np.random.default_rng(0).normal(size=(128, 64)))
 
 
+def test_cells_without_a_nucleus_have_no_nuclear_values(agrees):
+    """One row of tiles: its cells have no nucleus."""
+    assert agrees("D14_nuclear_morphometry", list(range(8)), np.random.default_rng(1).normal(size=(8, 64)))
+
+
 def test_orientation_of_symmetric_regions_does_not_depend_on_the_place(spark):
     shapes = ([(0, 0), (0, 1), (1, 0), (1, 1)], [(0, 1), (1, 0), (1, 1), (1, 2), (2, 1)])
     rows = [(100 * s + k, 1, y + 7 * k, x + 11 * k + s) for s, shape in enumerate(shapes) for k in range(60) for y, x in shape]
