@@ -129,23 +129,12 @@ def apart_pairs(places: DataFrame, roots: DataFrame, similar: float) -> DataFram
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough."""
-    whole = pairs.join(sets.select(F.col("s").alias("a"), F.col("items").alias("x")), "a").join(
-        sets.select(F.col("s").alias("b"), F.col("items").alias("y")), "b").select("a", "b", "x", "y")
-
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        for b in batches:
-            keep = []
-            for i, (x, y) in enumerate(zip(b.column("x"), b.column("y"), strict=True)):
-                p, q = (v.values.to_numpy() for v in (x, y))
-                # the smaller set bounds the intersection
-                if min(p.size, q.size) < similar * max(p.size, q.size):
-                    continue
-                both = np.intersect1d(p, q, assume_unique=True).size
-                if both >= similar * (p.size + q.size - both):
-                    keep.append(i)
-            yield pa.RecordBatch.from_arrays([b.column(c).take(pa.array(keep, pa.int64())) for c in ("a", "b")], ["a", "b"])
-
-    return whole.mapInArrow(run, "a long, b long")
+    """The pairs (a, b) whose sets are similar enough; two sets at a time are in memory, in no Arrow batch."""
+    size = sets.select("s", F.size("items").alias("n"))
+    sized = pairs.join(size.select(F.col("s").alias("a"), F.col("n").alias("p")), "a").join(size.select(F.col("s").alias("b"), F.col("n").alias("q")), "b")
+    # the smaller set bounds the intersection
+    able = sized.filter(F.least("p", "q") >= similar * F.greatest("p", "q"))
+    whole = able.join(sets.select(F.col("s").alias("a"), F.col("items").alias("x")), "a").join(
+        sets.select(F.col("s").alias("b"), F.col("items").alias("y")), "b")
+    both = F.size(F.array_intersect("x", "y"))
+    return whole.filter(both >= similar * (F.col("p") + F.col("q") - both)).select("a", "b")

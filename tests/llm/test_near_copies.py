@@ -58,3 +58,14 @@ def test_groups_of_the_crowd_are_those_of_brute_force(documents, crowd):
                 root = {k: a if v == b else v for k, v in root.items()}
     got = {r["doc_id"]: r["component"] for r in simhash.groups(documents(crowd)).collect()}
     assert got == root
+
+
+def test_pairs_are_verified_without_batches_of_whole_sets(spark):
+    """Arrow batches of 10,000 pairs of whole sets broke the executor's memory; the bound at 0.8 is inclusive."""
+    sets = {1: range(1, 9), 2: range(1, 11), 3: range(3, 14), 4: range(50, 60), 5: range(1, 9)}
+    items = spark.createDataFrame([(s, list(x)) for s, x in sets.items()], "s long, items array<long>")
+    pairs = [(a, b) for a in sets for b in sets if a < b]
+    found = minhash.verified(spark.createDataFrame(pairs, "a long, b long"), items, 0.8)
+    alike = lambda x, y: 10 * len(set(x) & set(y)) >= 8 * len(set(x) | set(y))
+    assert sorted(map(tuple, found.collect())) == [(a, b) for a, b in pairs if alike(sets[a], sets[b])]
+    assert "InArrow" not in found._jdf.queryExecution().toString()
