@@ -143,6 +143,23 @@ def test_cosine_knn_is_exact_with_pruning_and_small_blocks(spark):
     assert (tiny.groupby("src").size() == 2).all()
 
 
+def test_cosine_knn_in_groups_without_clusters(spark):
+    """Many groups on both sides and blocks that hold few neighbours: every rank is exact, equal vectors tie by id."""
+    rng = np.random.default_rng(10)
+    v = rng.normal(size=(300, 6))
+    v[200:240] = v[7]
+    df = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)], "vec_id long, embedding array<double>")
+    got = {(r["src"], r["rank"]): (r["dst"], r["similarity"]) for r in H.cosine_knn(df, 5, block=16, group=70).collect()}
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    s = np.round(u @ u.T, 12)
+    np.fill_diagonal(s, -2)
+    assert len(got) == 1500
+    for i in range(300):
+        want = np.lexsort((np.arange(300), -s[i]))[:5]
+        assert [got[i, r + 1][0] for r in range(5)] == want.tolist()
+        assert np.allclose([got[i, r + 1][1] for r in range(5)], s[i][want])
+
+
 def test_communities_separate_cliques(spark):
     rows = []
     for c in range(3):
