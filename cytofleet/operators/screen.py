@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cytofleet.functions.scalar import P31, mix31
@@ -110,13 +112,66 @@ def validity_classes(df: DataFrame, features: Sequence[str]) -> dict[str, str]:
     return rep
 
 
+def _rank_products(cells: DataFrame, a_cols: Sequence[str], b_cols: Sequence[str], rep: dict[str, str], name: dict[tuple[str, str], str], ranks: DataFrame) -> DataFrame:
+    """All pairs (a, b, n, r) of one group from rank tables of bounded size: each task leaves one sum of centred rank products per pair.
+
+    A pair's ranks are taken among its complete rows, so their number, mean and variance follow from the rank tables; only
+    the products need the rows, as matrix products per pair of NULL patterns.
+    """
+    spark = cells.sparkSession
+    table = {t: g.sort_values("value") for t, g in ranks.toPandas().groupby("task")}  # BROADCAST_ROWS rows at most
+    values, centred_rank, size, square = {}, {}, {}, {}
+    for f in {t[0] for t in name}:
+        values[f] = np.unique(np.concatenate([table[n]["value"].to_numpy(float) for t, n in name.items() if t[0] == f and n in table] or [np.empty(0)]))
+    for t, n in name.items():
+        column = np.zeros(max(1, len(values[t[0]])))
+        size[t], square[t] = 0, 0.0
+        if n in table:
+            g = table[n]
+            size[t] = int(g["n"].sum())
+            mid = g["rank"].to_numpy(float) - (size[t] + 1) / 2
+            column[np.searchsorted(values[t[0]], g["value"].to_numpy(float))] = mid
+            square[t] = float((g["n"].to_numpy(float) * mid * mid).sum())
+        centred_rank[t] = column
+    held = spark.sparkContext.broadcast((values, centred_rank))
+    groups = [([a for a in a_cols if rep[a] == ra], [b for b in b_cols if rep[b] == rb], ra, rb)
+              for ra in sorted({rep[a] for a in a_cols}) for rb in sorted({rep[b] for b in b_cols})]
+    features = list(dict.fromkeys([*a_cols, *b_cols]))
+    pairs = [(a, b) for many_a, many_b, _, _ in groups for a in many_a for b in many_b]
+
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        values, centred_rank = held.value
+        total = [np.zeros((len(many_a), len(many_b))) for many_a, many_b, _, _ in groups]
+        for batch in batches:
+            at, there = {}, {}
+            for f in features:
+                c = batch.column(f)
+                there[f] = c.is_valid().to_numpy(zero_copy_only=False)
+                v = c.fill_null(0.0).to_numpy(zero_copy_only=False)
+                at[f] = np.minimum(np.searchsorted(values[f], v), max(0, len(values[f]) - 1))
+            for (many_a, many_b, ra, rb), sums in zip(groups, total, strict=True):
+                both = there[ra] & there[rb]
+                x = np.stack([centred_rank[a, rb][at[a]] * both for a in many_a])
+                y = np.stack([centred_rank[b, ra][at[b]] * both for b in many_b])
+                sums += x @ y.T
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(pairs)), pa.int64()), pa.array(np.concatenate([t.ravel() for t in total]))], names=["i", "p"])
+
+    wide = cells.select(*[F.col(f).cast("double").alias(f) for f in features])
+    sums = wide.mapInArrow(products, "i long, p double").groupBy("i").agg(F.sum("p").alias("p"))
+    rows = [(i, a, b, size[a, rep[b]], square[a, rep[b]], square[b, rep[a]]) for i, (a, b) in enumerate(pairs)]
+    known = spark.createDataFrame(rows, "i long, a string, b string, n long, _x double, _y double")
+    r = F.when((F.col("n") >= 5) & (F.col("_x") > 0) & (F.col("_y") > 0), F.try_divide(F.col("p"), F.sqrt("_x") * F.sqrt("_y")))
+    return known.join(F.broadcast(sums), "i", "left").select("a", "b", "n", r.alias("r")).withColumn("r", F.when(F.col("r").isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("r")))))
+
+
 def correlation_screen(cells: DataFrame, block_a: Sequence[str] = tuple(BLOCK_A), block_b: Sequence[str] = tuple(BLOCK_B),
                        keys: Sequence[str] = (), row_id: Sequence[str] = ("field_id", "cell_id"), method: str = "spearman",
                        limit: int | None = None) -> DataFrame:
     """All (a, b) pairs with n and r; fewer than five complete rows or a constant side give NULL.
 
     Spearman ranks each feature once per distinct NULL pattern of its partners instead of once per
-    pair; ranks come from distinct values and their running counts.
+    pair; ranks come from distinct values and their running counts. Without keys and while all rank tables together stay
+    within ``BROADCAST_ROWS`` (measured), tasks look ranks up and leave only sums of products.
     """
     a_cols, b_cols = present(cells, list(block_a)), present(cells, list(block_b))
     if method == "pearson":
@@ -125,11 +180,23 @@ def correlation_screen(cells: DataFrame, block_a: Sequence[str] = tuple(BLOCK_A)
     rep = validity_classes(cells, a_cols + b_cols)
     tasks = sorted({(a, rep[b]) for a in a_cols for b in b_cols} | {(b, rep[a]) for a in a_cols for b in b_cols})
     name = {t: f"t{i}" for i, t in enumerate(tasks)}
-    fan = F.array(*[F.struct(F.lit(name[t]).alias("task"), F.when(F.col(t[1]).isNotNull(), F.col(t[0]).cast("double")).alias("value")) for t in tasks])
+    # equal values are counted once per feature and pattern of present partners; the tasks share these counts
     ids = [c for c in row_id if c not in keys]
     cells = cells.select(*keys, *ids, *a_cols, *b_cols)
+    classes = sorted(set(rep.values()))
+    mask = sum((F.when(F.col(c).isNotNull(), F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i, c in enumerate(classes)), F.lit(0).cast("long"))
+    fan = F.array(*[F.struct(F.lit(f).alias("_f"), F.col(f).cast("double").alias("value")) for f in dict.fromkeys([*a_cols, *b_cols])])
+    counts = cells.withColumn("_m", mask).select(*keys, "_m", F.inline(fan)).filter(F.col("value").isNotNull())
+    counts = pin(counts.groupBy(*keys, "_f", "_m", "value").agg(F.count(F.lit(1)).alias("n")))
+    look = F.array(*[F.struct(F.lit(t[0]).alias("_g"), F.lit(1 << classes.index(t[1])).cast("long").alias("_bit"), F.lit(name[t]).alias("task")) for t in tasks])
+    per = counts.withColumn("_t", F.explode(F.filter(look, lambda t: (t["_g"] == F.col("_f")) & (F.col("_m").bitwiseAND(t["_bit"]) != 0))))
+    per = per.groupBy(*keys, F.col("_t.task").alias("task"), "value").agg(F.sum("n").alias("n"))
+    ranks = prefix_sums(per, [*keys, "task"], "value", {"before": "n"}, limit)
+    ranks = pin(ranks.select(*keys, "task", "value", "n", (F.col("before") + (F.col("n") + 1) / F.lit(2.0)).alias("rank")))
+    if not keys and ranks.count() <= BROADCAST_ROWS:
+        return _rank_products(cells, a_cols, b_cols, rep, name, ranks)
+    fan = F.array(*[F.struct(F.lit(name[t]).alias("task"), F.when(F.col(t[1]).isNotNull(), F.col(t[0]).cast("double")).alias("value")) for t in tasks])
     long = cells.select(*keys, *ids, F.inline(fan)).filter(F.col("value").isNotNull())
-    ranks = pin(value_ranks(long, [*keys, "task"], "value", limit).select(*keys, "task", "value", "rank"))
     # Rank tables are broadcast onto the wide rows, smallest first, as long as all of them together stay within
     # the measured bound; the others are joined by value in long form and gathered per row.
     size = {r["task"]: r["n"] for r in ranks.groupBy("task").agg(F.count(F.lit(1)).alias("n")).collect()}

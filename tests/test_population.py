@@ -131,6 +131,28 @@ def test_screen_finds_the_engineered_pair(spark):
     assert (h["a"], h["b"]) == ("glycocalyx_haralick_contrast", "fa_mature_fraction") and abs(h["r"]) > 0.85 and h["n_tested"] == 132 and h["n_significant"] >= 1
 
 
+def test_screen_counts_values_once_and_equals_brute_force(spark, monkeypatch):
+    """Different NULL patterns, ties and NaN: looked-up ranks, joined ranks and pandas agree; rows are fanned out once per feature."""
+    rng = np.random.default_rng(11)
+    pdf = pd.DataFrame({f: np.round(rng.normal(size=150), 1) for f in ("a1", "a2", "b1", "b2", "b3")})
+    pdf.loc[::7, "a2"], pdf.loc[::5, "b2"], pdf["b3"] = None, None, 2.0
+    d = frame(spark, cell_id=np.arange(150), field_id=np.zeros(150, int), **{c: pdf[c] for c in pdf})
+    fanned = []
+    real = Q.prefix_sums
+    monkeypatch.setattr(Q, "prefix_sums", lambda df, *a, **k: fanned.append(df.agg(F.sum("n")).first()[0]) or real(df, *a, **k))
+    seen = []
+    for bound in (300_000, 0):
+        monkeypatch.setattr(Q, "BROADCAST_ROWS", bound)
+        got = {(r["a"], r["b"]): r for r in Q.correlation_screen(d, ["a1", "a2"], ["b1", "b2", "b3"]).collect()}
+        assert len(got) == 6
+        for (a, b), r in got.items():
+            x = pdf[[a, b]].dropna()
+            assert r["n"] == len(x)
+            assert r["r"] is None if b == "b3" else abs(r["r"] - x[a].rank().corr(x[b].rank())) < 1e-12
+        seen.append(got)
+    assert len(fanned) == 2 and all(abs((seen[0][p]["r"] or 0) - (seen[1][p]["r"] or 0)) < 1e-12 for p in seen[0])
+
+
 def test_permutation_p_floor_and_null(spark):
     d = screen_frame(spark, 60)
     a = Q.permutation_p(d, "glycocalyx_haralick_contrast", "fa_mature_fraction", 99, ["cell_id"]).first()
