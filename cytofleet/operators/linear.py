@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, DoubleType
@@ -49,6 +50,32 @@ def cross_moments(d: DataFrame, cols: Sequence[str], keys: Sequence[str], out: s
     return per.select(*keys, F.flatten(F.transform("_l", lambda s: F.slice(s["_r"], s["_i"] + 1, F.lit(n)))).alias(out))
 
 
+def group_moments(d: DataFrame, cols: Sequence[str], group: str, shift: dict[str, float]) -> DataFrame:
+    """(group, _i, _v): sums of products of [1, cols - shift...] for a few integer groups, the upper triangle in long form.
+
+    Meant for a handful of groups that are spread over all tasks (folds): a task keeps one matrix per group and leaves it
+    once, so the shuffle does not grow with the rows.
+    """
+    names = list(cols)
+    base = np.array([shift[c] for c in names], float)
+    upper = np.triu_indices(len(names) + 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            x = np.column_stack([np.ones(batch.num_rows), np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) for c in names]) - base])
+            g = batch.column(group).to_numpy(zero_copy_only=False)
+            for k in np.unique(g).tolist():
+                part = x[g == k]
+                total[k] = total.get(k, 0.0) + part.T @ part
+        for k, m in total.items():
+            v = m[upper]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), k, np.int32)), pa.array(np.arange(len(v), dtype=np.int32)), pa.array(v)], names=[group, "_i", "_v"])
+
+    rows = d.select(F.col(group).cast("int").alias(group), *[F.col(c).cast("double").alias(c) for c in names])
+    return rows.mapInArrow(run, f"{group} int, _i int, _v double").groupBy(group, "_i").agg(F.sum("_v").alias("_v"))
+
+
 def _moments(d: DataFrame, x: Sequence[str], y: Sequence[str], keys: Sequence[str]) -> DataFrame:
     return cross_moments(d, [*x, *y], keys)
 

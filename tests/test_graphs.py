@@ -127,6 +127,18 @@ def test_cross_block(spark):
         H.cross_block(spark.createDataFrame(pdf), ["row"], ["a1"], ["b1"])
 
 
+def test_hash_folds_cut_the_order_without_sorting_it(spark):
+    """Borders from hash ranges equal those of the full order, ties by key, the remainder in the last fold; no row moves."""
+    rng = np.random.default_rng(12)
+    for n in (3, 23, 500):
+        pdf = pd.DataFrame({"row": np.arange(n), "h": rng.integers(0, 2**31 - 1, n) // 2**28 * 2**28})
+        d, count = H.hash_folds(spark.createDataFrame(pdf), 5, "h", ["row"])
+        assert count == n and "Exchange" not in d._jdf.queryExecution().executedPlan().toString()
+        want = pdf.sort_values(["h", "row"])["row"].to_numpy()
+        fold = {r: min(4, i // max(1, n // 5)) for i, r in enumerate(want)}
+        assert {r["row"]: r["fold"] for r in d.collect()} == fold
+
+
 def test_cosine_knn_is_exact_with_pruning_and_small_blocks(spark):
     rng = np.random.default_rng(9)
     v = np.vstack([rng.normal(c, 0.05, (60, 8)) for c in rng.normal(size=(6, 8))])
