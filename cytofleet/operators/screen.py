@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator, Sequence
 
@@ -437,11 +438,16 @@ def hash_draws(df: DataFrame, row_keys: Sequence[str], k: int, replicates: int,
     the rows are those of a full sort.
     """
     n = df.count()
+    # the hashes of one row, compiled; the array of all replicates is made for the few rows that any of them keeps
+    lowest = [F.least(*[mix31(seed, F.lit(r), *row_keys) for r in run]) if len(run) > 1 else mix31(seed, F.lit(run[0]), *row_keys)
+              for run in (range(i, min(i + 10, replicates + 1)) for i in range(1, replicates + 1, 10))]
     share = max(1.0, k + margin * math.sqrt(k)) / n if n else 1.0
     while True:
         limit = math.ceil(P31 * min(1.0, share))
         tries = F.transform(F.sequence(F.lit(1), F.lit(replicates)), lambda r: F.struct(r.alias("replicate"), mix31(seed, r, *row_keys).alias("_h")))
-        kept = pin(df.withColumn("_d", F.filter(tries, lambda t: t["_h"] < limit)).select("*", F.inline("_d")).drop("_d"))
+        some = [low < limit for low in lowest]
+        near = df.filter(functools.reduce(lambda a, b: a | b, some)) if some else df
+        kept = pin(near.withColumn("_d", F.filter(tries, lambda t: t["_h"] < limit)).select("*", F.inline("_d")).drop("_d"))
         if limit >= P31:
             break
         full = kept.groupBy("replicate").count().filter(F.col("count") >= min(k, n)).count()
