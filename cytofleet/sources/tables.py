@@ -214,12 +214,15 @@ def load_cohort(fallback: DataFrame, cohort: DataFrame | None) -> DataFrame:
 
 
 def write_features(cells: DataFrame, path: str, fmt: str = "parquet", partition: Sequence[str] = ("field_id",)) -> None:
-    """Per-cell table without ``deep_`` columns. Parquet is laid out by field, clustered first to avoid tiny files."""
+    """Per-cell table without ``deep_`` columns. Parquet is laid out by field, clustered first to avoid tiny files.
+
+    Clustering is rebalanced by measured size: a partition value with many rows is written by several tasks, small ones share a task.
+    """
     out = cells.drop(*[c for c in cells.columns if c.startswith("deep_")])
     if fmt == "csv":
         out.write.mode("errorifexists").option("header", True).csv(path)
         return
-    out.repartition(*partition).write.mode("errorifexists").partitionBy(*partition).parquet(path)
+    out.hint("rebalance", *partition).write.mode("errorifexists").partitionBy(*partition).parquet(path)
 
 
 def summary_records(summary: DataFrame, keys: Sequence[str] = ("field_id",), seed: int = 42, version: int = 1) -> DataFrame:

@@ -71,3 +71,17 @@ def test_attach_stats_has_no_group_window(skewed):
     _, df = skewed
     plan = C.attach_stats(df, ["k"], F.avg("v").alias("m"))._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan and "CartesianProduct" not in plan
+
+
+def test_one_large_batch_is_written_by_several_tasks(spark):
+    from cytofleet.sources import tables as A
+    c = spark.range(0, 200_000, 1, 8).select(F.col("id").alias("cell_id"), F.lit("N").alias("batch"), F.xxhash64("id").alias("v"))
+    path, key = A.shared_path(spark, "test-features"), "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    spark.conf.set(key, "200KB")
+    try:
+        A.write_features(c, path, partition=["batch"])
+    finally:
+        spark.conf.unset(key)
+    back = spark.read.parquet(path)
+    assert back.select(F.input_file_name()).distinct().count() > 1
+    assert back.count() == 200_000 and back.select("cell_id", "v").exceptAll(c.select("cell_id", "v")).isEmpty()
