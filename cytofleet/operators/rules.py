@@ -7,7 +7,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from cytofleet.operators.scale import attach_stats
+from cytofleet.operators.scale import attach_stats, evaluated
 from cytofleet.schema import CHANNELS, numeric_columns, present
 
 FIELD = ["field_id"]
@@ -85,20 +85,34 @@ def qc_flags(cells: DataFrame, keys: Sequence[str] = FIELD) -> DataFrame:
     return d.drop(*[c for c in d.columns if c.startswith("_")])
 
 
-def visible_cells(flagged: DataFrame, mode: str = "analysis_ready", exclude_edge: bool = False, exclude_saturated: bool = False) -> DataFrame:
-    """``all``, ``analysis_ready`` (optionally without edge or saturated flags) or ``qc_failed``."""
+def is_visible(mode: str = "analysis_ready", exclude_edge: bool = False, exclude_saturated: bool = False) -> Column:
+    """Condition on flagged cells: ``all``, ``analysis_ready`` (optionally without edge or saturated flags) or ``qc_failed``."""
     if mode == "all":
-        return flagged
+        return F.lit(True)
     if mode == "qc_failed":
-        return flagged.filter(~F.col("analysis_ready") | (F.size("flags") > 0))
-    out = flagged.filter("analysis_ready")
+        return ~F.col("analysis_ready") | (F.size("flags") > 0)
+    out = F.col("analysis_ready")
     if exclude_edge:
-        out = out.filter(~F.array_contains("flags", "edge-truncated cell"))
+        out = out & ~F.array_contains("flags", "edge-truncated cell")
     if exclude_saturated:
-        out = out.filter(~F.exists("flags", lambda f: f.contains("saturated")))
+        out = out & ~F.exists("flags", lambda f: f.contains("saturated"))
     return out
 
 
+def visible_cells(flagged: DataFrame, mode: str = "analysis_ready", exclude_edge: bool = False, exclude_saturated: bool = False) -> DataFrame:
+    """The flagged cells that :func:`is_visible` keeps."""
+    return flagged.filter(is_visible(mode, exclude_edge, exclude_saturated))
+
+
+def count_visible(flagged: DataFrame, views: dict[str, dict], keys: Sequence[str] = FIELD) -> DataFrame:
+    """(mode, keys, n): visible cells per view and field, all views in one pass over the flagged cells; empty views have no row."""
+    names = list(views)
+    shown = evaluated(flagged, {f"_v{i}": is_visible(**views[name]) for i, name in enumerate(names)})
+    per = shown.groupBy(*keys).agg(*[F.count_if(F.col(f"_v{i}")).alias(f"_v{i}") for i in range(len(names))])
+    rows = F.array(*[F.struct(F.lit(name).alias("mode"), F.col(f"_v{i}").alias("n")) for i, name in enumerate(names)])
+    return per.select(*keys, F.inline(rows)).filter("n > 0").select("mode", *keys, "n")
+
+
 # --- B10 ------------------------------------------------------------------
 
 

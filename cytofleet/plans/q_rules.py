@@ -85,12 +85,7 @@ UNION ALL SELECT 'failed', field_id, count(*) FROM qr WHERE NOT analysis_ready O
 UNION ALL SELECT 'unsaturated', field_id, count(*) FROM qr WHERE analysis_ready AND array_to_string(flags, ';') NOT LIKE '%saturated%' GROUP BY ALL""")
 def b9(spark, d):
     f = B.qc_flags(qc_input(cells(spark, d, QC_IN)))
-    views = {"all": B.visible_cells(f, "all"), "ready": B.visible_cells(f), "failed": B.visible_cells(f, "qc_failed"), "unsaturated": B.visible_cells(f, exclude_edge=True, exclude_saturated=True)}
-    out = None
-    for name, v in views.items():
-        n = v.groupBy("field_id").agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("mode"), "field_id", "n")
-        out = n if out is None else out.unionByName(n)
-    return out
+    return B.count_visible(f, {"all": {"mode": "all"}, "ready": {}, "failed": {"mode": "qc_failed"}, "unsaturated": {"exclude_edge": True, "exclude_saturated": True}})
 
 
 _TAG = ["glycocalyx_pericellular_ratio", "mechano_score", "yap_nc_ratio", "fa_mature_fraction", "actin_stress_fiber_coherence"]

@@ -99,3 +99,16 @@ def test_batch_correction_does_not_gather_a_batch(spark):
     finally:
         spark.conf.unset(key)
     assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning(batch" not in plan and "SortMergeJoin" not in plan
+
+
+def test_views_are_counted_in_one_pass(spark):
+    from cytofleet.operators import rules as B
+    flags = [[], ["edge-truncated cell"], ["saturated WGA channel"], ["overlapping/touching cells"], []]
+    rows = [(i % 3, i, flags[i % 5], i % 5 in (0, 3) and i % 7 != 1) for i in range(60)] + [(9, 99, ["edge-truncated cell"], False)]
+    f = spark.createDataFrame(rows, "field_id long, cell_id long, flags array<string>, analysis_ready boolean")
+    views = {"all": {"mode": "all"}, "ready": {}, "failed": {"mode": "qc_failed"}, "unsaturated": {"exclude_edge": True, "exclude_saturated": True}}
+    want = {(name, r["field_id"], r["count"]) for name, v in views.items() for r in B.visible_cells(f, **v).groupBy("field_id").count().collect()}
+    got = B.count_visible(f, views)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert {tuple(r) for r in got.collect()} == want and got.columns == ["mode", "field_id", "n"]
+    assert plan.count("Exchange hashpartitioning") == 1
