@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, functions as F
 
 INF = float("inf")
@@ -91,6 +92,24 @@ def mix31(seed: int, *keys: Column | str) -> Column:
     return h
 
 
+def _fold31(h: np.ndarray) -> np.ndarray:
+    """Non-negative 64-bit integers modulo 2**31 - 1, without a division."""
+    for _ in range(2):
+        h = (h & P31) + (h >> 31)
+    h -= (h >= P31) * np.int64(P31)
+    return h
+
+
+def mix31_numpy(seed: int, *keys: np.ndarray) -> np.ndarray:
+    """The same hash of whole arrays of 64-bit integers inside a task."""
+    h = np.int64((seed * 48271 + 11) % P31)
+    for k, m in zip(keys, _COMBINE, strict=False):
+        h = _fold31((h + k % P31) * np.int64(m))
+    for s, m in _ROUNDS:
+        h = _fold31((h ^ (h >> s)) * np.int64(m))
+    return h
+
+
 def unit31(seed: int, *keys: Column | str) -> Column:
     """Uniform draw in [0, 1) from :func:`mix31`."""
     return mix31(seed, *keys) / F.lit(float(P31))

@@ -112,3 +112,33 @@ def test_views_are_counted_in_one_pass(spark):
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert {tuple(r) for r in got.collect()} == want and got.columns == ["mode", "field_id", "n"]
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_bootstrap_draws_in_pieces_as_the_hash_says(spark):
+    """A field that is cut into pieces gets the slopes of plain weighted sums; the array hash equals the column hash."""
+    from cytofleet.functions.scalar import mix31, mix31_numpy
+    from cytofleet.operators import population as P
+    rng = np.random.default_rng(2)
+    n = 240
+    pdf = pd.DataFrame({"field_id": [None if i % 3 == 0 else float(i % 3) for i in range(n)], "a": rng.integers(0, 2**40, n), "b": rng.integers(0, 9, n), "x": 1e4 + rng.normal(size=n)})
+    pdf["y"] = 2 * pdf["x"] + rng.normal(size=n)
+    df = spark.createDataFrame(pdf).withColumn("field_id", F.when(~F.isnan("field_id"), F.col("field_id").cast("long")))
+    hashed = df.select("a", "b", mix31(42, F.lit(7), "a", "b").alias("h")).toPandas()
+    assert (mix31_numpy(42, np.full(n, 7), hashed["a"].to_numpy(), hashed["b"].to_numpy()) == hashed["h"].to_numpy()).all()
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(key, "16")
+    try:
+        got = {r["field_id"]: r for r in P.bootstrap_slope_ci(df, "y", "x", ["a", "b"], resamples=40).collect()}
+    finally:
+        spark.conf.unset(key)
+    assert set(got) == {None, 1, 2}
+    for f, g in pdf.groupby(pdf["field_id"].fillna(-1)):
+        slopes = []
+        for r in range(40):
+            u = mix31_numpy(42, np.full(len(g), r), g["a"].to_numpy(), g["b"].to_numpy()) / 2147483647.0
+            w = np.searchsorted(P.POISSON1_CDF, u, side="right")
+            x, y = g["x"] - g["x"].mean(), g["y"] - g["y"].mean()
+            mx, my = np.average(x, weights=w), np.average(y, weights=w)
+            slopes.append((w * (x - mx) * (y - my)).sum() / (w * (x - mx) ** 2).sum())
+        row = got[None if f < 0 else int(f)]
+        assert np.allclose([row["slope_ci_lo"], row["slope_ci_hi"]], np.percentile(slopes, [2.5, 97.5]), atol=1e-7) and row["n_resamples"] == 40
