@@ -211,6 +211,25 @@ def test_communities_in_one_task_and_in_sweeps(spark):
                 assert score({**lab, u: c}) <= score(lab) + 1e-9
 
 
+def test_communities_in_blocks_are_as_good_as_in_one_task(spark, monkeypatch):
+    """Neighbours of noise: blocks of a tenth of the graph end after few rounds and lose next to nothing."""
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(400, 12))
+    v[:200] += 0.6
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    s = v @ v.T - 2 * np.eye(400)
+    rows = {(min(a, b), max(a, b)): float(s[a, b]) for a in range(400) for b in np.argsort(-s[a])[:8].tolist() if s[a, b] > 0}
+    g = spark.createDataFrame([(*p, w) for (a, b), w in rows.items() for p in ((a, b), (b, a))], "src long, dst long, weight double").cache()
+    rounds, measure = [], H.modularity
+    monkeypatch.setattr(H, "modularity", lambda *a: rounds.append(1) or measure(*a))
+    score = lambda lab: measure(g, lab).first()["modularity"]
+    one, blocks = (H.communities(g, small=n) for n in (10**6, len(rows) // 5))
+    assert not g.join(blocks, g.src == blocks.node, "left_anti").count() and blocks.count() == 400
+    assert score(blocks) > 0.95 * score(one) and len(rounds) <= 25
+    calm = {r["node"]: r["community"] for r in blocks.collect()}
+    assert all(c == min(u for u in calm if calm[u] == c) for c in set(calm.values()))
+
+
 def test_communities_without_an_edge_inside_are_cut(spark, monkeypatch):
     g = spark.createDataFrame([(1, 2, 1.0), (2, 1, 1.0), (3, 4, 1.0), (4, 3, 1.0)], "src long, dst long, weight double")
     monkeypatch.setattr(H, "_communities", lambda *a: spark.createDataFrame([(k, 1) for k in range(1, 5)], "node long, community long"))
