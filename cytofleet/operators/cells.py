@@ -346,14 +346,19 @@ def build_regions(labels: DataFrame, fields: DataFrame, params: RingParams = Rin
 def stain_features(pixels: DataFrame, regions: Regions, name: str, prefix: str, params: RingParams = RingParams()) -> DataFrame:
     """The ring family (12 scalars and a profile) on any channel, prefixed."""
     px = channel(pixels, name)
-    ring = over(px, regions.ring)
-    roi = ring.unionByName(over(px, regions.labels.select(*CELL, "y", "x")))
+    # values meet all regions in one join and are kept, because every family reads them
+    spots = regions.ring.select(*CELL, "y", "x", F.lit("ring").alias("_part")).unionByName(
+        regions.labels.select(*CELL, "y", "x", F.lit("mask").alias("_part"))).unionByName(
+        regions.interior.select(*CELL, "y", "x", F.lit("core").alias("_part")))
+    met = pin(over(px, spots))
+    part = lambda *names: met.filter(F.col("_part").isin(*names)).drop("_part")
+    ring, roi = part("ring"), part("ring", "mask")
     binned = R.radial_bins(roi, regions.centroids, params.radial_bins)
     parts = [
         intensity(ring), entropy(ring, params.entropy_bins), coverage(ring, params),
-        pericellular_ratio(ring, over(px, regions.interior)),
+        pericellular_ratio(ring, part("core")),
         R.radial_profile(binned, params.radial_bins), decay_rate(binned),
-        R.glcm_texture(px, regions.ring, params.glcm_levels, params.glcm_min_pixels).select(
+        R.glcm_texture(px, ring, params.glcm_levels, params.glcm_min_pixels).select(
             *CELL, *[F.col(c).alias(f"haralick_{c}") for c in ("contrast", "homogeneity", "correlation", "energy")]),
         R.moran_on_mask(ring, params.moran_min_pixels),
     ]
@@ -380,6 +385,7 @@ def assemble_profiles(pixels: DataFrame, labels: DataFrame, fields: DataFrame, c
                       ring: RingParams = RingParams(), adhesion: AdhesionParams = AdhesionParams(),
                       actin: ActinParams = ActinParams()) -> DataFrame:
     """One row per cell; families of absent channels are skipped, an empty mask gives an empty table."""
+    labels = pin(labels)  # every family reads them
     regions = build_regions(labels, fields, ring)
     out = cell_morphology(labels)
     parts = []

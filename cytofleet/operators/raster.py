@@ -6,10 +6,12 @@ and row or column) or one aggregation over rows scattered to neighbouring positi
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
@@ -164,9 +166,20 @@ def dilation_ring(mask: DataFrame, width: DataFrame, fields: DataFrame, keys: Se
 
 
 def eroded(mask: DataFrame, depth: DataFrame, keys: Sequence[str] = CELL) -> DataFrame:
-    """Region pixels farther than ``depth_px`` from anything outside (the image border counts as outside)."""
-    worn = spread(shell(mask, keys).join(depth.select(*keys, "depth_px"), list(keys)), F.col("depth_px"), keys)
-    return mask.join(worn, [*keys, "y", "x"], "left_anti")
+    """Region pixels farther than ``depth_px`` from anything outside (the image border counts as outside).
+
+    What a shell pixel wears away is one stretch per image line. Along a line, a region pixel stays if as many stretches have ended as begun.
+    """
+    k, dy = F.col("depth_px").cast("int"), F.col("_dy")
+    worn = shell(mask, keys).join(depth.select(*keys, "depth_px"), list(keys)).withColumn("_dy", F.explode(F.sequence(-k, k)))
+    reach = k - F.abs(dy)
+    worn = worn.select(*keys, (F.col("y") + dy).alias("y"), (F.col("x") - reach).alias("_a"), (F.col("x") + reach + 1).alias("_b"))
+    ends = F.array(F.struct(F.col("_a").alias("x"), F.lit(1).alias("_n")), F.struct(F.col("_b").alias("x"), F.lit(-1).alias("_n")))
+    steps = worn.select(*keys, "y", F.inline(ends)).groupBy(*keys, "y", "x").agg(F.sum("_n").cast("int").alias("_n"))
+    others = [c for c in mask.columns if c not in (*keys, "y", "x")]
+    rows = mask.withColumns({"_n": F.lit(0), "_own": F.lit(True)}).unionByName(steps.withColumn("_own", F.lit(False)), allowMissingColumns=True)
+    line = Window.partitionBy(*keys, "y").orderBy("x").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    return rows.withColumn("_n", F.sum("_n").over(line)).filter(F.col("_own") & (F.col("_n") == 0)).select(*keys, "y", "x", *others)
 
 
 def interior(mask: DataFrame, width: DataFrame, keys: Sequence[str] = CELL) -> DataFrame:
@@ -221,11 +234,37 @@ def star_components(edges: DataFrame, keys: Sequence[str], max_rounds: int = 60)
     raise RuntimeError("connected components did not converge")
 
 
+# Most runs of a region whose components are found in one group.
+GROUP_RUNS = 65_536
+
+
+def _joined_runs(touch: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``star_components`` of regions of bounded size, each in one group."""
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        names, at = np.unique(pdf[["u", "v"]].to_numpy(np.int64), return_inverse=True)
+        u, v = at.reshape(-1, 2).T
+        root = np.arange(names.size)
+        while True:
+            low = root.copy()
+            np.minimum.at(low, u, root[v])
+            np.minimum.at(low, v, root[u])
+            # the roots learn as well, so that long chains close in few passes
+            np.minimum.at(low, root, low.copy())
+            low = low[low]
+            if (low == root).all():
+                return pd.DataFrame({**{k: pdf[k].iloc[0] for k in keys}, "v": names, "root": names[root]})
+            root = low
+
+    schema = StructType([*(touch.schema[k] for k in keys), StructField("v", LongType()), StructField("root", LongType())])
+    return touch.groupBy(*keys).applyInPandas(run, schema)
+
+
 def components(mask: DataFrame, keys: Sequence[str] = CELL) -> DataFrame:
     """8-connected components of a mask: (keys, y, x, component), numbered by first pixel in scan order.
 
     Pixels are first compressed to horizontal runs; touching runs of adjacent rows are found by
-    an equi-join on (row, 64-pixel column band), then contracted.
+    an equi-join on (row, 64-pixel column band). Regions of at most ``GROUP_RUNS`` runs are joined in one group each, larger ones
+    are contracted in rounds.
     """
     keys = list(keys)
     runs = pin(_row_runs(mask, keys))
@@ -236,7 +275,14 @@ def components(mask: DataFrame, keys: Sequence[str] = CELL) -> DataFrame:
     touch = up.join(down, [*keys, "y", "_band"]).filter(
         (F.col("x0") <= F.col("a1") + 1) & (F.col("x1") >= F.col("a0") - 1)
     ).select(*keys, "u", "v")
-    roots = star_components(touch, keys).select(*keys, F.col("v").alias("run"), "root")
+    sizes = runs.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    large = sizes.filter(F.col("_n") > GROUP_RUNS).drop("_n")
+    if large.isEmpty():
+        roots = _joined_runs(touch, keys)
+    else:
+        large = pin(large)
+        roots = _joined_runs(touch.join(large, keys, "left_anti"), keys).unionByName(star_components(touch.join(large, keys, "left_semi"), keys))
+    roots = roots.select(*keys, F.col("v").alias("run"), "root")
     named = runs.join(roots, [*keys, "run"], "left").withColumn("component", F.coalesce("root", "run"))
     return named.select(*keys, "y", F.explode(F.sequence("x0", "x1")).alias("x"), "component")
 
@@ -382,21 +428,43 @@ def edge_distance(points: DataFrame, mask: DataFrame, fields: DataFrame) -> Data
 # --- C12 ------------------------------------------------------------------
 
 
-def _mirror(df: DataFrame, axis: str, reach: Column, keys: Sequence[str]) -> DataFrame:
-    """Add mirrored copies of the first and last ``reach`` positions along an axis (edge repeated)."""
-    line = Window.partitionBy(*keys)
-    a = F.col(axis)
-    df = df.withColumn("_last", F.max(axis).over(line))
-    spots = F.array_compact(F.array(
-        a, F.when(a < reach, -a - 1), F.when(a > F.col("_last") - reach, 2 * F.col("_last") + 1 - a)))
-    return df.withColumn("_pos", F.explode(spots))
+_TENSOR = ["arr", "arc", "acc"]
+
+
+def _smooth_lines(reach: int):
+    """Gaussian of the arrays of a line, mirrored at both ends by ``reach`` positions (edge repeated); NULLs count as 0 and stay NULL."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sigma = b["sigma_px"].to_numpy(zero_copy_only=False)
+            starts = np.r_[0, np.cumsum(b["_a"].value_lengths().to_numpy())]
+            at = b["_a"].flatten().to_numpy()
+            flat = [b[c].flatten() for c in _TENSOR]
+            v = np.stack([f.fill_null(0.0).to_numpy() for f in flat])
+            out = np.empty_like(v)
+            for s, lo, hi in zip(sigma, starts[:-1], starts[1:]):
+                x, line = at[lo:hi], v[:, lo:hi]
+                left, right = line[:, x < reach][:, ::-1], line[:, x > x[-1] - reach][:, ::-1]
+                wide = np.concatenate([np.zeros((3, reach)), left, line, right, np.zeros((3, reach))], axis=1)
+                p, n = reach + left.shape[1], hi - lo
+                acc, total = line * 1.0, 1.0
+                for j in range(1, min(reach, int(4.0 * s + 0.5)) + 1):
+                    weight = math.exp(-(j * j / 2.0) / (s * s))
+                    acc = acc + weight * (wide[:, p - j:p - j + n] + wide[:, p + j:p + j + n])
+                    total = total + 2 * weight
+                out[:, lo:hi] = acc / total
+            offsets = pa.array(starts, pa.int32())
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(o, mask=f.is_null().to_numpy(zero_copy_only=False))) for o, f in zip(out, flat)]
+            names = b.schema.names
+            yield pa.RecordBatch.from_arrays([lists[_TENSOR.index(c)] if c in _TENSOR else b[c] for c in names], names)
+
+    return run
 
 
 def structure_tensor(pixels: DataFrame, sigma: DataFrame, max_sigma: float) -> DataFrame:
     """Smoothed products of Sobel derivatives: (field_id, channel, y, x, arr, arc, acc).
 
-    ``sigma(field_id, sigma_px)``. Both filters are separable, so each is one window pass along
-    rows and one along columns over mirrored lines.
+    ``sigma(field_id, sigma_px)``. Both filters are separable: the derivatives are one window pass along rows and one along
+    columns, the smoothing takes whole columns, then whole rows, as arrays in Arrow batches.
     """
     row, column = [*IMAGE, "y"], [*IMAGE, "x"]
     wr, wc = Window.partitionBy(*row).orderBy("x"), Window.partitionBy(*column).orderBy("y")
@@ -414,25 +482,12 @@ def structure_tensor(pixels: DataFrame, sigma: DataFrame, max_sigma: float) -> D
                  (F.col("_gr") * F.col("_gr")).alias("arr"), (F.col("_gr") * F.col("_gc")).alias("arc"),
                  (F.col("_gc") * F.col("_gc")).alias("acc"))
     reach = int(4.0 * max_sigma + 0.5)
-    own = F.floor(F.lit(4.0) * F.col("sigma_px") + F.lit(0.5))
-    tap = lambda j: F.when(F.lit(j) <= own, F.exp(-F.lit(j * j / 2.0) / (F.col("sigma_px") * F.col("sigma_px")))).otherwise(0.0)
     for axis, keys in (("y", column), ("x", row)):
-        padded = _mirror(p, axis, F.lit(reach), keys)
-        w = Window.partitionBy(*keys).orderBy("_pos")
-        weights = [tap(j) for j in range(reach + 1)]
-        total = weights[0]
-        for j in range(1, reach + 1):
-            total = total + 2 * weights[j]
-
-        def smooth(c: str) -> Column:
-            acc = F.col(c) * weights[0]
-            for j in range(1, reach + 1):
-                acc = acc + weights[j] * (F.coalesce(F.lag(c, j).over(w), F.lit(0.0)) + F.coalesce(F.lead(c, j).over(w), F.lit(0.0)))
-            return acc / total
-
-        p = padded.withColumns({f"_{c}": smooth(c) for c in ("arr", "arc", "acc")}).filter(
-            F.col("_pos") == F.col(axis)
-        ).select(*IMAGE, "y", "x", "sigma_px", *[F.col(f"_{c}").alias(c) for c in ("arr", "arc", "acc")])
+        lines = p.groupBy(*keys, "sigma_px").agg(F.array_sort(F.collect_list(F.struct(axis, *_TENSOR))).alias("_l"))
+        lines = lines.select(*keys, "sigma_px", F.col(f"_l.{axis}").alias("_a"), *[F.col(f"_l.{c}").alias(c) for c in _TENSOR])
+        done = lines.mapInArrow(_smooth_lines(reach), lines.schema)
+        p = done.select(*keys, "sigma_px", F.inline(F.arrays_zip(F.col("_a").alias(axis), *_TENSOR)))
+    p = p.select(*IMAGE, "y", "x", "sigma_px", *_TENSOR)
     return p.drop("sigma_px")
 
 
@@ -515,13 +570,14 @@ def _count_pairs(levels: int):
 def glcm_texture(pixels: DataFrame, ring: DataFrame, levels: int = 16, min_pixels: int = 100) -> DataFrame:
     """Co-occurrence contrast, homogeneity, correlation and energy over the ring's bounding box.
 
-    ``pixels`` is one channel. Grey levels come from the ring's own range; box pixels outside the
+    ``pixels`` is one channel, whose values ``ring`` may have already. Grey levels come from the ring's own range; box pixels outside the
     ring take part. Repeated offsets are counted once with their multiplicity.
 
     A box row is one array of grey levels (-1 where a pixel is missing or NULL; of a repeated pixel the lowest level counts);
     it meets the rows up to four below it in a window, and the pairs are counted inside the arrays.
     """
-    stats = ring.join(pixels, ["field_id", "y", "x"]).groupBy(*CELL).agg(
+    values = ring if "value" in ring.columns else ring.join(pixels, ["field_id", "y", "x"])
+    stats = values.groupBy(*CELL).agg(
         F.count(F.lit(1)).alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi"),
         F.min("y").alias("y0"), F.max("y").alias("y1"), F.min("x").alias("x0"), F.max("x").alias("x1"),
     ).filter((F.col("n") >= min_pixels) & (F.col("hi") > F.col("lo")))

@@ -94,6 +94,8 @@ def pixels(spark: SparkSession, sf_dir: str, channels: list[str] | None = None)
         s = _SHARE[c]
         return F.floor((_raw(v) * F.lit(1 - s) + F.expr(_SHAPE[c]) * F.lit(s)) * 4096) / F.lit(4096.0)
 
+    if len(names) == 1:
+        return t.select("field_id", F.lit(names[0]).alias("channel"), "y", "x", value(names[0]).alias("value"))
     rows = F.array(*[F.struct(F.lit(c).alias("channel"), value(c).alias("value")) for c in names])
     return t.select("field_id", "y", "x", F.inline(rows)).select("field_id", "channel", "y", "x", "value")
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from functools import reduce
+
+from pyspark.sql import DataFrame, functions as F
 
 from cytofleet.operators import cells as D
 from cytofleet.operators import raster as R
@@ -271,7 +273,8 @@ def d15(spark, d):
 @query("D16_profile_assembly")
 def d16(spark, d):
     names = ["dapi", "glycocalyx", "yap", "paxillin", "actin"]
-    px = D.check_channels(pixels(spark, d, names))
+    # one branch per channel: a filter on the channel drops the others before their values are computed
+    px = D.check_channels(reduce(DataFrame.unionByName, [pixels(spark, d, [c]) for c in names]))
     return D.expand_profile(D.assemble_profiles(px, labels(spark, d), fields(spark, d), names))
 
 

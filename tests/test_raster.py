@@ -238,3 +238,44 @@ def test_texture_against_plain_loops_with_missing_pixels(spark):
             total += m
         assert np.allclose([got[c][k] for k in ("contrast", "homogeneity", "correlation", "energy")], want / total, atol=1e-9)
     assert R.glcm_texture(px.limit(0), ring).isEmpty()
+
+
+def test_erosion_wears_one_stretch_per_line(spark):
+    """Against brute force on ragged regions; a shell pixel is one row per line it reaches, not one per position."""
+    rng = np.random.default_rng(11)
+    cells = {(c, y, x) for c in (1, 2) for y in range(14) for x in range(14) if (y - 7) ** 2 + (x - 6) ** 2 < 45 and rng.random() < 0.97}
+    mask = spark.createDataFrame([(1, *c) for c in cells], "field_id int, cell_id int, y int, x int")
+    depth = spark.createDataFrame([(1, 1, 1), (1, 2, 3)], "field_id int, cell_id int, depth_px int")
+    got = {(r["cell_id"], r["y"], r["x"]) for r in R.eroded(mask, depth).collect()}
+    far = {1: 1, 2: 3}
+    steps = lambda k: [(dy, dx) for dy in range(-k, k + 1) for dx in range(abs(dy) - k, k - abs(dy) + 1)]
+    near = lambda c, y, x: any((c, y + a, x + b) in cells for a, b in ((0, 1), (0, -1), (1, 0), (-1, 0)))
+    worn = lambda c, y, x: any((c, y + a, x + b) not in cells and near(c, y + a, x + b) for a, b in steps(far[c]))
+    assert got == {p for p in cells if not worn(*p)} and got
+    plan = R.eroded(mask, depth)._jdf.queryExecution().optimizedPlan().toString()
+    assert "flatten" not in plan
+
+
+def test_components_in_one_group_and_in_rounds(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    mask = spark.createDataFrame([(1, c, y, x) for c in (1, 2) for y in range(18) for x in range(18) if rng.random() < (0.4 if c == 1 else 0.1)],
+                                 "field_id int, cell_id int, y int, x int")
+    rows = lambda: sorted(tuple(r) for r in R.components(mask).collect())
+    grouped = rows()
+    monkeypatch.setattr(R, "GROUP_RUNS", 60)
+    assert rows() == grouped
+    monkeypatch.setattr(R, "GROUP_RUNS", 0)
+    assert rows() == grouped
+
+
+def test_a_channel_is_computed_without_the_others(spark):
+    from functools import reduce
+
+    from fixtures import SF
+    from pyspark.sql import DataFrame
+    from cytofleet.operators.cells import channel
+    from cytofleet.plans.adapters import pixels
+    both = reduce(DataFrame.unionByName, [pixels(spark, SF, [c]) for c in ("dapi", "yap")])
+    assert "Union" not in channel(both, "yap")._jdf.queryExecution().optimizedPlan().toString()
+    want, got = (p.agg({"value": "sum", "*": "count"}).first() for p in (channel(pixels(spark, SF, ["dapi", "yap"]), "yap"), channel(both, "yap")))
+    assert tuple(want) == tuple(got)
