@@ -13,6 +13,7 @@ from cytofleet.plans.adapters import cells, cells_sql, nation_pairs, NATION_SQL,
 from cytofleet.plans.q_population import POWER_SQL, power_grid, rnd
 from cytofleet.plans.q_raster import r6
 from cytofleet.plans.registry import query
+from cytofleet.session import pin
 from cytofleet.sources import tables as A
 from cytofleet.streaming.ingest import ingest_fields
 
@@ -235,7 +236,7 @@ def s1(spark, d):
         return batch.groupBy("field_id", "channel").agg(F.avg("value").alias("mean"), F.count(F.lit(1)).alias("n"))
 
     enc = (F.col("value") * 4096).cast("bigint").cast("string")
-    n = p.groupBy("field_id").agg(F.count(F.lit(1)).alias("n_pixels"))
+    n = pin(p.groupBy("field_id").agg(F.count(F.lit(1)).alias("n_pixels")))  # one row per field, read by every trigger
     far = n.agg(F.max("field_id").alias("m")).first()["m"] + 1
     for shift in (0, far):
         p.withColumn("field_id", F.col("field_id") + shift).write.mode("append").parquet(f"{base}/in")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from cytofleet.schema import PIXELS
 from cytofleet.session import pin
@@ -25,16 +26,6 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
-def _waiting(spark: SparkSession, path: str, batch_id: int) -> str | None:
-    """The rows that the last batch before this one held back."""
-    p, fs = _folder(spark, path)
-    if not fs.exists(p):
-        return None
-    done = [int(s.getPath().getName().split("=")[1]) for s in fs.listStatus(p) if s.getPath().getName().startswith("batch=")]
-    last = max((b for b in done if b < batch_id), default=None)
-    return None if last is None else f"{path}/batch={last}"
-
-
 def _slot(c: str) -> Column:
     return F.pmod(F.xxhash64(c), F.lit(SLOTS)).cast("int")
 
@@ -48,11 +39,25 @@ def _known(spark: SparkSession, path: str, rows: DataFrame, key: str, batch_id:
     return ledger.filter(F.col("slot").isin(slots) & (F.col("batch") != batch_id)).select(*columns)
 
 
+def _pending(spark: SparkSession, sink: str, fields: DataFrame, batch_id: int) -> DataFrame | None:
+    """(field_id, batch, n): earlier batches that hold back pixels of ``fields``, since the field was last complete."""
+    path = f"{sink}-counts"
+    if not _exists(spark, path):
+        return None
+    mine = lambda p, c: spark.read.schema(f"{c}, batch int").parquet(p).filter(F.col("batch") < batch_id).join(fields.select("field_id"), "field_id", "left_semi")
+    held = mine(path, "field_id long, n long")
+    if _exists(spark, f"{sink}-fields"):
+        done = mine(f"{sink}-fields", "field_id long").groupBy("field_id").agg(F.max("batch").alias("_done"))
+        held = held.join(done, "field_id", "left").filter(F.col("_done").isNull() | (F.col("batch") > F.col("_done")))
+    return held.select("field_id", "batch", "n")
+
+
 def process_batch(plan: RegionPlan, sink: str, expected: DataFrame, encode=None) -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` body: complete fields are hashed, known content is skipped, features are appended.
 
     ``expected(field_id, n_pixels)`` says how many pixels a field has. Fields with fewer so far, or without an expected
-    number, are held back with all their pixels until the rest arrives; more is an error. A field that arrives again
+    number, are held back until the rest arrives; more is an error. A pixel that waits is written once, in the folder of its batch,
+    with the number of pixels per field beside it, and is read again when its field is complete. A field that arrives again
     with other content is an error too, with the same content it is skipped. A batch writes to its own ``batch=``
     folders in overwrite mode, so a replay after a failure replaces what the failed attempt left. Inside a batch the
     lowest field id of equal content wins. Known content is looked up in a ledger laid out by hash and by field.
@@ -60,16 +65,28 @@ def process_batch(plan: RegionPlan, sink: str, expected: DataFrame, encode=None)
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        held = _waiting(spark, f"{sink}-waiting", batch_id)
-        rows = batch if held is None else batch.unionByName(spark.read.schema(batch.schema).parquet(held))
-        rows = pin(rows)
-        counts = pin(rows.groupBy("field_id").agg(F.count(F.lit(1)).alias("n")).join(expected.select("field_id", "n_pixels"), "field_id", "left"))
+        rows = pin(batch)
+        counts = rows.groupBy("field_id").agg(F.count(F.lit(1)).alias("n"))
+        pending = _pending(spark, sink, counts, batch_id)
+        if pending is not None:
+            pending = pin(pending)
+            counts = counts.unionByName(pending.select("field_id", "n")).groupBy("field_id").agg(F.sum("n").alias("n"))
+        counts = pin(counts.join(expected.select("field_id", "n_pixels"), "field_id", "left"))
         over = counts.filter("n > n_pixels").orderBy("field_id").first()
         if over:
             raise ValueError(f"field {over['field_id']} has {over['n']} pixels, expected {over['n_pixels']}")
         whole = counts.filter("n = n_pixels").select("field_id")
-        rows.join(whole, "field_id", "left_anti").select(*batch.columns).write.mode("overwrite").parquet(f"{sink}-waiting/batch={batch_id}")
+        held = rows.join(whole, "field_id", "left_anti").select(*batch.columns)
+        held.write.mode("overwrite").parquet(f"{sink}-waiting/batch={batch_id}")
+        held.groupBy("field_id").agg(F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(f"{sink}-counts/batch={batch_id}")
         ready = rows.join(whole, "field_id", "left_semi").select(*batch.columns)
+        if pending is not None:
+            early = pending.join(whole, "field_id", "left_semi").select("field_id", "batch")
+            since = [r["batch"] for r in early.select("batch").distinct().collect()]  # batch numbers; other folders are not read
+            if since:
+                old = spark.read.schema(StructType([*batch.schema, StructField("batch", IntegerType())])).parquet(f"{sink}-waiting")
+                ready = ready.unionByName(old.filter(F.col("batch").isin(since)).join(early, ["field_id", "batch"], "left_semi").select(*batch.columns))
+                ready = pin(ready)
         hashes = pin(content_hash(ready, F.col("value").cast("string") if encode is None else encode).select("field_id", "image_hash"))
         fields = _known(spark, f"{sink}-fields", hashes, "field_id", batch_id, ["field_id", F.col("image_hash").alias("was")])
         if fields is not None:

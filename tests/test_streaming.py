@@ -57,6 +57,22 @@ def test_fields_wait_until_they_are_complete(spark):
         run()
 
 
+def test_a_waiting_pixel_is_written_once(spark):
+    """Eight fields, one row of each per file and trigger; only the last trigger completes them. A later arrival starts from nothing."""
+    base = A.shared_path(spark, "test-once")
+    plan = lambda b: b.groupBy("field_id").agg(F.sum("value").alias("s"), F.count(F.lit(1)).alias("n"))
+    sizes = spark.createDataFrame([(f, 24) for f in range(8)], "field_id long, n_pixels long")
+    rows = lambda: sorted((r["field_id"], r["s"], r["n"]) for r in spark.read.parquet(f"{base}/out").collect())
+    want = [(f, float(sum(f * 100 + y * 4 + x for y in range(6) for x in range(4))), 24) for f in range(8)]
+    for again in range(2):
+        for y in range(6):
+            spark.createDataFrame([(f, "dapi", y, x, float(f * 100 + y * 4 + x)) for f in range(8) for x in range(4)],
+                                  "field_id long, channel string, y int, x int, value double").coalesce(1).write.mode("append").parquet(f"{base}/in")
+        ingest_fields(spark, f"{base}/in", f"{base}/out", f"{base}/state", plan, sizes, max_files=1)
+        assert rows() == want
+        assert spark.read.parquet(f"{base}/out-waiting").count() == (again + 1) * 5 * 8 * 4
+
+
 def test_content_hash_depends_on_content_only(spark):
     rows = [(f, "c", y, x, float(y * 3 + x + (f == 3))) for f in (1, 2, 3) for y in range(2) for x in range(3)]
     df = spark.createDataFrame(rows, "field_id long, channel string, y int, x int, value double")
