@@ -12,7 +12,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import numpy as np
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from cytofleet.session import pin
 
@@ -63,6 +64,24 @@ def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
     return int(row["m"] or 0)
 
 
+def split_small(df: DataFrame, keys: Sequence[str], limit: int) -> tuple[DataFrame, DataFrame | None]:
+    """Rows of the groups of ``limit`` rows at most, and the rest; None if a count finds no larger group."""
+    keys = list(keys)
+    large = pin(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > limit).select(*keys))
+    if large.isEmpty():
+        return df, None
+    return df.join(large, keys, "left_anti"), df.join(large, keys, "left_semi")
+
+
+def column(table, name: str) -> np.ndarray:
+    """A numeric column of an Arrow table as doubles, NULL as NaN."""
+    return table.column(name).to_numpy().astype(float)
+
+
+def schema_of(df: DataFrame, keys: Sequence[str], rest: str) -> T.StructType:
+    return T.StructType([*(df.schema[c] for c in keys), *T.StructType.fromDDL(rest)])
+
+
 def prefix_sums(
     df: DataFrame,
     keys: Sequence[str],

@@ -10,10 +10,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from cytofleet.functions.scalar import P31, mix31
+from cytofleet.functions.scalar import P31, mix31, mix31_numpy
 from cytofleet.functions.tails import correlation_p_udf, rank_sum_p_udf
 from cytofleet.operators.population import summarise
-from cytofleet.operators.scale import attach_stats, largest_group, prefix_sums, top_k, value_ranks
+from cytofleet.operators.scale import attach_stats, column, largest_group, prefix_sums, schema_of, split_small, top_k, value_ranks
 from cytofleet.schema import present
 from cytofleet.session import pin
 
@@ -21,6 +21,10 @@ from cytofleet.session import pin
 BROADCAST_ROWS = 300_000
 # Most rows whose positions and ranks are broadcast for permutations; about 80 MB as a hashed relation.
 POSITION_ROWS = 1_000_000
+# Most rows of a group that one task permutes; n times a sum of rank products stays inside 64 bits.
+PERMUTED_ROWS = 20_000
+# Rows of a larger group that stay together, so that a task leaves few sums.
+PERMUTED_BLOCK = 4_000
 
 # The two blocks of the screen and the compared features.
 BLOCK_A = [
@@ -302,17 +306,88 @@ def permuted_position(df: DataFrame, pos: str, n: str, perm: str, out: str, seed
     return d.withColumn(out, F.coalesce(F.when(F.col("_x") < F.col(n), F.col("_x")).otherwise(lost), F.lit(-1).cast("bigint"))).drop("_a", "_b", "_ka", "_kb", "_l", "_r", "_x")
 
 
+def permuted_positions(n: int, perm: np.ndarray, seed: int = 42) -> np.ndarray:
+    """The images of all positions below ``n`` inside a task, one row per permutation: those of ``permuted_position``.
+
+    A half is moved by a number that follows from the permutation and the other half alone, so these numbers are looked up.
+    """
+    a = max(1, math.ceil(math.sqrt(n)))
+    b = (n + a - 1) // a
+    ka, kb = (mix31_numpy(seed + i, perm)[:, None] for i in (1, 2))
+
+    def mixed(v: np.ndarray, add: np.ndarray, flip: np.ndarray, m: int) -> np.ndarray:
+        h = ((v + OFFSET) * m + add) % P31
+        h = (h ^ flip) * SCATTER % P31
+        return (h ^ add) * m % P31
+
+    rounds = list(zip(ROUND_MULTIPLIERS[::2], ROUND_MULTIPLIERS[1::2], strict=True))
+    turns = [((mixed(np.arange(b), ka, kb, m1) % a).astype(np.int32).ravel(), (mixed(np.arange(a), kb, ka, m2) % b).astype(np.int32).ravel()) for m1, m2 in rounds]
+
+    def passed(x: np.ndarray, row: np.ndarray) -> np.ndarray:
+        right, left = x // a, x % a
+        for by_right, by_left in turns:
+            left = left + np.take(by_right, row * b + right)
+            left -= (left >= a) * np.int32(a)
+            right = right + np.take(by_left, row * a + left)
+            right -= (right >= b) * np.int32(b)
+        return right * a + left
+
+    x = passed(np.arange(n, dtype=np.int32)[None, :], np.arange(len(perm), dtype=np.int32)[:, None])
+    while (out := x >= n).any():  # the few that left the domain walk on
+        row, at = np.nonzero(out)
+        x[row, at] = passed(x[row, at], row)
+    return x
+
+
+def doubled_ranks(v: np.ndarray) -> np.ndarray:
+    """Twice the average rank of every value, so that ties stay whole numbers."""
+    _, at, n = np.unique(v, return_inverse=True, return_counts=True)
+    return (2 * np.cumsum(n) - n + 1)[at]
+
+
 def permutation_p(cells: DataFrame, x: str, y: str, permutations: int, row_keys: Sequence[str], keys: Sequence[str] = (), seed: int = 42) -> DataFrame:
     """Empirical two-sided p of Spearman's rho: (k+1)/(N+1) over keyed bijections of the row positions.
 
-    Rows are ranked and numbered once, those with equal keys by their ranks; each permutation then pairs the x rank of a row with the y rank at the permuted
-    position, by one equi-join with partial sums. Below ``POSITION_ROWS`` rows (measured) the positions are broadcast,
-    so that only the sums are shuffled; above, rows x permutations are dealt by position. Ranks are kept doubled and
-    products are summed in two halves, so all sums are exact integers (groups of up to 2^30 rows). Groups with fewer
-    than five complete rows or a constant side get NULL.
+    Rows are ranked and numbered once by hash, those with equal keys by their ranks; each permutation then pairs the x rank of a row with
+    the y rank at the permuted position. A group of at most ``PERMUTED_ROWS`` rows does so in one task, so that only its rows
+    are shuffled; see ``dealt_permutation_p`` for larger ones. Ranks are kept doubled, so all sums are exact integers. Groups
+    with fewer than five complete rows or a constant side get NULL.
     """
-    keys = list(keys)
+    if not keys:
+        return permutation_p(cells.withColumn("_all", F.lit(1)), x, y, permutations, row_keys, ["_all"], seed).drop("_all")
+    keys, row_keys = list(keys), list(row_keys)
     d = cells.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, *row_keys, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
+    small, large = split_small(d, keys, PERMUTED_ROWS)
+    order = [(c, "ascending") for c in ("_h", *row_keys, "_rx", "_ry")]
+
+    def run(t: pa.Table) -> pa.Table:
+        import pyarrow.compute as pc
+
+        for c in "xy":
+            t = t.append_column(f"_r{c}", pa.array(doubled_ranks(column(t, f"_{c}"))))
+        t = t.take(pc.sort_indices(t, sort_keys=order, null_placement="at_start"))
+        n, rx, ry = t.num_rows, column(t, "_rx"), column(t, "_ry")  # sums below 2^53
+        away = lambda s: np.abs(n * np.asarray(s, np.int64) - np.int64(rx.sum()) * np.int64(ry.sum()))
+        at_once, extreme = max(1, (1 << 16) // n), 0
+        for lo in range(1, permutations + 1, at_once):
+            perm = np.arange(lo, min(lo + at_once, permutations + 1))
+            extreme += int((away(ry[permuted_positions(n, perm, seed)] @ rx) >= away(rx @ ry)).sum())
+        ok = n >= 5 and np.ptp(rx) > 0 and np.ptp(ry) > 0
+        p = pa.array([(extreme + 1) / (permutations + 1.0) if ok else None], pa.float64())
+        return pa.table([*(t.column(c).slice(0, 1) for c in keys), pa.array([n]), pa.array([extreme]), p], [*keys, "n", "extreme", "p"])
+
+    out = small.withColumn("_h", mix31(seed, *row_keys)).groupBy(*keys).applyInArrow(run, schema_of(d, keys, "n long, extreme long, p double"))
+    return out if large is None else out.unionByName(dealt_permutation_p(large, permutations, row_keys, keys, seed))
+
+
+def dealt_permutation_p(d: DataFrame, permutations: int, row_keys: Sequence[str], keys: Sequence[str], seed: int = 42) -> DataFrame:
+    """``permutation_p`` of groups of any size from ``d(keys, row_keys, _x, _y)`` without NULLs.
+
+    Positions meet by one equi-join with partial sums. Below ``POSITION_ROWS`` rows (measured) the positions are broadcast,
+    so that only the sums are shuffled, one per permutation and block of ``PERMUTED_BLOCK`` rows; above, rows x permutations are
+    dealt by position. Products are summed in two halves, so all sums are exact integers (groups of up to 2^30 rows).
+    """
+    keys = list(keys)
     twice = (2 * F.col("before") + F.col("n") + 1).cast("bigint")
     rx = value_ranks(d, keys, "_x").select(*keys, "_x", twice.alias("rx"))
     ry = value_ranks(d, keys, "_y").select(*keys, "_y", twice.alias("ry"))
@@ -327,16 +402,16 @@ def permutation_p(cells: DataFrame, x: str, y: str, permutations: int, row_keys:
         (F.min("rx") < F.max("rx")).alias("_vx"), (F.min("ry") < F.max("ry")).alias("_vy"))
     obs = pin(obs.withColumn("_xy", joined.cast("decimal(38,0)")).drop("_hi", "_lo"))
     rows = placed.count()
-    parts = max(cells.sparkSession.sparkContext.defaultParallelism, rows * permutations // 4_000_000)
+    parts = max(d.sparkSession.sparkContext.defaultParallelism, rows * permutations // 4_000_000)
     size = obs.select(*keys, "n")
     left = placed.select(*keys, "_pos", "rx")
-    left = (left.join(size, keys) if keys else left.join(F.broadcast(size))).repartition(parts)
+    left = left.join(size, keys).repartition(parts, *keys, F.floor(F.col("_pos") / PERMUTED_BLOCK))
     left = left.withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(permutations))))
     left = permuted_position(left, "_pos", "n", "perm", "_at", seed).select(*keys, "perm", "rx", F.col("_at").alias("_pos"))
     right = placed.select(*keys, F.col("_pos").cast("bigint").alias("_pos"), "ry")
     right = F.broadcast(right) if rows <= POSITION_ROWS else right.hint("shuffle_hash")
     met = left.join(right, [*keys, "_pos"]).groupBy(*keys, "perm").agg(*halves).select(*keys, "perm", joined.cast("decimal(38,0)").alias("_p"))
-    j = met.join(obs, keys) if keys else met.join(F.broadcast(obs))
+    j = met.join(obs, keys)
     # |n*sum(xy) - sum(x)*sum(y)| compares |rho| without dividing
     total = dec("_sx") * dec("_sy")
     size = lambda c: F.abs(F.col("n").cast("decimal(19,0)") * F.col(c) - total)

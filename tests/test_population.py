@@ -261,3 +261,18 @@ def test_z_projection_and_channels(spark):
     assert (r[1]["value"], r[1]["planes"]) == (1.0, 7) and (r[2]["value"], r[2]["planes"]) == (0.7, 4) and (r[3]["value"], r[3]["planes"]) == (0.3, None)
     with pytest.raises(ValueError):
         A.validated_panel(spark.createDataFrame([("p", "a")], "panel string, gene string"), spark.createDataFrame([("p", 2)], "panel string, size int"))
+
+
+@pytest.mark.parametrize("bound", [1_000_000, 0])
+def test_permutations_of_small_groups_shuffle_rows_only(spark, monkeypatch, bound):
+    """A group that fits a task is permuted there, without a join; large groups in blocks have the same rows."""
+    rng = np.random.default_rng(6)
+    d = frame(spark, g=[0] * 3 + [1] * 30 + [2] * 70 + [3] * 9, k=rng.permutation(112) // 2 * 1, x=rng.integers(0, 9, 112) * 1.0, y=[*rng.integers(0, 15, 103) * 1.0, *[2.0] * 9])
+    whole = Q.permutation_p(d, "x", "y", 150, ["k"], ["g"])
+    plan = whole._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "FlatMapGroupsInArrow" in plan and plan.count("Exchange hashpartitioning") == 1
+    once = sorted(whole.collect())
+    assert [(r["g"], r["n"], r["p"] is None) for r in once] == [(0, 3, True), (1, 30, False), (2, 70, False), (3, 9, True)]
+    for name, value in (("PERMUTED_ROWS", 20), ("PERMUTED_BLOCK", 16), ("POSITION_ROWS", bound)):
+        monkeypatch.setattr(Q, name, value)
+    assert sorted(Q.permutation_p(d, "x", "y", 150, ["k"], ["g"]).collect()) == once
