@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -57,8 +58,8 @@ def channel(pixels: DataFrame, name: str) -> DataFrame:
 
 
 def over(pixels: DataFrame, region: DataFrame) -> DataFrame:
-    """Pixel values over region pixels (one channel)."""
-    return region.join(pixels.select("field_id", "y", "x", "value"), ["field_id", "y", "x"])
+    """Pixel values over region pixels (one channel). Pixels are never broadcast: their compressed size says little about the driver's memory."""
+    return region.join(pixels.select("field_id", "y", "x", "value").hint("merge"), ["field_id", "y", "x"])
 
 
 # --- D1 .. D5 ---------------------------------------------------------------
@@ -329,8 +330,15 @@ class Regions:
 
     labels: DataFrame
     ring: DataFrame
-    interior: DataFrame
+    width: DataFrame
     centroids: DataFrame
+    cut: bool
+
+    @cached_property
+    def interior(self) -> DataFrame:
+        """Made and materialised when it is first read, since most families need rings only."""
+        inner = R.interior(self.labels.select(*CELL, "y", "x"), self.width)
+        return pin(inner) if self.cut else inner
 
 
 def build_regions(labels: DataFrame, fields: DataFrame, params: RingParams = RingParams(), cut: bool = True) -> Regions:
@@ -338,9 +346,8 @@ def build_regions(labels: DataFrame, fields: DataFrame, params: RingParams = Rin
     shape = labels.groupBy(*CELL).agg(F.count(F.lit(1)).alias("area"), F.avg("y").alias("cy"), F.avg("x").alias("cx"))
     width = R.ring_width(shape.join(fields.select("field_id", "pixel_size_um"), "field_id"),
                          S.ring_floor_px("pixel_size_um"), params.adaptive, params.fixed_px)
-    save = pin if cut else (lambda d: d)
-    mask = labels.select(*CELL, "y", "x")
-    return Regions(labels, save(R.dilation_ring(mask, width, fields)), save(R.interior(mask, width)), shape)
+    ring = R.dilation_ring(labels.select(*CELL, "y", "x"), width, fields)
+    return Regions(labels, pin(ring) if cut else ring, width, shape, cut)
 
 
 def stain_features(pixels: DataFrame, regions: Regions, name: str, prefix: str, params: RingParams = RingParams()) -> DataFrame:

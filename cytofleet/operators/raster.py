@@ -156,13 +156,13 @@ def ring_width(areas: DataFrame, floor_px: Column, adaptive: bool = True, fixed_
 def dilation_ring(mask: DataFrame, width: DataFrame, fields: DataFrame, keys: Sequence[str] = CELL) -> DataFrame:
     """Pixels within ``ring_px`` of the region but outside it, clipped to the image.
 
-    Only boundary pixels are spread, so the work follows the outline, not the area.
+    Only boundary pixels are spread, so the work follows the outline, not the area. Tables of pixels are never broadcast.
     """
-    grown = spread(boundary(mask, keys).join(width.select(*keys, "ring_px"), list(keys)), F.col("ring_px"), keys)
+    grown = spread(boundary(mask, keys).hint("merge").join(width.select(*keys, "ring_px"), list(keys)), F.col("ring_px"), keys)
     clipped = grown.join(fields.select("field_id", "height", "width"), "field_id").filter(
         (F.col("y") >= 0) & (F.col("x") >= 0) & (F.col("y") < F.col("height")) & (F.col("x") < F.col("width"))
     ).drop("height", "width")
-    return clipped.join(mask.select(*keys, "y", "x"), [*keys, "y", "x"], "left_anti")
+    return clipped.join(mask.select(*keys, "y", "x").hint("merge"), [*keys, "y", "x"], "left_anti")
 
 
 def eroded(mask: DataFrame, depth: DataFrame, keys: Sequence[str] = CELL) -> DataFrame:
@@ -171,7 +171,7 @@ def eroded(mask: DataFrame, depth: DataFrame, keys: Sequence[str] = CELL) -> Dat
     What a shell pixel wears away is one stretch per image line. Along a line, a region pixel stays if as many stretches have ended as begun.
     """
     k, dy = F.col("depth_px").cast("int"), F.col("_dy")
-    worn = shell(mask, keys).join(depth.select(*keys, "depth_px"), list(keys)).withColumn("_dy", F.explode(F.sequence(-k, k)))
+    worn = shell(mask, keys).hint("merge").join(depth.select(*keys, "depth_px"), list(keys)).withColumn("_dy", F.explode(F.sequence(-k, k)))
     reach = k - F.abs(dy)
     worn = worn.select(*keys, (F.col("y") + dy).alias("y"), (F.col("x") - reach).alias("_a"), (F.col("x") + reach + 1).alias("_b"))
     ends = F.array(F.struct(F.col("_a").alias("x"), F.lit(1).alias("_n")), F.struct(F.col("_b").alias("x"), F.lit(-1).alias("_n")))
@@ -641,8 +641,11 @@ def moran_on_mask(values: DataFrame, min_pixels: int = 50, keys: Sequence[str] =
 
 
 def radial_bins(values: DataFrame, centroids: DataFrame, bins: int = 20) -> DataFrame:
-    """Mean value per distance bin from (cy, cx): (field_id, cell_id, bin, mean), empty bins absent."""
-    d = values.join(centroids.select(*CELL, "cy", "cx"), CELL).withColumn(
+    """Mean value per distance bin from (cy, cx): (field_id, cell_id, bin, mean), empty bins absent.
+
+    Values are dealt by cell once; the largest distances and the bins read the same exchange.
+    """
+    d = values.repartition(*CELL).join(centroids.select(*CELL, "cy", "cx"), CELL).withColumn(
         "_d", F.sqrt((F.col("y") - F.col("cy")) ** 2 + (F.col("x") - F.col("cx")) ** 2))
     d = attach_stats(d, CELL, F.max("_d").alias("_top")).filter(F.col("_top") > 0)
     b = F.least(F.lit(bins - 1), F.floor(F.col("_d") / F.col("_top") * bins)).cast("int")

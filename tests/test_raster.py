@@ -279,3 +279,21 @@ def test_a_channel_is_computed_without_the_others(spark):
     assert "Union" not in channel(both, "yap")._jdf.queryExecution().optimizedPlan().toString()
     want, got = (p.agg({"value": "sum", "*": "count"}).first() for p in (channel(pixels(spark, SF, ["dapi", "yap"]), "yap"), channel(both, "yap")))
     assert tuple(want) == tuple(got)
+
+
+def test_pixel_tables_are_not_broadcast(spark, tmp_path, monkeypatch):
+    """Joins of pixels merge though the table is small, interiors wait until they are read, and a radial profile deals its pixels once."""
+    from cytofleet.plans import adapters as A
+
+    vectors = np.random.default_rng(2).normal(size=(64, 64))
+    spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(vectors)], "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    made = []
+    real = R.interior
+    monkeypatch.setattr(R, "interior", lambda *a: made.append(1) or real(*a))
+    reg = D.build_regions(A.labels(spark, str(tmp_path)), A.fields(spark, str(tmp_path)), cut=False)
+    assert not made and reg.interior is reg.interior and made == [1]
+    plan = lambda d: d._jdf.queryExecution().executedPlan().toString()
+    v = D.over(A.pixels(spark, str(tmp_path), ["glycocalyx"]), reg.ring)
+    assert plan(v).count("SortMergeJoin") == 3  # outline and width, ring and mask, ring and values
+    bins = R.radial_bins(v, reg.centroids)
+    assert bins.collect() and "ReusedExchange" in plan(bins)
