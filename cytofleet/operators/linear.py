@@ -12,6 +12,19 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, DoubleType
 
 
+def coefficients(m: np.ndarray, p: int) -> np.ndarray | None:
+    """Intercept and ``p`` slopes per target, a column each, from the moments of [1, x, y]; None without rows."""
+    if m[0, 0] <= 0:
+        return None
+    a, b = m[: 1 + p, : 1 + p], m[: 1 + p, 1 + p:]
+    # centre first: the slopes come from covariances, the intercept from the means
+    mx, my = a[0, 1:] / a[0, 0], b[0] / a[0, 0]
+    cov = a[1:, 1:] / a[0, 0] - np.outer(mx, mx)
+    cxy = b[1:] / a[0, 0] - np.outer(mx, my)
+    w = np.linalg.pinv(cov, rcond=1e-10, hermitian=True) @ cxy
+    return np.vstack([my - mx @ w, w])
+
+
 @pandas_udf(ArrayType(DoubleType()))
 def _solve(moments: pd.Series, p: pd.Series, q: pd.Series) -> pd.Series:
     """Coefficients (intercept, slopes) per target, flattened, from upper-triangular moments of [1, x, y]."""
@@ -19,17 +32,8 @@ def _solve(moments: pd.Series, p: pd.Series, q: pd.Series) -> pd.Series:
     for flat, np_, nq in zip(moments, p, q):
         m = np.zeros((1 + np_ + nq,) * 2)
         m[np.triu_indices(len(m))] = flat
-        m = m + np.triu(m, 1).T
-        if m[0, 0] <= 0:
-            out.append(None)
-            continue
-        a, b = m[: 1 + np_, : 1 + np_], m[: 1 + np_, 1 + np_:]
-        # centre first: the slopes come from covariances, the intercept from the means
-        mx, my = a[0, 1:] / a[0, 0], b[0] / a[0, 0]
-        cov = a[1:, 1:] / a[0, 0] - np.outer(mx, mx)
-        cxy = b[1:] / a[0, 0] - np.outer(mx, my)
-        w = np.linalg.pinv(cov, rcond=1e-10, hermitian=True) @ cxy
-        out.append(np.vstack([my - mx @ w, w]).T.ravel().tolist())
+        w = coefficients(m + np.triu(m, 1).T, np_)
+        out.append(None if w is None else w.T.ravel().tolist())
     return pd.Series(out)
 
 
