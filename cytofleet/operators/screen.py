@@ -72,12 +72,17 @@ def pair_correlations(df: DataFrame, columns_a: dict[str, Column | dict[str, Col
     parts = ("n", "sx", "sy", "sxx", "syy", "sxy", "x0", "x1", "y0", "y1")
     out = F.array(*[F.struct(F.get(F.get(names, F.col("g")), F.lit(j)).alias("b"), *[F.col(f"{s}{j}").alias(s) for s in parts]) for j in range(width)])
     g = g.select(*keys, "a", F.inline(out)).filter("b is not null")
+    return pearson(g, [*keys, "a", "b"], min_n)
+
+
+def pearson(g: DataFrame, keep: Sequence[str], min_n: int = 2) -> DataFrame:
+    """(keep, n, r) from the sums of pairs: n, sx, sy, sxx, syy, sxy, and the extremes x0, x1, y0, y1. Constant sides give NULL."""
     n = F.col("n")
     cov = F.col("sxy") - F.try_divide(F.col("sx") * F.col("sy"), n)
     vx, vy = F.col("sxx") - F.try_divide(F.col("sx") * F.col("sx"), n), F.col("syy") - F.try_divide(F.col("sy") * F.col("sy"), n)
     ok = (n >= min_n) & (F.col("x0") < F.col("x1")) & (F.col("y0") < F.col("y1")) & (vx > 0) & (vy > 0)
     r = F.when(ok, F.try_divide(cov, F.sqrt(vx) * F.sqrt(vy)))
-    return g.select(*keys, "a", "b", "n", r.alias("r")).withColumn(
+    return g.select(*keep, "n", r.alias("r")).withColumn(
         "r", F.when(F.col("r").isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("r")))))
 
 
@@ -87,11 +92,55 @@ def centred(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()) ->
     return d.select(*keys, *[(F.col(c) - F.col(f"{c}@m")).alias(c) for c in columns])
 
 
+def pair_sums(df: DataFrame, features: Sequence[str]) -> DataFrame:
+    """(i, j, n, sx, sy, sxx, syy, sxy, x0, x1, y0, y1) over the complete rows of features i <= j, by place.
+
+    A task sums all pairs as matrix products and leaves one row per pair, so that rows are neither fanned out nor shuffled.
+    """
+    features = list(features)
+    k = len(features)
+    i, j = np.triu_indices(k)
+    names = ["n", "sx", "sy", "sxx", "syy", "sxy", "x0", "x1", "y0", "y1"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, sx, sxx, sxy = (np.zeros((k, k)) for _ in range(4))
+        low, high = np.full((k, k), np.inf), np.full((k, k), -np.inf)  # of the first feature where the second is there
+        for batch in batches:
+            there = np.column_stack([batch.column(f).is_valid().to_numpy(zero_copy_only=False) for f in features])
+            x = np.column_stack([batch.column(f).fill_null(0.0).to_numpy(zero_copy_only=False) for f in features])
+            m = there.astype(float)
+            n += m.T @ m
+            sx += x.T @ m
+            sxx += (x * x).T @ m
+            sxy += x.T @ x
+            least, most = np.where(there, x, np.inf), np.where(there, x, -np.inf)
+            full = there.all(0)
+            low[:, full] = np.minimum(low[:, full], least.min(0, initial=np.inf)[:, None])
+            high[:, full] = np.maximum(high[:, full], most.max(0, initial=-np.inf)[:, None])
+            for c in np.flatnonzero(~full):
+                low[:, c] = np.minimum(low[:, c], least[there[:, c]].min(0, initial=np.inf))
+                high[:, c] = np.maximum(high[:, c], most[there[:, c]].max(0, initial=-np.inf))
+        sums = [n, sx, sx.T, sxx, sxx.T, sxy, low, high, low.T, high.T]
+        yield pa.RecordBatch.from_arrays([pa.array(v) for v in (i, j, *(s[i, j] for s in sums))], names=["i", "j", *names])
+
+    wide = df.select(*[F.col(f).cast("double").alias(f) for f in features])
+    parts = wide.mapInArrow(run, ", ".join(["i long", "j long", *[f"{c} double" for c in names]]))
+    how = {"x0": F.min, "y0": F.min, "x1": F.max, "y1": F.max}
+    g = parts.groupBy("i", "j").agg(*[how.get(c, F.sum)(c).alias(c) for c in names])
+    return g.withColumn("n", F.col("n").cast("long"))
+
+
 def correlation_matrix(cells: DataFrame, features: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
     """Pairwise complete Pearson of all features: one triangle is computed, then mirrored."""
     c = {f: F.col(f) for f in features}
-    place = F.create_map(*[F.lit(x) for f in enumerate(features) for x in reversed(f)])
-    half = pair_correlations(centred(cells, features, keys), c, c, keys, upper=True).filter(place[F.col("a")] <= place[F.col("b")])
+    mid = centred(cells, features, keys)
+    if keys:
+        place = F.create_map(*[F.lit(x) for f in enumerate(features) for x in reversed(f)])
+        half = pair_correlations(mid, c, c, keys, upper=True).filter(place[F.col("a")] <= place[F.col("b")])
+    else:
+        names = F.array(*[F.lit(f) for f in features])
+        g = pair_sums(mid, features).withColumns({"a": F.get(names, F.col("i")), "b": F.get(names, F.col("j"))})
+        half = pearson(g, ["a", "b"])
     both = F.when(F.col("a") == F.col("b"), F.array(F.struct("a", "b"))).otherwise(
         F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))
     return half.withColumn("_p", F.explode(both)).select(*keys, F.col("_p.a").alias("a"), F.col("_p.b").alias("b"), "n", "r")

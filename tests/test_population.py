@@ -276,3 +276,22 @@ def test_permutations_of_small_groups_shuffle_rows_only(spark, monkeypatch, boun
     for name, value in (("PERMUTED_ROWS", 20), ("PERMUTED_BLOCK", 16), ("POSITION_ROWS", bound)):
         monkeypatch.setattr(Q, name, value)
     assert sorted(Q.permutation_p(d, "x", "y", 150, ["k"], ["g"]).collect()) == once
+
+
+def test_correlation_matrix_sums_pairs_inside_tasks(spark):
+    """Different NULL patterns, constant sides and an empty column: the rows of one group by the fanned-out path, without fanning out."""
+    rng = np.random.default_rng(7)
+    pdf = pd.DataFrame({f: rng.normal(size=90) * 3 + 50 for f in ("a", "b", "c")})
+    pdf.loc[::4, "a"], pdf.loc[::3, "b"] = None, None
+    pdf["d"], pdf["e"] = 2.0, np.where(pdf["a"].isna(), rng.normal(size=90), 1.0)  # e is constant where a is there
+    d = spark.createDataFrame([(1, *(None if pd.isna(v) else float(v) for v in r), None) for r in pdf.itertuples(index=False)], "field_id int, a double, b double, c double, d double, e double, f double")
+    names = list("abcdef")
+    got = Q.correlation_matrix(d, names)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and plan.count("Generate explode") <= 1  # the mirror
+    want = {(r["a"], r["b"]): (r["n"], r["r"]) for r in Q.correlation_matrix(d, names, ["field_id"]).collect()}
+    rows = {(r["a"], r["b"]): (r["n"], r["r"]) for r in got.collect()}
+    assert len(rows) == 36 and rows.keys() == want.keys()
+    for p, (n, r) in rows.items():
+        assert n == want[p][0] and ((r is None) == (want[p][1] is None)) and abs((r or 0) - (want[p][1] or 0)) < 1e-12
+    assert rows["a", "e"][1] is None and rows["c", "e"][1] is not None and rows["a", "f"][0] == 0
