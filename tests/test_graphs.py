@@ -377,3 +377,18 @@ def test_prior_table_and_status(spark):
     genes = [(k, g, 0 if k == "zero" and r == 3 else r, float("nan") if k == "nan" and r == 3 else s) for k, g, r, s in genes]
     got = {r["source"]: r["status"] for r in G.prior_status(m, spark.createDataFrame(genes, "source string, gene string, rank int, score double"), F.to_timestamp(F.lit("2025-06-30T00:00:00Z"))).collect()}
     assert got == {"ok": "ready", "old": "stale", "undated": "ready", "odd": "ready", "err": "invalid", "few": "invalid", "nan": "invalid", "zero": "invalid", "empty": "invalid", "gone": "missing"}
+
+
+def test_tables_of_nodes_are_not_broadcast(spark, monkeypatch, tmp_path):
+    """Labels, degrees and blocks of a graph in blocks meet its edges by merging, though all of them are small here."""
+    ring = [(u, v, 1.0) for g in range(120) for u in range(g * 5, g * 5 + 5) for v in range(g * 5, g * 5 + 5) if u != v]
+    spark.createDataFrame(ring, "src long, dst long, weight double").write.parquet(str(tmp_path / "g"))
+    graph = spark.read.parquet(str(tmp_path / "g"))
+    plans = []
+    real = H.pin
+    monkeypatch.setattr(H, "pin", lambda d: plans.append(d._jdf.queryExecution().executedPlan().toString()) or real(d))
+    c = H.communities(graph, small=600)
+    assert c.select("community").distinct().count() == 120
+    plans += [H.modularity(graph, c)._jdf.queryExecution().executedPlan().toString()]
+    node = [line for p in plans for line in p.splitlines() if "BroadcastHashJoin" in line and "lead" not in line and "_k" not in line]
+    assert not node and sum(p.count("SortMergeJoin") for p in plans) > 8
