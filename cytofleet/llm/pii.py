@@ -39,6 +39,14 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 TOKEN = r"(?:\G|(?<![^\x20\x09-\x0D]))[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
+#: What a text with a match surely holds; most texts hold none of it, so the patterns are tried on the others only.
+MARKS: dict[str, Callable[[Column], Column]] = {
+    "email": lambda t: t.contains("@"),
+    "ip": lambda t: t.rlike(r"[0-9]\.[0-9]"),
+    "card": lambda t: t.rlike(r"[0-9][\x20-]?[0-9]"),
+    "phone": lambda t: t.contains("+"),
+    "_tokens": lambda t: t.rlike("[0-9@]"),
+}
 _TRIM = "\"'.,;:!?()[]{}<>#*$%&|=`"
 _BLOCK = 64
 
@@ -98,9 +106,10 @@ def running(values: Column, step: Callable[[Column, Column], Column] = operator.
 def _matched(df: DataFrame, name: str, pattern: str, near: bool = False) -> DataFrame:
     """Adds ``name``: array<struct<start, end, text[, left, right]>> of the matches, in code points.
 
-    Matches and the pieces between them are laid end to end, which gives the places without Python.
+    Matches and the pieces between them are laid end to end, which gives the places without Python. Texts without the mark of
+    ``name`` are not searched and get NULL, as those without a match do.
     """
-    found = df.withColumn("_m", F.regexp_extract_all("text", F.lit(pattern), F.lit(0)))
+    found = df.withColumn("_m", F.when(MARKS[name](F.col("text")), F.regexp_extract_all("text", F.lit(pattern), F.lit(0))))
     found = found.withColumn("_p", F.when(F.size("_m") > 0, F.split("text", pattern, -1)))
     step = F.transform(F.arrays_zip(F.slice("_p", F.lit(1), F.size("_m")).alias("p"), F.col("_m").alias("m")),
                        lambda z: (F.length(z["p"]) + F.length(z["m"])).cast("bigint"))

@@ -264,3 +264,14 @@ def test_pipeline_stage_by_stage(spark):
 
 def test_pipeline_runs_as_registered(spark):
     assert corpus_pipeline.run(spark, SF).columns == ["doc_id", "piece", "start", "length", "bucket", "batch", "place"]
+
+
+def test_patterns_are_tried_on_marked_texts_only(spark):
+    """Every text with a match has the mark of its pattern, and the scan tests the mark before it searches."""
+    texts = ["a@b.c", "plain words", "1.2.3.4", "x1.2", "4111 1111 1111 1111", "4-1", "+49 30 1234567", "+", "@", "", "v2 of it", "a-b.c", None]
+    d = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").withColumn("text", F.coalesce("text", F.lit("")))
+    for kind, pattern in {**pii.PATTERNS, "_tokens": pii.TOKEN}.items():
+        seen = d.select(pii.MARKS[kind](F.col("text")).alias("m"), F.col("text").rlike(pattern).alias("r")).collect()
+        assert all(r["m"] or not r["r"] for r in seen) and any(r["r"] for r in seen) and not all(r["m"] for r in seen)
+    plan = pii.scan(d)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("THEN regexp_extract_all") == 5
